@@ -157,13 +157,10 @@ class Words:
             return
         size = self.end - self.start
         with np.errstate(over="ignore"):
-            place = np.arange(len(codes), dtype=np.int64)
-            if len(codes):
-                within = place - np.repeat(self.start, np.diff(np.concatenate((self.start, [len(codes)]))))[: len(codes)] if self.start[0] == 0 else place - np.concatenate((np.full(self.start[0], 0), np.repeat(self.start, np.diff(np.concatenate((self.start, [len(codes)]))))))
-            within = np.where(word, within, 0)
-            term = (shown.astype(U64) + U64(seed * 2 + 1)) * powers(int(size.max()), 0x9E3779B97F4A7C15)[within]
-            term[~word] = 0
-            self.hash = mix64(np.add.reduceat(term, self.start) + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+            first = np.cumsum(size) - size
+            within = np.arange(int(size.sum())) - np.repeat(first, size)
+            term = (shown[word].astype(U64) + U64(seed * 2 + 1)) * powers(int(size.max()), 0x9E3779B97F4A7C15)[within]
+            self.hash = mix64(np.add.reduceat(term, first) + size.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
