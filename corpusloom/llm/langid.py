@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import U64, map_rows, powers
+from ._common import U64, map_rows, powers, prepare
 
 ORDER = 5
 #: Labelled rows of each language that a model is fitted on, at about.
@@ -278,5 +278,5 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> Data
         memory = _shared_memory(shared)
         return pd.Series([not x[3] for x in score(memory.model, texts.where(texts.notna(), None).tolist(), memory)], dtype=bool)
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    prepare(df.sparkSession)
     return df.where(accepted(F.col(text_col)))

@@ -43,6 +43,12 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
@@ -55,13 +61,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring
+
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_langid": op2_langid,
     "op3_bpe": op3_bpe,
     "op4_licenses": op4_licenses,
+    "op5_neardup": op5_neardup,
     "op6_secrets": op6_secrets,
     "op9_quality": op9_quality,
+    "op10_substring": op10_substring,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.oracle()}

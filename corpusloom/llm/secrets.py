@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_rows
+from ._common import map_rows, prepare
 
 KINDS = ("assign", "access", "hex", "der", "jwt", "pem", "ssh")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -196,5 +196,5 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     def clean(texts):
         return texts.map(lambda t: redacted(t, s) if t and (s := find(t)) else t)
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    prepare(df.sparkSession)
     return df.withColumn(text_col, clean(F.col(text_col)))
