@@ -16,6 +16,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: <|startoftext|> of word_bpe_49k.json
+START_OF_TEXT = 49406
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,9 +54,23 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import secrets
+    from . import secretscan
+
+    return secretscan.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images: each vector of embeddings is drawn as one, and its copies are found."""
+    from . import media
+
+    return media.copies(media.rendered(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id", "image")
+
+
+def op8_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of good quality; background: all documents."""
+    from . import lmscore
 
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return lmscore.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"), tokenizer_path(), START_OF_TEXT)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licenses": op4_licenses,
     "op5_neardup": op5_neardup,
     "op6_secrets": op6_secrets,
+    "op7_media": op7_media,
+    "op8_lmscore": op8_lmscore,
     "op9_quality": op9_quality,
     "op10_substring": op10_substring,
 }
