@@ -163,7 +163,7 @@ def fit(samples: dict[str, list[str]]) -> Model:
             hashes = np.array([_hash(g) for g in names], U64)
             order = np.argsort(hashes)
             keys[n] = hashes[order]
-            rows[n] = np.log(np.array([[value(m, g) for m in models] for g in names]).reshape(-1, len(models))).astype(np.float32)[order]
+            rows[n] = np.log(np.array([[value(m, g) for m in models] for g in names]).reshape(len(names), len(models))).astype(np.float32)[order]
     for k, label in enumerate(labels):
         seen = [score(made, [t])[0] for t in held[label]]
         worst = [x[2] for x in seen if x[0] == label]

@@ -4,8 +4,9 @@ Every rolling word 4-gram of every text is joined by its hash with the 4-grams o
 the license templates (a fixed, small table). A hit votes for its diagonal, the
 place in the text less the place in the template; neighbouring diagonals are one
 alignment with a few words put in or left out. An alignment counts if its votes
-cover enough of the template and its span is not much longer than the template.
-Beside it stand the base phrases, words in a row.
+cover enough of the template, and of the 4-grams that only its label has (licenses
+of one family differ by a word), and if its span is not much longer than the
+template. Beside it stand the base phrases, words in a row.
 
 Words are maximal runs of a-z, 0-9 and characters beyond ASCII after A-Z went to
 lower case.
@@ -17,14 +18,15 @@ a row each; an empty table gives an empty table. Texts are scanned whole.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 4
-#: Share of a template's 4-grams that an alignment must hit, how far apart neighbouring diagonals may lie, and the longest span against the template.
-COVER, DRIFT, STRETCH = 0.6, 3, 1.5
+#: Share of a template's 4-grams that an alignment must hit, the same of those that no other label has, how far apart neighbouring diagonals may lie, and the longest span against the template.
+COVER, OWN, DRIFT, STRETCH = 0.6, 0.5, 3, 1.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Base phrases (at most K words) and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -51,24 +53,26 @@ def words_of(text: str) -> list[str]:
     return re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
 
 
-def template_grams(templates: list[tuple[str, str]] | None = None) -> list[tuple[str, int, int, str]]:
-    """4-gram (joined by blanks), template number, place and label of all templates."""
-    out = []
+def template_grams(templates: list[tuple[str, str]] | None = None) -> list[tuple[str, int, int, str, int, int, int]]:
+    """Of each 4-gram (joined by blanks) of all templates: template number, place, label, words of the template, whether only its label has it (1 or 0), and how many such the template has."""
+    found, labels = [], defaultdict(set)
     for t, (label, text) in enumerate(TEMPLATES if templates is None else templates):
         w = words_of(text)
-        out += [(" ".join(w[k : k + K]), t, k, label) for k in range(len(w) - K + 1)]
-    return out
+        grams = [" ".join(w[k : k + K]) for k in range(len(w) - K + 1)]
+        found.append((t, label, len(w), grams))
+        for g in grams:
+            labels[g].add(label)
+    alone = lambda g: int(len(labels[g]) == 1)
+    return [(g, t, k, label, n, alone(g), sum(map(alone, grams))) for t, label, n, grams in found for k, g in enumerate(grams)]
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """Word count, base phrases, labels and score of every text."""
     spark = df.sparkSession
-    templates = TEMPLATES if templates is None else templates
-    rows = [(g, t, k, label, len(words_of(templates[t][1]))) for g, t, k, label in template_grams(templates)]
-    grams = spark.createDataFrame(rows, "gram string, t int, tpos int, label string, t_words int")
+    grams = spark.createDataFrame(template_grams(templates), "gram string, t int, tpos int, label string, t_words int, own int, t_own int")
     at = F.split("gram", " ")
     # one row for each hash, with all its places: a position of a text joins one row at most
-    grams = grams.select(F.xxhash64(*(at[k] for k in range(K))).alias("_h"), F.struct("t", "tpos", "label", "t_words").alias("_p")).groupBy("_h").agg(F.collect_list("_p").alias("_places"))
+    grams = grams.select(F.xxhash64(*(at[k] for k in range(K))).alias("_h"), F.struct("t", "tpos", "label", "t_words", "own", "t_own").alias("_p")).groupBy("_h").agg(F.collect_list("_p").alias("_places"))
 
     words = F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
     base = df.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), words.alias("_w"))
@@ -89,7 +93,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     once = F.coalesce(F.col("_k"), F.lit(0)) == 0  # a position with several places counts once as a phrase
     phrase = F.when(F.col("_base").isNotNull() & once, F.col("_pos"))
     votes = hits.groupBy("_row", "_id", "_n", F.col("_t.t").alias("_t"), (F.col("_pos") - F.col("_t.tpos")).alias("_diagonal")).agg(
-        F.first(F.col("_t.label"), True).alias("_label"), F.first(F.col("_t.t_words"), True).alias("_t_words"), F.count("_t").alias("_votes"),
+        F.first(F.col("_t.label"), True).alias("_label"), F.first(F.col("_t.t_words"), True).alias("_t_words"), F.first(F.col("_t.t_own"), True).alias("_t_own"), F.count("_t").alias("_votes"), F.sum("_t.own").alias("_own"),
         F.min(F.when(F.col("_t").isNotNull(), F.col("_pos"))).alias("_from"), F.max(F.when(F.col("_t").isNotNull(), F.col("_pos"))).alias("_to"),
         F.count(phrase).alias("_n_base"), F.min(phrase).alias("_first"), F.max(phrase).alias("_last"), F.collect_set("_base").alias("_bases"),
     )
@@ -98,11 +102,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     island = F.sum("_apart").over(order.rowsBetween(Window.unboundedPreceding, 0))
     merged = (
         votes.withColumn("_apart", apart).withColumn("_island", island).groupBy("_row", "_id", "_n", "_t", "_island")
-        .agg(F.first("_label", True).alias("_label"), F.first("_t_words", True).alias("_t_words"), F.sum("_votes").alias("_votes"), F.min("_from").alias("_from"), F.max("_to").alias("_to"),
+        .agg(F.first("_label", True).alias("_label"), F.first("_t_words", True).alias("_t_words"), F.first("_t_own", True).alias("_t_own"), F.sum("_votes").alias("_votes"), F.sum("_own").alias("_own"), F.min("_from").alias("_from"), F.max("_to").alias("_to"),
              F.sum("_n_base").alias("_n_base"), F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.flatten(F.collect_list("_bases")).alias("_bases"))
     )
     cover = F.least(F.lit(1.0), F.col("_votes") / (F.col("_t_words") - (K - 1)))
-    verified = (cover >= COVER) & (F.col("_to") - F.col("_from") + K <= F.col("_t_words") * STRETCH)
+    verified = (cover >= COVER) & (F.col("_own") >= OWN * F.col("_t_own")) & (F.col("_to") - F.col("_from") + K <= F.col("_t_words") * STRETCH)
     found = merged.withColumn("_cover", F.when(verified, cover)).withColumn("_label", F.when(verified, F.col("_label")))
     one = found.groupBy("_row", "_id", "_n").agg(
         F.sum("_n_base").alias("n_base"), F.min("_first").cast("long").alias("first_word"), F.max("_last").cast("long").alias("last_word"),
@@ -117,19 +121,19 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
 
 def oracle() -> str:
     """The same in DuckDB, with the 4-grams themselves in place of hashes."""
-    values = ", ".join(f"('{g}', {t}, {k}, '{label}', {len(words_of(TEMPLATES[t][1]))})" for g, t, k, label in template_grams())
+    values = ", ".join(f"('{g}', {t}, {k}, '{label}', {n}, {own}, {t_own})" for g, t, k, label, n, own, t_own in template_grams())
     phrases = " ".join(f"WHEN {' AND '.join(f'w{k} = ' + chr(39) + w + chr(39) for k, w in enumerate(p.split(' ')))} THEN '{name}'" for p, name in PHRASES.items())
     return f"""
-WITH grams(gram, t, tpos, label, t_words) AS (VALUES {values}),
+WITH grams(gram, t, tpos, label, t_words, own, t_own) AS (VALUES {values}),
 docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
 pos AS (SELECT rid, unnest(range(len(w))) AS p, w FROM docs),
 roll AS (SELECT rid, p, w[p+1] AS w0, w[p+2] AS w1, w[p+3] AS w2, w[p+4] AS w3 FROM pos),
 base AS (SELECT rid, p, CASE {phrases} END AS label FROM roll),
-votes AS (SELECT rid, t, label, t_words, p - tpos AS d, count(*) AS v, min(p) AS p0, max(p) AS p1 FROM roll JOIN grams ON gram = w0 || ' ' || w1 || ' ' || w2 || ' ' || w3 GROUP BY ALL),
+votes AS (SELECT rid, t, label, t_words, t_own, p - tpos AS d, count(*) AS v, sum(own) AS o, min(p) AS p0, max(p) AS p1 FROM roll JOIN grams ON gram = w0 || ' ' || w1 || ' ' || w2 || ' ' || w3 GROUP BY ALL),
 steps AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY rid, t ORDER BY d) <= {DRIFT} THEN 0 ELSE 1 END AS apart FROM votes),
 isles AS (SELECT *, sum(apart) OVER (PARTITION BY rid, t ORDER BY d ROWS UNBOUNDED PRECEDING) AS isle FROM steps),
-merged AS (SELECT rid, t, label, t_words, isle, sum(v) AS v, min(p0) AS p0, max(p1) AS p1 FROM isles GROUP BY ALL),
-found AS (SELECT rid, label, least(1.0::DOUBLE, v::DOUBLE / (t_words - {K - 1})) AS cover FROM merged WHERE least(1.0::DOUBLE, v::DOUBLE / (t_words - {K - 1})) >= {COVER} AND p1 - p0 + {K} <= t_words * {STRETCH}),
+merged AS (SELECT rid, t, label, t_words, t_own, isle, sum(v) AS v, sum(o) AS o, min(p0) AS p0, max(p1) AS p1 FROM isles GROUP BY ALL),
+found AS (SELECT rid, label, least(1.0::DOUBLE, v::DOUBLE / (t_words - {K - 1})) AS cover FROM merged WHERE least(1.0::DOUBLE, v::DOUBLE / (t_words - {K - 1})) >= {COVER} AND o >= {OWN} * t_own AND p1 - p0 + {K} <= t_words * {STRETCH}),
 bases AS (SELECT rid, count(*) AS n_base, min(p) AS f, max(p) AS l, list_sort(list(DISTINCT label)) AS labels FROM base WHERE label IS NOT NULL GROUP BY rid),
 scans AS (SELECT rid, list(DISTINCT label) AS labels, max(cover) AS cover FROM found GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,

@@ -11,8 +11,8 @@ still improve its document, for all documents of a block at once in numpy.
 
 Bands of the signature are buckets. No bucket is expanded into its pairs: its
 members are compared with its least and greatest member, exactly, by the overlap of
-the multisets; members that these leave unlinked elect new leaders, round by round,
-until every bucket is used up. Equal multisets are one node from the start, so
+the multisets; members that these leave unlinked elect new leaders, whom the whole
+bucket meets, round by round, until every bucket is used up. Equal multisets are one node from the start, so
 copies cost nothing. Components of the links are the classes.
 
 Rows: texts without a word (and null) are each a class of their own; a null id takes
@@ -197,19 +197,22 @@ def _verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
 def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> DataFrame:
     """(_id, _text_hash, class) of every row; class is null for texts without a word, else a node of it."""
     sketch = materialize(_sketch(df, id_col, text_col, bands, rows))
-    spread = sketch.where("node is not null").select("node", F.explode("bands").alias("key"))
-    edges = labels = None
+    member = sketch.where("node is not null").select("node", F.explode("bands").alias("key"), F.lit(True).alias("open"))
+    edges = labels = shingles = None
     while True:
-        leaders = materialize(spread.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"))
+        leaders = member.where("open").groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+        leaders = materialize(leaders.where("lo < hi") if labels is None else leaders)
         n = leaders.count()
         if not n:
             break
-        member = materialize(spread.join(small_or_shuffled(leaders, n), "key").groupBy("key", "node", "lo", "hi").agg(F.lit(1).alias("_one")).drop("_one"))
+        member = member.join(small_or_shuffled(leaders, n), "key")
+        member = materialize(member.groupBy("key", "node", "lo", "hi", "open").agg(F.lit(1).alias("_one")).drop("_one") if labels is None else member)
         pairs = member.select("node", F.explode(F.array("lo", "hi")).alias("to")).where("node <> to").select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
         pairs = materialize(pairs.groupBy("a", "b").agg(F.lit(1).alias("_one")).drop("_one"))
-        nodes = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
-        wanted = materialize(sketch.join(small_or_shuffled(nodes, nodes.count()), "node").groupBy("node").agg(F.min("_text_hash").alias("_text_hash")))
-        shingles = materialize(_shingles(df, text_col, wanted, wanted.count()))
+        if shingles is None:  # the first round asks for every member that any round asks for
+            nodes = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
+            wanted = materialize(sketch.join(small_or_shuffled(nodes, nodes.count()), "node").groupBy("node").agg(F.min("_text_hash").alias("_text_hash")))
+            shingles = materialize(_shingles(df, text_col, wanted, wanted.count()))
         found = _verified(pairs, shingles, threshold)
         edges = materialize(found if edges is None else edges.union(found))
         labels = components(edges)
@@ -217,8 +220,8 @@ def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float, bands:
         joined = member
         for name in ("node", "lo", "hi"):
             joined = joined.join(of(name), name, "left").withColumn(f"l_{name}", F.coalesce(f"l_{name}", name))
-        # members that neither leader reaches, not even by way of others, go on with leaders of their own
-        spread = materialize(joined.where("l_node <> l_lo and l_node <> l_hi").select("node", "key"))
+        # members that neither leader reaches, not even by way of others, elect leaders of their own, which all of the bucket meet
+        member = materialize(joined.select("node", "key", (F.col("open") & (F.col("l_node") != F.col("l_lo")) & (F.col("l_node") != F.col("l_hi"))).alias("open")))
     if labels is None:
         return sketch.select("_id", "_text_hash", F.col("node").alias("class"))
     return sketch.drop("bands").join(small_or_shuffled(labels, labels.count()), "node", "left").select("_id", "_text_hash", F.coalesce("label", "node").alias("class"))

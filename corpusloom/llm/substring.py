@@ -37,6 +37,8 @@ _ROLL = 16
 _BLOCK_CHUNKS = 400_000
 #: Documents with repeats that are broadcast at most.
 _BROADCAST = 100_000
+#: The column beside those of the caller, under a name that theirs don't have.
+RUNS = "_corpusloom_runs"
 
 
 def gear(codes: np.ndarray) -> np.ndarray:
@@ -167,8 +169,8 @@ def _repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _joined(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df with a column _runs (null where nothing is repeated)."""
-    found = materialize(found).select(F.col("_id").alias("_corpusloom_id"), F.col("_text_hash").alias("_corpusloom_hash"), "_runs")
+    """df with a column RUNS (null where nothing is repeated)."""
+    found = materialize(found).select(F.col("_id").alias("_corpusloom_id"), F.col("_text_hash").alias("_corpusloom_hash"), F.col("_runs").alias(RUNS))
     if found.count() <= _BROADCAST:
         found = F.broadcast(found)
     match = F.col(id_col).eqNullSafe(F.col("_corpusloom_id")) & (F.xxhash64(text_col) == F.col("_corpusloom_hash"))
@@ -178,10 +180,10 @@ def _joined(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> Data
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id, the number of its repeated runs, their words and characters, and the runs as start:end (code points)."""
     own = _joined(df.select(id_col, text_col), _repeats(df, id_col, text_col), id_col, text_col)
-    total = lambda f: F.coalesce(F.aggregate("_runs", F.lit(0).cast("long"), lambda a, r: a + f(r)), F.lit(0).cast("long"))
+    total = lambda f: F.coalesce(F.aggregate(RUNS, F.lit(0).cast("long"), lambda a, r: a + f(r)), F.lit(0).cast("long"))
     return own.select(
-        id_col, F.coalesce(F.size(F.coalesce("_runs", F.expr("array()"))), F.lit(0)).cast("long").alias("n_runs"), total(lambda r: r["words"]).alias("removed_words"), total(lambda r: r["end"] - r["start"]).alias("removed_chars"),
-        F.coalesce(F.array_join(F.transform("_runs", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ","), F.lit("")).alias("runs"),
+        id_col, F.coalesce(F.size(F.coalesce(RUNS, F.expr("array()"))), F.lit(0)).cast("long").alias("n_runs"), total(lambda r: r["words"]).alias("removed_words"), total(lambda r: r["end"] - r["start"]).alias("removed_chars"),
+        F.coalesce(F.array_join(F.transform(RUNS, lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ","), F.lit("")).alias("runs"),
     )
 
 
@@ -191,10 +193,10 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     own = _joined(df, _repeats(df, id_col, text_col), id_col, text_col)
 
     # what stays of a text: the parts between its runs
-    start = F.transform("_runs", lambda r: r["start"])
-    end = F.transform("_runs", lambda r: r["end"])
+    start = F.transform(RUNS, lambda r: r["start"])
+    end = F.transform(RUNS, lambda r: r["end"])
     froms, tos = F.concat(F.array(F.lit(0)), end), F.concat(start, F.array(F.length(text_col)))
     parts = F.zip_with(froms, tos, lambda a, b: F.substring(F.col(text_col), a + 1, b - a))
-    cleaned = F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(F.array_join(parts, ""))
+    cleaned = F.when(F.col(RUNS).isNull(), F.col(text_col)).otherwise(F.array_join(parts, ""))
     own = own.withColumn(text_col, cleaned)
-    return own.where(F.col("_runs").isNull() | (F.trim(F.col(text_col)) != "")).drop("_runs")
+    return own.where(F.col(RUNS).isNull() | (F.trim(F.col(text_col)) != "")).drop(RUNS)
