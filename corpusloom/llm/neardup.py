@@ -10,9 +10,10 @@ weighted Jaccard similarity. Points are drawn in order of time until no process
 still improve its document, for all documents of a block at once in numpy.
 
 Bands of the signature are buckets. No bucket is expanded into its pairs: its
-members are compared with its least and greatest member, exactly, by the overlap of
-the multisets; members that these leave unlinked elect new leaders, whom the whole
-bucket meets, round by round, until every bucket is used up. Equal multisets are one node from the start, so
+members are compared with two leaders, exactly, by the overlap of the multisets: its
+least member, and the one that meets most others over all its buckets. Members that
+these leave unlinked elect new leaders, twice as many in each round, until every
+bucket is used up. Equal multisets are one node from the start, so
 copies cost nothing. Components of the links are the classes.
 
 Rows: texts without a word (and null) are each a class of their own; a null id takes
@@ -104,22 +105,23 @@ def nodes_of(doc: np.ndarray, value: np.ndarray, count: np.ndarray, n_docs: int)
 
 
 def _sketch(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """(_id, _text_hash, node, bands) of every row; node is null for texts without a word."""
+    """(_id, _text_hash, node, weight, bands) of every row; node is null for texts without a word."""
     source = df.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text_hash"), F.col(text_col).alias("_text"))
-    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_text_hash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_text_hash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("weight", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def make():
         @np.errstate(over="ignore")
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, keys, none = [], [], []
+            nodes, keys, none, weight = [], [], [], []
             for _, texts in blocks(batch.column(2).to_pylist(), _BLOCK):
                 d, v, c = multisets(texts)
                 nodes.append(nodes_of(d, v, c, len(texts)))
-                none.append(np.bincount(d, minlength=len(texts)) == 0)
+                weight.append(np.bincount(d, c, len(texts)).astype(np.int64))
+                none.append(weight[-1] == 0)
                 keys.append(band_keys(signatures(d, v, c, len(texts), bands * rows), bands, rows))
             mask, flat = np.concatenate(none), np.concatenate(keys).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, bands, dtype=np.int32)), pa.array(flat.ravel()))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(nodes).view(np.int64), mask=mask), lists], names=schema.names)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(nodes).view(np.int64), mask=mask), pa.array(np.concatenate(weight)), lists], names=schema.names)
 
         return step
 
@@ -194,37 +196,57 @@ def _verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
     return map_rows(pairs.join(left, "a").join(right, "b"), ["a", "b", "ka", "ca", "kb", "cb"], make, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
+def _leaders(member: DataFrame, turn: int) -> DataFrame:
+    """(key, to, to_weight): the leaders of every bucket of member (key, node, weight).
+
+    At first two, the least member and the one that meets most others over all its
+    buckets: what others were copied from stands in more of their buckets than they do
+    in each other's. Then 4, 8, 16 ...: buckets that last hold unlike texts, and each
+    round takes twice as many of them.
+    """
+    least = F.min(F.struct("node", "weight"))
+    if turn > 1:
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2**turn))
+        return member.groupBy("key", slot.alias("_slot")).agg(least.alias("_l")).select("key", F.col("_l.node").alias("to"), F.col("_l.weight").alias("to_weight"))
+    sizes = member.groupBy("key").agg(F.count("*").alias("_size"))
+    met = member.join(sizes, "key").groupBy("node").agg(F.sum("_size").alias("_met"))
+    hub = F.max(F.struct("_met", "node", "weight"))
+    found = member.join(met, "node").groupBy("key").agg(least.alias("_l"), hub.alias("_h"))
+    two = F.array_distinct(F.array("_l", F.struct(F.col("_h.node").alias("node"), F.col("_h.weight").alias("weight"))))
+    return found.select("key", F.explode(two).alias("_x")).select("key", F.col("_x.node").alias("to"), F.col("_x.weight").alias("to_weight"))
+
+
 def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> DataFrame:
     """(_id, _text_hash, class) of every row; class is null for texts without a word, else a node of it."""
     sketch = materialize(_sketch(df, id_col, text_col, bands, rows))
-    member = sketch.where("node is not null").select("node", F.explode("bands").alias("key"), F.lit(True).alias("open"))
-    edges = labels = shingles = None
-    while True:
-        leaders = member.where("open").groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-        leaders = materialize(leaders.where("lo < hi") if labels is None else leaders)
-        n = leaders.count()
-        if not n:
-            break
-        member = member.join(small_or_shuffled(leaders, n), "key")
-        member = materialize(member.groupBy("key", "node", "lo", "hi", "open").agg(F.lit(1).alias("_one")).drop("_one") if labels is None else member)
-        pairs = member.select("node", F.explode(F.array("lo", "hi")).alias("to")).where("node <> to").select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
-        pairs = materialize(pairs.groupBy("a", "b").agg(F.lit(1).alias("_one")).drop("_one"))
+    member = sketch.where("node is not null").select("node", "weight", F.explode("bands").alias("key"))
+    shared = materialize(member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"))
+    member = materialize(member.join(small_or_shuffled(shared, shared.count()), "key").groupBy("key", "node").agg(F.first("weight").alias("weight")))
+    edges = shingles = None
+    turn = 0
+    while not member.isEmpty():
+        turn += 1
+        leaders = materialize(_leaders(member, turn))
+        met = member.join(small_or_shuffled(leaders, leaders.count()), "key").where("node <> to")
+        # the smaller multiset's weight over the larger's bounds their similarity
+        met = met.where(F.least("weight", "to_weight") >= threshold * F.greatest("weight", "to_weight"))
+        met = materialize(met.select("key", "node", "to"))
+        pairs = materialize(met.groupBy(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).agg(F.lit(1).alias("_one")).drop("_one"))
         if shingles is None:  # the first round asks for every member that any round asks for
-            nodes = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
+            nodes = materialize(member.groupBy("node").agg(F.lit(1).alias("_one")).drop("_one"))
             wanted = materialize(sketch.join(small_or_shuffled(nodes, nodes.count()), "node").groupBy("node").agg(F.min("_text_hash").alias("_text_hash")))
             shingles = materialize(_shingles(df, text_col, wanted, wanted.count()))
-        found = _verified(pairs, shingles, threshold)
-        edges = materialize(found if edges is None else edges.union(found))
-        labels = components(edges)
-        of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"l_{name}"))
-        joined = member
-        for name in ("node", "lo", "hi"):
-            joined = joined.join(of(name), name, "left").withColumn(f"l_{name}", F.coalesce(f"l_{name}", name))
-        # members that neither leader reaches, not even by way of others, elect leaders of their own, which all of the bucket meet
-        member = materialize(joined.select("node", "key", (F.col("open") & (F.col("l_node") != F.col("l_lo")) & (F.col("l_node") != F.col("l_hi"))).alias("open")))
+        found = materialize(_verified(pairs, shingles, threshold))
+        edges = found if edges is None else edges.union(found)
+        links = found.select(F.col("a").alias("node"), F.col("b").alias("to")).union(found.select("b", "a"))
+        # members that are neither leaders nor linked to one go on
+        done = met.join(links, ["node", "to"]).select("key", "node").union(leaders.select("key", "to"))
+        member = materialize(member.join(done, ["key", "node"], "left_anti"))
+        member = materialize(member.join(member.groupBy("key").count().where("count > 1").select("key"), "key"))
+    labels = None if edges is None else components(edges)
     if labels is None:
         return sketch.select("_id", "_text_hash", F.col("node").alias("class"))
-    return sketch.drop("bands").join(small_or_shuffled(labels, labels.count()), "node", "left").select("_id", "_text_hash", F.coalesce("label", "node").alias("class"))
+    return sketch.select("_id", "_text_hash", "node").join(small_or_shuffled(labels, labels.count()), "node", "left").select("_id", "_text_hash", F.coalesce("label", "node").alias("class"))
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
