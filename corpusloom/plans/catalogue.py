@@ -1,6 +1,639 @@
-"""Named queries over the driver's tables and their DuckDB twins."""
+"""Named queries over the driver's tables and their DuckDB twins.
+
+Every query runs over whole tables. Search takes as queries the benchmark's texts
+or each twentieth row of embeddings, against all rows.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as fx
+from ..functions import vectors as vx
+from ..operators import calibrate, chunks, evaluate, layers, lexical, ranking, vector
+from ..sources import html, markdown
+from ..streaming import append
+
+DIMS = 64
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL that gives the same rows."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(column, digits: int = 6):
+    return F.round(column, digits)
+
+
+# ---- text and the lexical index ---------------------------------------------
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in fx.STOPWORDS) + "]"
+
+
+def _raw(t: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({t}, '')), '[a-z0-9'']+')"
+
+
+def _index(t: str) -> str:
+    return f"list_filter({_raw(t)}, lambda w: len(w) BETWEEN 2 AND 32 AND NOT list_contains({_STOP}, w))"
+
+
+def _fnv(w: str, seed: int) -> str:
+    return f"list_reduce(list_prepend({fx.FNV_START ^ seed}::BIGINT, list_transform(string_split({w}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * {fx.FNV_PRIME}) & 4294967295)"
+
+
+_TOKENS = f"toks AS (SELECT doc_id, {_index('text')} AS t FROM documents), lens AS (SELECT doc_id, len(t) AS dl FROM toks), post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY ALL)"
+_STATS = "stats AS (SELECT count(*) AS n, coalesce(sum(dl), 0) AS total, greatest(1.0::DOUBLE, coalesce(sum(dl)::DOUBLE / count(*), 1)) AS avgdl FROM lens)"
+_QTERMS = f"qterms AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter({_raw('text')}, lambda w: len(w) BETWEEN 2 AND 32)) AS term FROM benchmark)"
+_DF = "df AS (SELECT term, count(*) AS df FROM post GROUP BY term)"
+
+
+def _bm25(mask: str = "") -> str:
+    part = f"ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * {lexical.K1 + 1}::DOUBLE / (tf + {lexical.K1}::DOUBLE * ({1 - lexical.B}::DOUBLE + {lexical.B}::DOUBLE * dl / avgdl))"
+    return f"""{_TOKENS}, {_STATS}, {_QTERMS}, {_DF},
+scored AS (SELECT query_id, doc_id AS record_id, sum({part}) AS score FROM qterms JOIN post USING (term) JOIN df USING (term) JOIN lens USING (doc_id), stats {mask} GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, record_id) AS lexical_rank, max(score) OVER (PARTITION BY query_id) AS best FROM scored)"""
+
+
+@query(f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT doc_id, {_index('text')} AS t FROM documents)")
+def token_stats(spark, sf_dir):
+    own = lexical.token_lists(_read(spark, sf_dir, "documents"))
+    return own.select(F.col("record_id").alias("doc_id"), F.col("dl").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("n_distinct"))
+
+
+@query(f"WITH {_TOKENS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term")
+def term_df(spark, sf_dir):
+    return lexical.postings(_read(spark, sf_dir, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(f"WITH {_TOKENS}, {_STATS} SELECT n AS n_records, total::BIGINT AS n_tokens, round(avgdl, 6) AS avgdl FROM stats")
+def corpus_stats(spark, sf_dir):
+    return lexical.corpus_stats(_read(spark, sf_dir, "documents")).withColumn("avgdl", _r("avgdl"))
+
+
+_LEX = "SELECT query_id, record_id, round(score, 6) AS score, lexical_rank FROM ranked"
+
+
+def _bm(spark, sf_dir, **more):
+    return lexical.bm25(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), **more)
+
+
+@query(f"WITH {_bm25()} {_LEX} WHERE lexical_rank <= {lexical.CANDIDATES}")
+def bm25_topk(spark, sf_dir):
+    return lexical.topk(_bm(spark, sf_dir)).withColumn("score", _r("score"))
+
+
+@query(f"WITH {_bm25()} {_LEX} WHERE lexical_rank <= {lexical.CANDIDATES} AND score >= best * {lexical.CUTOFF!r}::DOUBLE")
+def bm25_cutoff(spark, sf_dir):
+    return lexical.topk(_bm(spark, sf_dir), cutoff=lexical.CUTOFF).withColumn("score", _r("score"))
+
+
+@query(f"WITH {_bm25('WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)')} {_LEX} WHERE lexical_rank <= {lexical.CANDIDATES}")
+def bm25_masked(spark, sf_dir):
+    """Toxic documents are masked before the cut and still count in the statistics."""
+    mask = _read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("record_id"))
+    return lexical.topk(_bm(spark, sf_dir, exclude=mask)).withColumn("score", _r("score"))
+
+
+@query(f"WITH {_TOKENS} SELECT term, {_fnv('term', fx.SEEDS[0])} AS h0, {_fnv('term', fx.SEEDS[1])} AS h1 FROM (SELECT DISTINCT term FROM post)")
+def fnv_hash(spark, sf_dir):
+    terms = lexical.token_lists(_read(spark, sf_dir, "documents")).select(F.explode("tokens").alias("term")).distinct()
+    return terms.select("term", *(fx.fnv1a(F.col("term"), s).alias(f"h{k}") for k, s in enumerate(fx.SEEDS)))
+
+
+_BLOOM = f"""words AS (SELECT word, count(*) AS n FROM (SELECT unnest({_raw('text')}) AS word FROM documents) GROUP BY word HAVING count(*) >= (SELECT CASE WHEN count(*) >= 200 THEN 3 ELSE 1 END FROM documents)),
+geo AS (SELECT CAST(pow(2, least(21, greatest(14, ceil(log2(32 * greatest(count(*), 1)))))) AS BIGINT) AS bits FROM words),
+bits AS (SELECT DISTINCT unnest([{_fnv('word', fx.SEEDS[0])} % bits, {_fnv('word', fx.SEEDS[1])} % bits]) AS bit FROM words, geo)"""
+
+
+def _bloom(spark, sf_dir):
+    words = lexical.vocabulary(_read(spark, sf_dir, "documents"))
+    size = lexical.bloom_size(words.count())
+    return lexical.bloom_bits(words, size), size
+
+
+@query(f"WITH {_BLOOM} SELECT bit FROM bits")
+def vocab_bloom_bits(spark, sf_dir):
+    return _bloom(spark, sf_dir)[0]
+
+
+@query(f"""WITH {_BLOOM}, q AS (SELECT item_id AS query_id, unnest({_raw('text')}) AS word FROM benchmark),
+h AS (SELECT query_id, {_fnv('word', fx.SEEDS[0])} % bits AS b0, {_fnv('word', fx.SEEDS[1])} % bits AS b1 FROM q, geo)
+SELECT query_id, round(avg(CASE WHEN b0 IN (SELECT bit FROM bits) AND b1 IN (SELECT bit FROM bits) THEN 1.0::DOUBLE ELSE 0 END), 6) AS known_frac FROM h GROUP BY query_id""")
+def known_frac(spark, sf_dir):
+    bits, size = _bloom(spark, sf_dir)
+    return lexical.known_fraction(_read(spark, sf_dir, "benchmark"), bits, size, "item_id", "text").withColumn("known_frac", _r("known_frac"))
+
+
+_COMMON = f"""common AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct({_raw('text')})) AS word FROM documents) WHERE len(word) >= 3 AND NOT list_contains({_STOP}, word) GROUP BY word
+HAVING count(*) > (SELECT greatest(4, floor(count(*) * 0.05::DOUBLE + 0.5)) FROM documents))"""
+
+
+@query(f"WITH {_COMMON} SELECT word, df FROM common")
+def common_words(spark, sf_dir):
+    return lexical.common_words(_read(spark, sf_dir, "documents"))
+
+
+@query(f"""WITH cap AS (SELECT e, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{{2,}}'))) AS e FROM documents) GROUP BY e),
+small AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS w FROM documents) WHERE w = lower(w))
+SELECT e AS entity, df FROM cap WHERE NOT list_contains({_STOP}, lower(e)) AND lower(e) NOT IN (SELECT w FROM small) AND df <= (SELECT greatest(2, ceil(count(*) * 0.4::DOUBLE)) FROM documents)""")
+def entity_index(spark, sf_dir):
+    return lexical.entities(_read(spark, sf_dir, "documents"))
+
+
+_STEM = "CASE " + " ".join(f"WHEN term LIKE '%{s}' AND len(term) - {len(s)} >= {fx.MIN_STEM} THEN left(term, len(term) - {len(s)})" for s in [*fx.SUFFIXES, "e"]) + " ELSE term END"
+
+
+@query(f"WITH {_TOKENS} SELECT term, {_STEM} AS stem FROM (SELECT DISTINCT term FROM post)")
+def stems(spark, sf_dir):
+    terms = lexical.token_lists(_read(spark, sf_dir, "documents")).select(F.explode("tokens").alias("term")).distinct()
+    return terms.select("term", fx.stem(F.col("term")).alias("stem"))
+
+
+# ---- chunks, cleaning, pages, conversations ---------------------------------
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY coalesce(text, '')")
+def exact_dedupe(spark, sf_dir):
+    return chunks.exact_dedupe(_read(spark, sf_dir, "documents"))
+
+
+_STEP = chunks.TARGET - chunks.TARGET * chunks.OVERLAP // 100
+_WINDOWS = f"""w AS (SELECT doc_id, string_split(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), ' ') AS w FROM documents),
+cut AS (SELECT doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - {chunks.TARGET})::DOUBLE / {_STEP}))::BIGINT + 1)) AS win FROM w WHERE len(w) >= {chunks.LEAST})"""
+
+
+@query(f'WITH {_WINDOWS} SELECT doc_id, win AS "window", win * {_STEP} AS start, len(w[win * {_STEP} + 1 : win * {_STEP} + {chunks.TARGET}])::BIGINT AS n_tokens, sha256(array_to_string(w[win * {_STEP} + 1 : win * {_STEP} + {chunks.TARGET}], \' \')) AS digest FROM cut')
+def flat_windows(spark, sf_dir):
+    return chunks.flat_windows(_read(spark, sf_dir, "documents")).select("doc_id", "window", "start", "n_tokens", F.sha2("text", 256).alias("digest"))
+
+
+@query(f"WITH {_WINDOWS} SELECT doc_id, count(*) AS n_rows FROM cut GROUP BY doc_id")
+def row_map(spark, sf_dir):
+    return chunks.row_map(chunks.flat_windows(_read(spark, sf_dir, "documents")))
+
+
+@query("""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(coalesce(text, '')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents),
+w AS (SELECT doc_id, s, unnest(range(0, greatest(0, len(s) - 2) + 1)) AS win FROM s WHERE len(s) > 0)
+SELECT doc_id, win AS "window", sha256(array_to_string(s[win + 1 : win + 2], ' ')) AS digest FROM w""")
+def sentence_windows(spark, sf_dir):
+    return chunks.sentence_windows(_read(spark, sf_dir, "documents")).select("doc_id", "window", F.sha2("text", 256).alias("digest"))
+
+
+def _redaction() -> str:
+    text, count = "coalesce(text, '')", []
+    ctes, last = [], "r0"
+    ctes.append(f"r0 AS (SELECT doc_id, {text} AS t, 0 AS n FROM documents)")
+    for k, (p, keeps) in enumerate([*fx.SECRETS, (fx.EMAIL, None)], 1):
+        quoted = p.replace("'", "''")
+        new = "[email]" if keeps is None else "\\1[redacted]" if keeps else "[redacted]"
+        ctes.append(f"r{k} AS (SELECT doc_id, regexp_replace(t, '{quoted}', '{new}', 'g') AS t, n + len(regexp_extract_all(t, '{quoted}')) AS n FROM {last})")
+        last = f"r{k}"
+    return f"WITH {', '.join(ctes)} SELECT doc_id, n::BIGINT AS n_redacted, sha256(t) AS digest FROM {last}"
+
+
+@query(_redaction())
+def redact_secrets(spark, sf_dir):
+    text, n = fx.redacted(F.coalesce("text", F.lit("")))
+    return _read(spark, sf_dir, "documents").select("doc_id", n.alias("n_redacted"), F.sha2(text, 256).alias("digest"))
+
+
+@query("""SELECT page_id, nullif(trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title,
+trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<nav[^>]*>.*?</nav>', ' ', 'g'), '(?is)<footer[^>]*>.*?</footer>', ' ', 'g'), '(?is)<title[^>]*>.*?</title>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text FROM pages""")
+def html_title_text(spark, sf_dir):
+    return html.title_text(_read(spark, sf_dir, "pages"))
+
+
+@query("""SELECT page_id, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?([^\\s"''>]+)', 1))) AS href FROM pages""")
+def html_links(spark, sf_dir):
+    return html.hrefs(_read(spark, sf_dir, "pages"))
+
+
+@query()
+def html_sections(spark, sf_dir):
+    return html.sections(_read(spark, sf_dir, "pages"))
+
+
+@query()
+def markdown_chunks(spark, sf_dir):
+    return markdown.chunks(_read(spark, sf_dir, "documents"))
+
+
+@query("""WITH t AS (SELECT page_id, trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages)
+SELECT page_id, replace(regexp_replace(lower(title), '[^\\p{L}\\p{N}\\p{M}_\\- ]', '', 'g'), ' ', '-') AS slug FROM t WHERE title <> ''""")
+def slugify(spark, sf_dir):
+    return html.title_text(_read(spark, sf_dir, "pages")).where("title is not null").select("page_id", fx.slug(F.col("title")).alias("slug"))
+
+
+def _clean_sql(t: str) -> str:
+    t = f"coalesce({t}, '')"
+    for tag in fx.HARNESS_TAGS:
+        t = f"regexp_replace({t}, '(?s)<{tag}>.*?</{tag}>', '', 'g')"
+    return f"regexp_replace(regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+_EXCHANGES = f"""own AS (SELECT conv_id, turn, role, {_clean_sql('text')} AS t, role = 'user' AS u FROM conversations WHERE role <> 'system'),
+st AS (SELECT *, CASE WHEN u AND NOT coalesce(lag(u) OVER w, false) THEN 1 ELSE 0 END AS fresh FROM own WHERE t <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, t)),
+gr AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn, role, t ROWS UNBOUNDED PRECEDING) AS g FROM st),
+ag AS (SELECT conv_id, g, string_agg(t, chr(10) || chr(10) ORDER BY turn, t) FILTER (WHERE u) AS usr, string_agg(t, chr(10) || chr(10) ORDER BY turn, t) FILTER (WHERE NOT u) AS ast FROM gr WHERE g > 0 GROUP BY ALL)"""
+
+
+@query(f"WITH {_EXCHANGES} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY g) AS exchange, count(*) OVER (PARTITION BY conv_id) AS n_exchanges, usr AS \"user\", ast AS assistant FROM ag WHERE ast IS NOT NULL")
+def exchanges(spark, sf_dir):
+    return chunks.exchanges(_read(spark, sf_dir, "conversations"))
+
+
+@query()
+def conversation_records(spark, sf_dir):
+    return chunks.exchange_records(chunks.exchanges(_read(spark, sf_dir, "conversations")))
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id // 64 AS page, sha256(coalesce(text, '')) AS h FROM documents) SELECT page, count(*) AS n_records, sha256(string_agg(h, '' ORDER BY doc_id, h)) AS digest FROM d GROUP BY page""")
+def digest_audit(spark, sf_dir):
+    return chunks.digests(_read(spark, sf_dir, "documents"))[1]
+
+
+# ---- vectors ----------------------------------------------------------------
+
+_QUANT = """n AS (SELECT vec_id AS row_id, list_transform(embedding, lambda x: (x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))::FLOAT) AS v FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+s AS (SELECT row_id, v, list_min(v) AS lo, (list_max(v) - list_min(v))::FLOAT AS sp0 FROM n),
+t AS (SELECT row_id, v, lo, CASE WHEN sp0 < 1e-30 THEN 1::FLOAT ELSE sp0 END AS sp FROM s),
+quant AS (SELECT row_id, list_transform(v, lambda x: least(255, greatest(0, trunc(((x - lo)::FLOAT * (255::FLOAT / sp)::FLOAT)::FLOAT + 0.5::FLOAT)::INT))) AS q, (sp / 255::FLOAT)::FLOAT AS scale, lo AS off FROM t),
+rest AS (SELECT row_id, list_transform(q, lambda c: off::DOUBLE + scale::DOUBLE * c) AS v FROM quant)"""
+_VQ = "vq AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings WHERE vec_id % 20 = 0)"
+_COS = "round(1 - greatest(-1.0::DOUBLE, least(1.0::DOUBLE, list_dot_product(a.v, b.v))), 9)"
+
+
+def _knn(mask: str = "") -> str:
+    return f"{_QUANT}, {_VQ}, d AS (SELECT query_id, row_id, {_COS} AS distance FROM vq a, rest b {mask}), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS vec_rank FROM d)"
+
+
+_KOUT = "SELECT query_id, row_id, round(distance, 6) AS distance, vec_rank FROM k WHERE vec_rank <= 10"
+
+
+def _vectors(spark, sf_dir):
+    return vector.quantize(_read(spark, sf_dir, "embeddings"))
+
+
+def _vector_queries(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").where(vx.valid(F.col("embedding")))
+    return rows.select(F.col("vec_id").alias("query_id"), vx.normalized(F.col("embedding")).alias("vector"))
+
+
+def _near(spark, sf_dir, k=10, **more):
+    return vector.nearest(vector.restored(_vectors(spark, sf_dir)), _vector_queries(spark, sf_dir), k, **more)
+
+
+def _out(df):
+    return df.select("query_id", "row_id", _r("distance").alias("distance"), "vec_rank")
+
+
+@query(f"WITH {_QUANT} SELECT row_id, array_to_string(q, ',') AS codes, round(scale::DOUBLE, 6) AS scale, round(off::DOUBLE, 6) AS \"offset\", list_sum(q)::BIGINT AS sum_q, list_sum(list_transform(q, lambda c: c * c))::BIGINT AS sum_q2 FROM quant")
+def quantize_rows(spark, sf_dir):
+    own = _vectors(spark, sf_dir)
+    return own.select("row_id", F.array_join(F.transform("q", lambda c: c.cast("string")), ",").alias("codes"), _r(F.col("scale").cast("double")).alias("scale"), _r(F.col("offset").cast("double")).alias("offset"), "sum_q", "sum_q2")
+
+
+@query(f"WITH {_QUANT} SELECT a.row_id, round(list_max(list_transform(list_zip(a.v, b.v), lambda p: abs(p[1]::DOUBLE - p[2]))), 6) AS worst FROM n a JOIN rest b USING (row_id)")
+def dequant_error(spark, sf_dir):
+    own = _read(spark, sf_dir, "embeddings").where(vx.valid(F.col("embedding"))).select(F.col("vec_id").alias("row_id"), F.transform(vx.normalized(F.col("embedding")), lambda x: x.cast("float")).alias("_v"))
+    own = own.select("row_id", "_v", F.inline(F.array(vx.quantized(F.col("_v")))))
+    apart = F.zip_with("_v", vx.restored(F.col("q"), F.col("scale"), F.col("offset")), lambda a, b: F.abs(a.cast("double") - b))
+    return own.select("row_id", _r(F.array_max(apart)).alias("worst"))
+
+
+_SKETCH = "list_transform(range(0, 32), lambda i: least(15, floor(floor((q[2 * i + 1] + q[2 * i + 2]) / 2.0::DOUBLE + 0.5) / 17.0::DOUBLE + 0.5))::INT)"
+
+
+@query(f"WITH {_QUANT} SELECT row_id, array_to_string({_SKETCH}, ',') AS sketch FROM quant")
+def sketch_rows(spark, sf_dir):
+    return vector.sketches(_vectors(spark, sf_dir), DIMS).select("row_id", F.array_join(F.transform("sketch", lambda c: c.cast("string")), ",").alias("sketch"))
+
+
+@query(f"WITH {_knn()} {_KOUT}")
+def knn_cosine(spark, sf_dir):
+    return _out(_near(spark, sf_dir))
+
+
+@query(f"WITH {_knn('WHERE row_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 0)')} {_KOUT}")
+def knn_excluding(spark, sf_dir):
+    return _out(_near(spark, sf_dir, exclude=_read(spark, sf_dir, "embeddings").where("label = 0").select(F.col("vec_id").alias("row_id"))))
+
+
+@query(f"WITH {_knn('WHERE row_id IN (SELECT vec_id FROM embeddings WHERE label IN (1, 2))')} {_KOUT}")
+def knn_allowed(spark, sf_dir):
+    return _out(_near(spark, sf_dir, allow=_read(spark, sf_dir, "embeddings").where("label in (1, 2)").select(F.col("vec_id").alias("row_id"))))
+
+
+@query("""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS row_id, round(sqrt(greatest(0.0::DOUBLE, list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) + list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]) - 2 * list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 5) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, row_id, distance, vec_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS vec_rank FROM d) WHERE vec_rank <= 10""")
+def knn_l2(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings").where(vx.valid(F.col("embedding")))
+    left = rows.select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    right = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    return vector.nearest(left, right, 10, metric="l2", skip_self=True).select("query_id", "row_id", _r("distance", 5).alias("distance"), "vec_rank")
+
+
+_SCAN = f"""sk AS (SELECT row_id, list_transform({_SKETCH}, lambda c: (off::DOUBLE + scale::DOUBLE * (c * 17)) * 2) AS v FROM quant),
+pq AS (SELECT query_id, list_transform(range(0, 32), lambda i: (v[2 * i + 1] + v[2 * i + 2]) / 2) AS v FROM vq),
+sd AS (SELECT query_id, row_id, {_COS} AS sdist FROM pq a, sk b),
+sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sdist, row_id) AS srank FROM sd)"""
+
+
+@query(f"WITH {_QUANT}, {_VQ}, {_SCAN}, d AS (SELECT s.query_id, s.row_id, {_COS} AS distance FROM sr s JOIN vq a USING (query_id) JOIN rest b ON b.row_id = s.row_id WHERE srank <= 100), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS vec_rank FROM d) {_KOUT}")
+def two_stage_knn(spark, sf_dir):
+    return _out(vector.two_stage(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), DIMS, 10))
+
+
+@query(f"WITH {_knn()}, {_SCAN}, tr AS (SELECT query_id, row_id, srank FROM k JOIN sr USING (query_id, row_id) WHERE vec_rank <= 10) SELECT c::BIGINT AS c, round(avg(CASE WHEN srank <= c THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall FROM tr, (SELECT unnest([10, 20, 40, 80, 160]) AS c) GROUP BY c")
+def rerank_recall_ladder(spark, sf_dir):
+    return evaluate.rerank_ladder(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), DIMS)
+
+
+_EMBED = f"""hw AS (SELECT item_id AS query_id, text, unnest({_raw('text')}) AS w FROM benchmark),
+hv AS (SELECT query_id, text, (('0x' || substr(sha256(w), 7, 2) || substr(sha256(w), 5, 2) || substr(sha256(w), 3, 2) || substr(sha256(w), 1, 2))::BIGINT % {DIMS})::INT AS i, ('0x' || substr(sha256(w), 9, 2))::BIGINT / 255.0::DOUBLE * 2 - 1 AS x FROM hw),
+hs AS (SELECT query_id, text, i, sum(x) AS x FROM hv GROUP BY ALL), hn AS (SELECT query_id, sqrt(sum(x * x)) AS nrm FROM hs GROUP BY query_id),
+vq AS (SELECT query_id, any_value(text) AS text, list_transform(range(0, {DIMS}), lambda j: coalesce(map_from_entries(list((i, x / nrm)))[j::INT], 0.0::DOUBLE)) AS v FROM hs JOIN hn USING (query_id) GROUP BY query_id)"""
+
+
+def _text_queries(spark, sf_dir):
+    own = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", vx.hash_embedding(fx.raw_tokens(F.col("text")), DIMS).alias("vector"))
+    return own.where(vx.valid(F.col("vector"), DIMS))
+
+
+@query(f"WITH {_EMBED} SELECT query_id, unnest(range(0, {DIMS})) AS place, round(unnest(v), 6) + 0.0 AS value FROM vq")
+def hash_embedding(spark, sf_dir):
+    return _text_queries(spark, sf_dir).select("query_id", F.posexplode("vector").alias("place", "value")).select("query_id", F.col("place").cast("long").alias("place"), (_r("value") + 0.0).alias("value"))
+
+
+_POOL = f"""{_bm25()}, {_QUANT}, {_EMBED}, d AS (SELECT query_id, row_id, {_COS} AS distance FROM vq a, rest b),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS nr FROM d),
+hits AS (SELECT query_id, record_id AS row_id, lexical_rank FROM ranked WHERE lexical_rank <= {lexical.CANDIDATES} AND score >= best * {lexical.CUTOFF!r}::DOUBLE)"""
+_NORM = "trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9'' ]', ' ', 'g'), ' +', ' ', 'g'))"
+_FUSE = f"""pool AS (SELECT n.query_id, n.row_id, distance, lexical_rank, row_number() OVER (PARTITION BY n.query_id ORDER BY distance, n.row_id) AS vec_rank FROM near n LEFT JOIN hits h ON h.query_id = n.query_id AND h.row_id = n.row_id WHERE nr <= 100 OR lexical_rank IS NOT NULL),
+pins AS (SELECT h.query_id, arg_min(h.row_id, lexical_rank) AS pin FROM hits h JOIN documents t ON t.doc_id = h.row_id JOIN vq q ON q.query_id = h.query_id WHERE lexical_rank <= {ranking.PIN_RANKS} AND len(string_split({_NORM.format('q.text')}, ' ')) >= {ranking.PIN_TOKENS} AND contains({_NORM.format('t.text')}, {_NORM.format('q.text')}) GROUP BY h.query_id),
+fz AS (SELECT p.*, coalesce(pin = row_id, false) AS pinned, 1.0::DOUBLE / ({ranking.RRF_K - 1} + vec_rank) + coalesce({ranking.LEXICAL_WEIGHT}::DOUBLE / ({ranking.RRF_K - 1} + lexical_rank), 0) AS fs,
+ max(distance) FILTER (WHERE vec_rank = 1) OVER w AS d1, max(distance) FILTER (WHERE vec_rank = 2) OVER w AS d2 FROM pool p LEFT JOIN pins USING (query_id) WINDOW w AS (PARTITION BY query_id)),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pinned DESC, coalesce(vec_rank = 1 AND CASE WHEN d1 > 0 THEN (d2 - d1) / d1 >= {ranking.GUARD}::DOUBLE ELSE d2 > 0 END, false) DESC, round(fs, 12) DESC, distance, vec_rank) AS fused_rank FROM fz)"""
+
+
+@query(f"WITH {_POOL}, {_FUSE} SELECT query_id, row_id, round(distance, 6) AS distance, vec_rank, lexical_rank, fused_rank FROM fr WHERE fused_rank <= 10")
+def hybrid_search(spark, sf_dir):
+    return _search(spark, sf_dir, "hybrid")
+
+
+@query(f"WITH {_POOL}, {_FUSE} SELECT query_id, row_id, round(distance, 6) AS distance, vec_rank, lexical_rank, vec_rank AS fused_rank FROM pool WHERE vec_rank <= 10")
+def augmented_search(spark, sf_dir):
+    return _search(spark, sf_dir, "augmented")
+
+
+@query(f"WITH {_POOL}, lx AS (SELECT n.query_id, n.row_id, distance, lexical_rank, row_number() OVER (PARTITION BY n.query_id ORDER BY distance, n.row_id) AS vec_rank, row_number() OVER (PARTITION BY n.query_id ORDER BY lexical_rank) AS fused_rank FROM near n JOIN hits h ON h.query_id = n.query_id AND h.row_id = n.row_id) SELECT query_id, row_id, round(distance, 6) AS distance, vec_rank, lexical_rank, fused_rank FROM lx WHERE fused_rank <= 10")
+def lexical_search(spark, sf_dir):
+    return _search(spark, sf_dir, "lexical")
+
+
+@query(f"WITH {_QUANT}, {_EMBED}, d AS (SELECT query_id, row_id, {_COS} AS distance FROM vq a, rest b), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS vec_rank FROM d) SELECT query_id, row_id, round(distance, 6) AS distance, vec_rank, NULL::BIGINT AS lexical_rank, vec_rank AS fused_rank FROM k WHERE vec_rank <= 10")
+def vector_search(spark, sf_dir):
+    return _search(spark, sf_dir, "vector")
+
+
+def _search(spark, sf_dir, mode):
+    found = ranking.search(_read(spark, sf_dir, "documents"), _vectors(spark, sf_dir), _text_queries(spark, sf_dir), mode=mode)
+    return found.withColumn("distance", _r("distance"))
+
+
+# ---- layers -----------------------------------------------------------------
+
+_LAYERS = """sz AS (SELECT count(*) AS n, count(*) // 20 AS step FROM documents),
+lay AS (SELECT d AS depth, sha256('layer' || d) AS identity, CASE WHEN d > 0 THEN sha256('layer' || (d - 1)) END AS parent, CASE WHEN d = 0 THEN n - 4 * step ELSE step END AS n_records FROM sz, (SELECT unnest(range(0, 5)) AS d)),
+iv AS (SELECT *, sum(n_records) OVER (ORDER BY depth)::BIGINT AS row_end, (sum(n_records) OVER (ORDER BY depth) - n_records)::BIGINT AS row_base FROM lay),
+rec AS (SELECT doc_id AS record_id FROM documents),
+tomb AS (SELECT 1 + record_id % 4 AS depth, record_id FROM rec JOIN iv ON depth = 1 + record_id % 4 WHERE record_id % 11 = 0 AND record_id < row_base),
+edge AS (SELECT depth, record_id AS old_id, row_base + record_id % n_records AS new_id FROM rec JOIN iv ON depth = 1 + record_id % 4 WHERE record_id % 13 = 0 AND record_id < row_base)"""
+
+
+def _layered(spark, sf_dir):
+    """Records, layers, deletions and edges by rule from documents: four layers of a twentieth each."""
+    records = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"))
+    n = records.count()
+    step = n // 20
+    base = spark.range(5).select(F.col("id").alias("depth"), F.when(F.col("id") == 0, n - 4 * step).otherwise(step).cast("long").alias("n_records"))
+    name = lambda d: F.sha2(F.concat(F.lit("layer"), d.cast("string")), 256)
+    lay = base.select("depth", name(F.col("depth")).alias("identity"), F.when(F.col("depth") > 0, name(F.col("depth") - 1)).alias("parent"), "n_records")
+    own = records.withColumn("depth", 1 + F.col("record_id") % 4).join(F.broadcast(layers.intervals(lay)), "depth").where("record_id < row_base")
+    tomb = own.where("record_id % 11 = 0").select("depth", "record_id")
+    edge = own.where("record_id % 13 = 0").select("depth", F.col("record_id").alias("old_id"), (F.col("row_base") + F.col("record_id") % F.col("n_records")).alias("new_id"))
+    return records, lay, tomb, edge
+
+
+@query(f"WITH {_LAYERS} SELECT record_id, depth, record_id - row_base AS local_id FROM rec JOIN iv ON record_id >= row_base AND record_id < row_end")
+def owner_tier(spark, sf_dir):
+    records, lay, *_ = _layered(spark, sf_dir)
+    return layers.owners(records, lay)
+
+
+@query(f"WITH {_LAYERS} SELECT record_id FROM rec WHERE record_id NOT IN (SELECT record_id FROM tomb WHERE depth <= 2)")
+def live_records(spark, sf_dir):
+    records, _, tomb, _ = _layered(spark, sf_dir)
+    return layers.live(records, tomb, head=2)
+
+
+@query(f"WITH {_LAYERS} SELECT DISTINCT record_id FROM tomb WHERE depth <= 3 AND record_id NOT IN (SELECT record_id FROM tomb WHERE depth <= 1)")
+def tombstone_delta(spark, sf_dir):
+    *_, tomb, _ = _layered(spark, sf_dir)
+    return layers.tombstone_delta(tomb.where("depth <= 3"), tomb.where("depth <= 1"))
+
+
+@query(f"""WITH {_LAYERS} SELECT DISTINCT record_id, 'lost' AS reason FROM tomb WHERE depth = 1 AND record_id NOT IN (SELECT record_id FROM tomb WHERE depth = 2)
+UNION ALL SELECT DISTINCT record_id, 'beyond' FROM tomb WHERE depth = 2 AND record_id >= (SELECT n // 2 FROM sz)""")
+def superset_violations(spark, sf_dir):
+    records, _, tomb, _ = _layered(spark, sf_dir)
+    return layers.superset_violations(tomb.where("depth = 2"), tomb.where("depth = 1"), records.count() // 2)
+
+
+_WALK = """step1 AS (SELECT old_id, arg_max(new_id, depth) AS new_id FROM edge GROUP BY old_id),
+walk AS (SELECT old_id, new_id AS immediate, new_id AS tip, 1 AS hops FROM step1 UNION ALL SELECT w.old_id, immediate, s.new_id, hops + 1 FROM walk w JOIN step1 s ON s.old_id = w.tip WHERE hops < 64),
+succ AS (SELECT old_id, any_value(immediate) AS immediate, arg_max(tip, hops) AS cur, max(hops) AS hops FROM walk GROUP BY old_id)"""
+
+
+@query(f"WITH RECURSIVE {_LAYERS}, {_WALK} SELECT old_id, immediate, cur AS current, hops::BIGINT AS hops, false AS cyclic FROM succ")
+def supersession_current(spark, sf_dir):
+    return layers.successors(_layered(spark, sf_dir)[3])
+
+
+@query(f"WITH RECURSIVE {_LAYERS}, {_WALK} SELECT record_id, depth, record_id IN (SELECT record_id FROM tomb) AS tombstoned, immediate AS superseded_by, cur AS current_successor FROM rec JOIN iv ON record_id >= row_base AND record_id < row_end LEFT JOIN succ ON old_id = record_id")
+def record_status(spark, sf_dir):
+    return layers.record_status(*_layered(spark, sf_dir))
+
+
+_COMPACT = "comp AS (SELECT record_id, row_number() OVER (ORDER BY record_id) - 1 AS new_id FROM rec WHERE record_id NOT IN (SELECT record_id FROM tomb))"
+
+
+@query(f"WITH {_LAYERS}, {_COMPACT} SELECT record_id, new_id FROM comp")
+def compaction_ids(spark, sf_dir):
+    records, _, tomb, _ = _layered(spark, sf_dir)
+    return layers.compaction_ids(records, tomb)
+
+
+@query(f"WITH RECURSIVE {_LAYERS}, {_WALK}, {_COMPACT} SELECT r.record_id, coalesce(a.new_id, b.new_id) AS new_id, CASE WHEN a.new_id IS NOT NULL THEN 'live' WHEN b.new_id IS NOT NULL THEN 'superseded' ELSE 'deleted' END AS reason FROM rec r LEFT JOIN comp a USING (record_id) LEFT JOIN succ ON old_id = r.record_id LEFT JOIN comp b ON b.record_id = cur")
+def citation_translate(spark, sf_dir):
+    records, _, tomb, edge = _layered(spark, sf_dir)
+    return layers.translated(records, layers.compaction_ids(records, tomb), edge)
+
+
+@query(f"""WITH {_LAYERS}, c AS (SELECT sha256('layer' || (record_id % 7)) AS identity, record_id FROM rec)
+SELECT c.identity, c.record_id, CASE WHEN row_end IS NULL THEN 'unknown-history' WHEN c.record_id >= row_end THEN 'out-of-range' WHEN c.record_id IN (SELECT record_id FROM tomb) THEN 'deleted' ELSE 'valid' END AS status FROM c LEFT JOIN iv USING (identity)""")
+def citation_resolve(spark, sf_dir):
+    records, lay, tomb, _ = _layered(spark, sf_dir)
+    cited = records.select(F.sha2(F.concat(F.lit("layer"), (F.col("record_id") % 7).cast("string")), 256).alias("identity"), "record_id")
+    return layers.citations(cited, lay, tomb)
+
+
+@query(f"""WITH {_LAYERS}, g AS (SELECT depth, count(DISTINCT record_id) AS gone FROM tomb GROUP BY depth),
+x AS (SELECT depth, (sum(CASE WHEN depth > 0 THEN n_records ELSE 0 END) OVER (ORDER BY depth) + sum(coalesce(gone, 0)) OVER (ORDER BY depth))::DOUBLE / (SELECT n_records FROM lay WHERE depth = 0) AS d FROM lay LEFT JOIN g USING (depth))
+SELECT depth, round(d, 6) AS drift, CASE WHEN d > {layers.DRIFT_LIMIT}::DOUBLE THEN 'exceeded' ELSE 'within' END AS status FROM x""")
+def calibration_drift(spark, sf_dir):
+    _, lay, tomb, _ = _layered(spark, sf_dir)
+    return layers.drift(lay, tomb)
+
+
+@query(f"WITH {_LAYERS} SELECT unnest(['depth-gap', 'parent-mismatch', 'tombstone-beyond', 'edge-beyond', 'edge-twice']) AS rule, 0::BIGINT AS n")
+def layer_violations(spark, sf_dir):
+    _, lay, tomb, edge = _layered(spark, sf_dir)
+    return layers.violations(lay, tomb, edge)
+
+
+@query(f"WITH {_LAYERS} SELECT DISTINCT record_id, CASE WHEN record_id >= (SELECT n // 2 FROM sz) THEN 'foreign' WHEN record_id IN (SELECT record_id FROM tomb WHERE depth = 1) THEN 'conflict' ELSE 'keep' END AS action FROM tomb WHERE depth IN (1, 3)")
+def rebase_plan(spark, sf_dir):
+    records, _, tomb, _ = _layered(spark, sf_dir)
+    return layers.rebase_plan(tomb.where("depth in (1, 3)"), tomb.where("depth = 1"), records.count() // 2)
+
+
+@query(f"WITH {_LAYERS}, o AS (SELECT depth, CASE WHEN depth = 3 THEN 'other' ELSE identity END AS identity FROM lay) SELECT (coalesce(min(depth) FILTER (WHERE o.identity IS DISTINCT FROM lay.identity), max(depth) + 1) - 1)::BIGINT AS fork_depth FROM lay FULL JOIN o USING (depth)")
+def fork_point(spark, sf_dir):
+    lay = _layered(spark, sf_dir)[1]
+    return layers.fork_depth(lay, lay.withColumn("identity", F.when(F.col("depth") == 3, "other").otherwise(F.col("identity"))))
+
+
+@query(f"WITH {_LAYERS} SELECT doc_id AS record_id, coalesce(source, '') AS kind FROM documents WHERE doc_id NOT IN (SELECT record_id FROM tomb) AND source = 'src1' AND lang = 'en' ORDER BY doc_id DESC LIMIT 10")
+def latest_notes(spark, sf_dir):
+    """Documents stand for notes, their source for the kind and their language for the tag."""
+    notes = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.coalesce("source", F.lit("")).alias("kind"), F.array(F.lower("lang")).alias("tags"))
+    return layers.latest_notes(notes, _layered(spark, sf_dir)[2], kind="src1", tag="EN").select("record_id", "kind")
+
+
+# ---- calibration and evaluation ---------------------------------------------
+
+
+@query(f"WITH {_knn()} SELECT query_id, round(min(distance) FILTER (WHERE vec_rank = 1), 6) AS d0, round(max(distance) FILTER (WHERE vec_rank = 5) - min(distance) FILTER (WHERE vec_rank = 1), 6) AS margin, round(avg(distance) FILTER (WHERE vec_rank <= 10), 6) AS mean10 FROM k GROUP BY query_id")
+def distance_signals(spark, sf_dir):
+    return evaluate.distance_signals(_near(spark, sf_dir))
+
+
+@query(f"WITH {_knn()}, p AS (SELECT query_id, 1 - distance * 10 AS p FROM k WHERE vec_rank = 2) SELECT query_id, CASE WHEN p < 0.3 THEN 'none' WHEN p < 0.6 THEN 'weak' ELSE 'strong' END AS verdict FROM p")
+def verdict(spark, sf_dir):
+    return _near(spark, sf_dir).where("vec_rank = 2").select("query_id", evaluate.verdict(1 - F.col("distance") * 10, 0.3, 0.6).alias("verdict"))
+
+
+_SCORED = f"sc AS (SELECT len({_index('text')})::DOUBLE / (len({_index('text')}) + 100) AS s, quality AS y FROM documents JOIN labels USING (doc_id))"
+
+
+def _scored(spark, sf_dir):
+    own = lexical.token_lists(_read(spark, sf_dir, "documents")).withColumn("s", F.col("dl") / (F.col("dl") + 100))
+    return own.join(_read(spark, sf_dir, "labels"), F.col("record_id") == F.col("doc_id")).select("s", F.col("quality").alias("y"))
+
+
+@query(f"""WITH {_SCORED}, pr AS (SELECT sum(CASE WHEN a.s > b.s THEN 1.0::DOUBLE WHEN a.s = b.s THEN 0.5 ELSE 0 END) AS won FROM sc a, sc b WHERE a.y = 1 AND b.y = 0)
+SELECT round(won / ((SELECT count(*) FROM sc WHERE y = 1) * (SELECT count(*) FROM sc WHERE y = 0)), 6) AS auc, (SELECT count(*) FROM sc WHERE y = 1) AS n_pos, (SELECT count(*) FROM sc WHERE y = 0) AS n_neg FROM pr""")
+def auc(spark, sf_dir):
+    return evaluate.auc(_scored(spark, sf_dir), "s", "y")
+
+
+@query(f"WITH {_SCORED} SELECT round((list_sort(list(s)))[least(count(*) - 1, floor(0.9::DOUBLE * count(*)))::BIGINT + 1], 6) AS value FROM sc")
+def quantile_floor(spark, sf_dir):
+    return evaluate.quantile_floor(_scored(spark, sf_dir), "s", 0.9).withColumn("value", _r("value"))
+
+
+_JUDGED = f"""{_QUANT}, {_VQ}, d AS (SELECT query_id, row_id, {_COS} AS distance FROM vq a, rest b WHERE query_id <> row_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS vec_rank FROM d),
+j AS (SELECT k.*, (x.label = y.label)::INT AS rel FROM k JOIN embeddings x ON x.vec_id = query_id JOIN embeddings y ON y.vec_id = row_id WHERE vec_rank <= 10)"""
+
+
+def _judged(spark, sf_dir):
+    """The ten nearest other rows with relevance: the same label."""
+    labels = _read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    near = _near(spark, sf_dir, skip_self=True)
+    own = near.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("_a")), "query_id").join(labels.select(F.col("vec_id").alias("row_id"), F.col("label").alias("_b")), "row_id")
+    ranked = own.withColumn("relevant", (F.col("_a") == F.col("_b")).cast("int"))
+    sizes = labels.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
+    return ranked, labels.join(sizes, "label").select(F.col("vec_id").alias("query_id"), "n_relevant")
+
+
+@query(f"""WITH {_JUDGED}, c AS (SELECT label, count(*) - 1 AS m FROM embeddings GROUP BY label), g AS (SELECT query_id, sum(rel / log2(vec_rank + 1)) AS gain, sum(rel) AS hit FROM j GROUP BY query_id)
+SELECT query_id, round(gain / list_sum(list_transform(range(1, least(10, m) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg, round(hit::DOUBLE / m, 6) AS recall FROM g JOIN embeddings ON vec_id = query_id JOIN c USING (label) WHERE m > 0""")
+def eval_ndcg(spark, sf_dir):
+    return evaluate.ndcg(*_judged(spark, sf_dir))
+
+
+@query(f"""WITH {_JUDGED}, f AS (SELECT query_id, min(vec_rank) FILTER (WHERE rel = 1) AS r FROM j GROUP BY query_id)
+SELECT round(avg((coalesce(r, 99) <= 1)::INT::DOUBLE), 6) AS success_1, round(avg((coalesce(r, 99) <= 3)::INT::DOUBLE), 6) AS success_3, round(avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE / r ELSE 0 END), 6) AS mrr FROM f""")
+def eval_mrr(spark, sf_dir):
+    return evaluate.reciprocal(_judged(spark, sf_dir)[0])
+
+
+@query(f"WITH {_knn()} SELECT query_id, coalesce(bool_or(row_id = query_id AND vec_rank <= 5), false) AS found FROM k GROUP BY query_id")
+def self_recall(spark, sf_dir):
+    return _near(spark, sf_dir, 5).groupBy("query_id").agg(F.max(F.col("row_id") == F.col("query_id")).alias("found"))
+
+
+@query()
+def coverage(spark, sf_dir):
+    """How well the best lexical hits ground each benchmark text."""
+    docs, items = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    hits = lexical.topk(lexical.bm25(docs, items), calibrate.PASSAGES)
+    pairs = hits.join(docs.select(F.col("doc_id").alias("record_id"), F.col("text").alias("passage")), "record_id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    return calibrate.coverage(pairs.withColumnRenamed("lexical_rank", "passage_rank"), lexical.common_words(docs))
+
+
+@query()
+def calibration_fit(spark, sf_dir):
+    """Thresholds and AUC of a fit that tells held-in rows from rows whose label is masked, by distance signals of a bounded probe set."""
+    import numpy as np
+
+    probes = chunks.sampled(_vector_queries(spark, sf_dir).withColumnRenamed("query_id", "probe"), calibrate.PROBES // 2, "probe").withColumnRenamed("probe", "query_id")
+    rows, labels = vector.restored(_vectors(spark, sf_dir)), _read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    good = evaluate.distance_signals(vector.nearest(rows, probes, 10)).withColumn("y", F.lit(1))
+    away = vector.nearest(rows.join(labels.where("label <> 0"), F.col("row_id") == F.col("vec_id")).select("row_id", "vector"), probes.join(labels.where("label = 0"), F.col("query_id") == F.col("vec_id")).select("query_id", "vector"), 10)
+    made = good.union(evaluate.distance_signals(away).withColumn("y", F.lit(0))).orderBy("y", "query_id").toPandas()  # at most PROBES rows
+    found = calibrate.calibrated(made[["d0", "margin", "mean10"]].to_numpy(), made["y"].to_numpy().astype(np.int64))
+    return spark.createDataFrame([(len(made), found["auc"], found["hard"], found["weak"], found["passed"])], "n_probes long, auc double, hard double, weak double, passed boolean")
+
+
+@query()
+def goldens_replay(spark, sf_dir):
+    """Every query vector should find its own row."""
+    near = _near(spark, sf_dir).withColumnRenamed("vec_rank", "fused_rank")
+    tests = _vector_queries(spark, sf_dir).select("query_id", F.col("query_id").alias("expect_id"))
+    return evaluate.replay(tests, near)
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    return append.event_windows(_read(spark, sf_dir, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
