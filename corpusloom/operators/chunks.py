@@ -19,9 +19,10 @@ def flat_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = F.split(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[ \t\n\x0B\f\r]+", " ")), " ")
     own = df.select(F.col(id_col), words.alias("_w")).where(F.size("_w") >= least)
     last = F.greatest(F.lit(0), F.ceil((F.size("_w") - target) / step)).cast("int")
-    cut = own.select(id_col, "_w", F.explode(F.sequence(F.lit(0), last)).alias("window"))
-    part = F.slice("_w", F.col("window") * step + 1, target)
-    return cut.select(id_col, F.col("window").cast("long").alias("window"), (F.col("window") * step).cast("long").alias("start"), F.size(part).cast("long").alias("n_tokens"), F.array_join(part, " ").alias("text"))
+    # the windows are cut before they are exploded, so that no row carries a whole text's words
+    part = lambda i: F.slice("_w", i * step + 1, target)
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.cast("long").alias("window"), (i * step).cast("long").alias("start"), F.size(part(i)).cast("long").alias("n_tokens"), F.array_join(part(i), " ").alias("text")))
+    return own.select(id_col, F.inline(cut))
 
 
 def sentence_windows(df: DataFrame, n: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

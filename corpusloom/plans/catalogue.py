@@ -35,7 +35,10 @@ def query(sql: str | None = None):
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table; one that comes as fewer splits than there are cores (a single small file) is dealt out to all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "embeddings") and df.rdd.getNumPartitions() < cores else df
 
 
 def _r(column, digits: int = 6):
