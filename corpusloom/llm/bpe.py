@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ._common import map_rows
 
 #: Entries that the memories of chunks and of fragments may hold before they start anew.
-CHUNKS, FRAGMENTS = 400_000, 100_000
+CHUNKS, FRAGMENTS = 800_000, 400_000
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Printable characters below U+0250 are stable under NFC and have no white space among them.
 _PLAIN = re.compile("[!-~¡-ɏ]+")
