@@ -27,8 +27,10 @@ from pyspark.sql import types as T
 from ._common import map_rows, materialize, small_or_shuffled
 from ._components import components
 
-#: Corners of an image, by response, over both scales; bits of difference in a match; agreeing matches; meetings before geometry is asked.
-CORNERS, BITS, AGREE, MEETINGS = 24, 12, 8, 3
+#: Bits of difference in a match; agreeing matches; meetings before geometry is asked.
+BITS, AGREE, MEETINGS = 12, 8, 3
+#: Agreeing corners that unlike pictures of many corners may have by chance.
+CHANCE = 6
 _MARGIN, _RADIUS = 6, 5
 _rng = np.random.default_rng(20_240_601)
 _PATTERN = np.clip(_rng.normal(0, 2.2, (128, 2, 2)), -4, 4)
@@ -56,7 +58,7 @@ def _box(x: np.ndarray) -> np.ndarray:
 
 def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Corners (x, y, scale, angle) in the image's own pixels and their 16-byte descriptors."""
-    places, bits, score = [], [], []
+    places, bits = [], []
     image, scale = pixels.astype(np.float32), 1.0
     for _ in range(2):
         h, w = image.shape
@@ -80,33 +82,59 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             value = soft[py, px]
             bits.append(np.packbits(value[..., 0] < value[..., 1], axis=1))
             places.append(np.stack([x * scale, y * scale, np.full(len(x), scale), angle], 1))
-            score.append(response[y, x])
         image = soft[: h // 2 * 2, : w // 2 * 2].reshape(h // 2, 2, w // 2, 2).mean((1, 3))
         scale *= 2
     if not places:
         return np.zeros((0, 4), np.float32), np.zeros((0, 16), np.uint8)
-    best = np.argsort(-np.concatenate(score), kind="stable")[:CORNERS]
-    return np.concatenate(places)[best].astype(np.float32), np.concatenate(bits)[best]
+    return np.concatenate(places).astype(np.float32), np.concatenate(bits)
 
 
-def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
-    """Matched corners that agree on the best scale, rotation and shift."""
+def _fit(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: int = 1) -> tuple[int, int]:
+    """Matched corners that agree on the best scale, rotation and shift, and the corners that each shows of the other's frame, the fewer; 0, 0 below least."""
     (pa_, da), (pb, db) = a, b
-    if not len(da) or not len(db):
-        return 0
-    apart = np.bitwise_count(da[:, None] ^ db[None]).sum(2)
+    if min(len(da), len(db)) < least:
+        return 0, 0
+    apart = np.bitwise_count(da.view(np.uint64)[:, None] ^ db.view(np.uint64)[None])
+    apart = apart[..., 0] + apart[..., 1]
     j = apart.argmin(1)
     i = np.flatnonzero(apart[np.arange(len(da)), j] <= BITS)
     p, q = pa_[i].astype(np.float64), pb[j[i]].astype(np.float64)
-    best = 0
-    for k in range(len(i)):
-        s, turn = q[k, 2] / p[k, 2], q[k, 3] - p[k, 3]
-        d = p[:, :2] - p[k, :2]
-        x = q[k, 0] + s * (np.cos(turn) * d[:, 0] - np.sin(turn) * d[:, 1])
-        y = q[k, 1] + s * (np.sin(turn) * d[:, 0] + np.cos(turn) * d[:, 1])
-        near = np.hypot(x - q[:, 0], y - q[:, 1]) <= 3 * max(1.0, s)
-        best = max(best, len(np.unique(j[i][near])))
-    return best
+    scale, turn = q[:, 2] / p[:, 2], q[:, 3] - p[:, 3]
+    cos, sin = (scale * np.cos(turn))[:, None], (scale * np.sin(turn))[:, None]
+    dx, dy = p[:, 0] - p[:, 0, None], p[:, 1] - p[:, 1, None]
+    x = q[:, 0, None] + cos * dx - sin * dy - q[:, 0]
+    y = q[:, 1, None] + sin * dx + cos * dy - q[:, 1]
+    near = x * x + y * y <= 9 * np.maximum(1.0, scale[:, None]) ** 2
+    best, at, most = least - 1, -1, near.sum(1)
+    for k in np.argsort(-most, kind="stable"):
+        if most[k] <= best:
+            break
+        n = len(np.unique(j[i][near[k]]))
+        if n > best:
+            best, at = n, k
+    if at < 0:
+        return 0, 0
+    return best, min(_inside(pa_, pb, p[at], q[at], scale[at], turn[at]), _inside(pb, pa_, q[at], p[at], 1 / scale[at], -turn[at]))
+
+
+def _inside(places: np.ndarray, others: np.ndarray, p: np.ndarray, q: np.ndarray, scale: float, turn: float) -> int:
+    """How many places fall into the frame of the others if p is moved to q."""
+    d = places[:, :2] - p[:2]
+    x = q[0] + scale * (np.cos(turn) * d[:, 0] - np.sin(turn) * d[:, 1])
+    y = q[1] + scale * (np.sin(turn) * d[:, 0] + np.cos(turn) * d[:, 1])
+    low, high = others[:, :2].min(0) - 3, others[:, :2].max(0) + 3
+    return int(((x >= low[0]) & (x <= high[0]) & (y >= low[1]) & (y <= high[1])).sum())
+
+
+def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Matched corners that agree on the best scale, rotation and shift."""
+    return _fit(a, b)[0]
+
+
+def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether enough corners agree: AGREE, and CHANCE more than a quarter of those that the common part shows."""
+    found, shown = _fit(a, b, AGREE)
+    return found >= AGREE and found >= CHANCE + shown / 4
 
 
 def _features(df: DataFrame, image_col: str) -> DataFrame:
@@ -138,7 +166,7 @@ def _confirmed(pairs: DataFrame, features: DataFrame) -> DataFrame:
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = zip(*(c.to_pylist() for c in batch.columns[2:]))
-            good = pa.array([k for k, (p, d, q, e) in enumerate(rows) if agreeing(read(p, d), read(q, e)) >= AGREE], pa.int64())
+            good = pa.array([k for k, (p, d, q, e) in enumerate(rows) if alike(read(p, d), read(q, e))], pa.int64())
             return pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good)], names=["a", "b"])
 
         return step

@@ -228,3 +228,15 @@ def test_rendered_vectors(spark):
     out = {r["vec_id"]: r["image"] for r in media.rendered(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding").collect()}
     assert media.read_pgm(out[1]).shape == (80, 80) and out[2] is None and out[3] is None and out[5] is None
     assert (media.read_pgm(out[4]) == 128).all()
+
+
+def drawn(rng, n):
+    out = []
+    for v in rng.normal(0, 1, (n, 64)):
+        out.append(media._box(np.kron((128 + 48 * (v - v.mean()) / v.std()).reshape(8, 8), np.ones((10, 10)))).clip(0, 255).astype(np.uint8))
+    return out
+
+
+def test_a_quarter_of_a_picture_keeps_its_corners():
+    pictures = drawn(np.random.default_rng(5), 40)
+    assert all(media.alike(media.describe(p[20:60, 20:60]), media.describe(p)) for p in pictures)
