@@ -1,4 +1,4 @@
-"""Connected components of links, by least labels and pointer jumping over written tables."""
+"""Pairs of a bucket's members, and connected components of links by least labels and pointer jumping over written tables."""
 
 from __future__ import annotations
 
@@ -7,6 +7,24 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
+#: Members of a bucket that one task pairs with as many others.
+BLOCK = 256
+
+
+def bucket_pairs(member: DataFrame) -> DataFrame:
+    """(key, a, b): every two members of each bucket once, as structs of the columns of member (key, node, ...), a.node < b.node.
+
+    A large bucket is split into blocks, and each pair of blocks is a key of its own.
+    """
+    own = [c for c in member.columns if c != "key"]
+    blocks = member.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).where("_blocks > 0")
+    dealt = member.join(blocks, "key").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    cell = ["key", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi")]
+    side = lambda x: dealt.select(*cell, F.col("_own").alias(f"_{x}"), F.struct(*own).alias(x))
+    both = side("a").join(side("b"), ["key", "_lo", "_hi"])
+    return both.where("a.node < b.node and (_lo = _hi or _a <> _b)").select("key", "a", "b")
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (a, b); the label is the least node of the component.

@@ -4,10 +4,11 @@ Grey images (binary PGM) get corners at two scales (Harris responses, greatest i
 their neighbourhood), an orientation from the intensity centroid, and 128 binary
 tests turned by it. Equal images are one node from the start. Each descriptor goes
 to four tables by its 32-bit quarters, so descriptors up to three bits apart meet in
-at least one. A bucket's members are compared with its least and greatest member
-alone; pairs that meet in enough buckets are confirmed by geometry: of the matched
-corners, enough must agree on one scale, rotation and shift. Components of the
-confirmed links are the classes.
+at least one. Every two members of a bucket meet, and all pairs that meet often enough
+are confirmed by geometry: of the matched corners, enough must agree on one scale,
+rotation and shift. Components of the confirmed links are the classes. Where pictures
+are built of few patterns, most of them meet and the work grows with the square of
+their number.
 
 Rows: a null, broken or flat image (no corners) has only exact copies in its class;
 null images are each a class of their own; a null id takes part; repeated rows belong
@@ -24,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_rows, materialize, small_or_shuffled
-from ._components import components
+from ._common import map_rows, materialize, prepare, small_or_shuffled
+from ._components import bucket_pairs, components
 
 #: Bits of difference in a match; agreeing matches; meetings before geometry is asked.
 BITS, AGREE, MEETINGS = 12, 8, 3
 #: Agreeing corners that unlike pictures of many corners may have by chance.
 CHANCE = 6
+#: Pairs that a task confirms at a time, at about.
+_PAIRS = 4000
 _MARGIN, _RADIUS = 6, 5
 _rng = np.random.default_rng(20_240_601)
 _PATTERN = np.clip(_rng.normal(0, 2.2, (128, 2, 2)), -4, 4)
@@ -157,21 +160,26 @@ def _features(df: DataFrame, image_col: str) -> DataFrame:
     return map_rows(df, ["_node", image_col], make, schema).dropDuplicates(["_node"])
 
 
-def _confirmed(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose geometry agrees."""
-    side = lambda x: features.select(F.col("_node").alias(x), F.col("_places").alias(f"p{x}"), F.col("_bits").alias(f"d{x}"))
+def _confirmed(pairs: DataFrame, features: DataFrame, n: int) -> DataFrame:
+    """The n pairs (a, b) whose geometry agrees.
 
-    def make():
-        read = lambda p, d: (np.frombuffer(p, np.float32).reshape(-1, 4), np.frombuffer(d, np.uint8).reshape(-1, 16))
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = zip(*(c.to_pylist() for c in batch.columns[2:]))
-            good = pa.array([k for k, (p, d, q, e) in enumerate(rows) if alike(read(p, d), read(q, e))], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good)], names=["a", "b"])
+    Nodes fall into parts, and the pairs of two parts are one group, to which each
+    image comes once.
+    """
+    prepare(pairs.sparkSession)
+    parts = int(np.ceil(np.sqrt(max(n, 1) / _PAIRS)))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    dealt = pairs.select("a", "b", (part("a") * parts + part("b")).alias("_group"))
+    asked = dealt.select(F.col("_group").alias("_of"), F.explode(F.array("a", "b")).alias("_node")).distinct()
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-        return step
+    def step(own: pa.Table, images: pa.Table) -> pa.Table:
+        rows = zip(*(images[c].to_pylist() for c in ("_node", "_places", "_bits")))
+        held = {node: (np.frombuffer(p, np.float32).reshape(-1, 4), np.frombuffer(d, np.uint8).reshape(-1, 16)) for node, p, d in rows}
+        good = [k for k, (x, y) in enumerate(zip(own["a"].to_pylist(), own["b"].to_pylist())) if alike(held[x], held[y])]
+        return own.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    return map_rows(pairs.join(side("a"), "a").join(side("b"), "b"), ["a", "b", "pa", "da", "pb", "db"], make, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    return dealt.groupBy("_group").cogroup(asked.join(features, "_node").groupBy("_of")).applyInArrow(step, schema)
 
 
 def copies(df: DataFrame, id_col: str, image_col: str) -> DataFrame:
@@ -181,11 +189,10 @@ def copies(df: DataFrame, id_col: str, image_col: str) -> DataFrame:
     features = materialize(_features(rows.where("_node is not null"), "_image"))
     quarters = F.array(*(F.concat(F.lit(bytes([t])), F.substring(F.col("_bits"), F.col("_k") * 16 + 4 * t + 1, F.lit(4))) for t in range(4)))
     met = features.select("_node", "_bits", F.explode(F.sequence(F.lit(0), (F.length("_bits") / 16).cast("int") - 1)).alias("_k")).select("_node", F.explode(quarters).alias("_key"))
-    leaders = materialize(met.groupBy("_key").agg(F.min("_node").alias("lo"), F.max("_node").alias("hi")).where("lo < hi"))
-    together = met.join(small_or_shuffled(leaders, leaders.count()), "_key")
-    pairs = together.select("_node", F.explode(F.array("lo", "hi")).alias("to")).where("_node <> to")
-    pairs = materialize(pairs.groupBy(F.least("_node", "to").alias("a"), F.greatest("_node", "to").alias("b")).count().where(F.col("count") >= MEETINGS).drop("count"))
-    links = materialize(_confirmed(pairs, features))
+    member = materialize(met.groupBy(F.col("_key").alias("key"), F.col("_node").alias("node")).agg(F.count("*").alias("n")))
+    pairs = bucket_pairs(member).groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.sum(F.greatest("a.n", "b.n")).alias("_met"))
+    pairs = materialize(pairs.where(F.col("_met") >= MEETINGS).drop("_met"))
+    links = materialize(_confirmed(pairs, features, pairs.count()))
     labels = components(links)
     degree = links.select("a").unionAll(links.select("b")).groupBy(F.col("a").alias("_node")).agg(F.count("*").alias("_links"))
     found = materialize(labels.withColumnRenamed("node", "_node").join(degree, "_node"))

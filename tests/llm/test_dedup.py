@@ -240,3 +240,16 @@ def drawn(rng, n):
 def test_a_quarter_of_a_picture_keeps_its_corners():
     pictures = drawn(np.random.default_rng(5), 40)
     assert all(media.alike(media.describe(p[20:60, 20:60]), media.describe(p)) for p in pictures)
+
+
+def test_copies_in_full_buckets_like_brute_force(spark):
+    pictures = drawn(np.random.default_rng(6), 250)
+    pictures += [p[7:60, 3:70] for p in pictures[:25]] + [p[20:60, 20:60] for p in pictures[25:50]] + [p * 0.9 + 10 for p in pictures[50:75]]
+    data = [media.write_pgm(p) for p in pictures]
+    own = [media.describe(media.read_pgm(b)) for b in data]
+    links = {(i, j) for j in range(len(own)) for i in range(j) if media.alike(own[i], own[j]) or media.alike(own[j], own[i])}
+    assert links == {(k, 250 + k) for k in range(75)}
+    out = media.copies(spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(data)], "doc_id long, image binary"), "doc_id", "image").collect()
+    of = {r["doc_id"]: r["class_id"] for r in out}
+    assert of == {k: k - 250 if k >= 250 else k for k in range(len(own))}
+    assert sum(r["n_links"] for r in out) == 150
