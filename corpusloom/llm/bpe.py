@@ -156,6 +156,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drop what this process holds of encoders; stages that need none call it, as Python workers are used again."""
+    _encoders.clear()
+
+
 def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode and decode every whole text: id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids also ids and decoded."""
     fields = [T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]

@@ -5,9 +5,11 @@ vocabulary (the tokens of a public BPE file), an order (bigrams over unigrams) a
 their smoothing. A document's score is the mean over its tokens of target loss less
 background loss: the lower, the closer to the target.
 
-Every document's tokens are counted. Bigram counts stand in SLOTS hashed slots, so
-the model that scorers share has a fixed size whatever the corpus; bigrams that
-meet in a slot share their count in both models alike.
+Every document's tokens and bigrams are counted, each bigram (context, token) by
+itself: the table of bigrams grows with the corpus and is never held in one place.
+Documents stand in chunks of about CHUNK tokens. A chunk sends each of its bigrams
+once, with its own counts; sums over all chunks come back to it where they differ,
+and it scores its documents. Only counts of single tokens are shared by all.
 
 Rows: a null or empty text has no tokens, no losses and no score; repeated rows
 count and are scored each; without a target text the target model is uniform; an
@@ -18,97 +20,144 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from ._common import U64, map_rows, materialize, mix64, small_or_shuffled
+from ._common import map_rows, materialize, small_or_shuffled
 
-SLOTS = 1 << 20
 #: Added to each unigram count, and the weight of the unigram model in a bigram's estimate.
 ADD, WEIGHT = 0.5, 20.0
-_FLUSH = 1 << 20
+#: Tokens of the documents that are scored together (a longer document goes alone).
+CHUNK = 1 << 20
 
 
-def slots(ids: np.ndarray, start: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token its context and the slot of the bigram."""
+def bigrams(ids: np.ndarray, size: np.ndarray, start: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token of texts of the given sizes, one after another, its context and its bigram's key."""
     before = np.concatenate(([start], ids[:-1])).astype(np.int64)
-    key = before.astype(U64) * U64(vocabulary) + ids.astype(U64)
-    return before, (mix64(key) & U64(SLOTS - 1)).astype(np.int64)
+    before[(np.cumsum(size) - size)[size > 0]] = start
+    return before, before * vocabulary + ids
 
 
 class Model:
     """Losses of tokens under one model."""
 
-    def __init__(self, unigrams: np.ndarray, bigrams: np.ndarray, documents: int, start: int):
-        n = len(unigrams)
-        self.p1 = ((unigrams + ADD) / (unigrams.sum() + ADD * n)).astype(np.float32)
-        seen = unigrams.astype(np.float64)
-        seen[start] += documents
-        self.total, self.bigrams = (seen + WEIGHT).astype(np.float32), bigrams.astype(np.float32)
+    def __init__(self, unigrams: np.ndarray, documents: int, start: int):
+        self.p1 = (unigrams + ADD) / (unigrams.sum() + ADD * len(unigrams))
+        self.total = unigrams + WEIGHT
+        self.total[start] += documents
 
-    def losses(self, ids: np.ndarray, before: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        return np.log(self.total[before]) - np.log(self.bigrams[slot] + np.float32(WEIGHT) * self.p1[ids])
+    def losses(self, ids: np.ndarray, before: np.ndarray, bigram: np.ndarray) -> np.ndarray:
+        """bigram: the count of each token's bigram."""
+        return np.log(self.total[before]) - np.log(bigram + WEIGHT * self.p1[ids])
 
 
 def _tokens(df: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _target, _ids) with the ids as 16-bit integers where they fit."""
+    """(_id, _target, _ids, _chunk) with the ids as 16-bit integers where they fit."""
     wide = len(bpe.encoder(path).tokens) > 1 << 16
-    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_target", T.BooleanType()), T.StructField("_ids", T.BinaryType())])
+    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_target", T.BooleanType()), T.StructField("_ids", T.BinaryType()), T.StructField("_chunk", T.LongType())])
+    width = 4 if wide else 2
 
     def make():
         own = bpe.encoder(path)
+        state = {"chunk": TaskContext.get().partitionId() << 32, "n": 0}
+
+        def chunk(n: int) -> int:
+            if state["n"] and state["n"] + n > CHUNK:
+                state["chunk"] += 1
+                state["n"] = 0
+            state["n"] += n
+            return state["chunk"]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [own.encode(t or "") for t in batch.column(2).to_pylist()]
             if not wide:
                 ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=schema.names)
+            chunks = pa.array([chunk(len(x) // width) for x in ids], pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), chunks], names=schema.names)
 
         return step
 
     return map_rows(df, [id_col, "_target", text_col], make, schema)
 
 
-def _counts(tokens: DataFrame, start: int, vocabulary: int, kind: str) -> DataFrame:
-    """(key, background, target): counts of slots, then of tokens, then of documents."""
-    size = SLOTS + vocabulary + 1
+def _flat(column: pa.ChunkedArray | pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows one after another, and how many each row has."""
+    parts = [np.frombuffer(x, kind) for x in column.to_pylist()]
+    return np.concatenate([np.zeros(0, kind), *parts]).astype(np.int64), np.array([len(p) for p in parts], np.int64)
+
+
+def _unigrams(tokens: DataFrame, vocabulary: int, kind: str) -> np.ndarray:
+    """Two rows, of background and target: counts of tokens, then of documents with tokens."""
+    size = vocabulary + 1
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "background", "target")])
 
     def make():
+        bpe.forget()
         total = np.zeros((2, size), np.int64)
-        held: list[list[np.ndarray]] = [[], []]
-        state = {"n": 0}
-
-        def flush() -> None:
-            for k, parts in enumerate(held):
-                if parts:
-                    total[k] += np.bincount(np.concatenate(parts), minlength=size)
-                    parts.clear()
-            state["n"] = 0
 
         def step(batch: pa.RecordBatch) -> None:
-            for raw, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(raw, kind).astype(np.int64)
-                if len(ids):
-                    held[bool(target)] += [slots(ids, start, vocabulary)[1], ids + SLOTS, np.array([size - 1])]
-                    state["n"] += len(ids)
-                    if state["n"] >= _FLUSH:
-                        flush()
+            wanted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            ids, n = _flat(batch.column(0), kind)
+            for k, rows in enumerate((np.ones(len(n), bool), wanted)):  # the background is every document
+                total[k, :-1] += np.bincount(ids[np.repeat(rows, n)], minlength=vocabulary)
+                total[k, -1] += np.count_nonzero(n[rows])
 
         def finish():
-            flush()
-            total[0] += total[1]  # the background is every document
-            for at in range(0, size, 1 << 16):
-                part = total[:, at : at + (1 << 16)]
-                keys = np.flatnonzero(part[0])
-                yield pa.RecordBatch.from_arrays([pa.array(keys + at), pa.array(part[0, keys]), pa.array(part[1, keys])], names=schema.names)
+            keys = np.flatnonzero(total[0])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total[0, keys]), pa.array(total[1, keys])], names=schema.names)
 
         step.finish = finish
         return step
 
-    return map_rows(tokens, ["_ids", "_target"], make, schema).groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    counts = map_rows(tokens, ["_ids", "_target"], make, schema).groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    rows, found = counts.toArrow(), np.zeros((2, size), np.int64)  # at most vocabulary + 1 rows
+    key = rows["key"].to_numpy()
+    found[0, key], found[1, key] = rows["background"].to_numpy(), rows["target"].to_numpy()
+    return found
+
+
+def _sums(tokens: DataFrame, start: int, vocabulary: int, kind: str) -> DataFrame:
+    """(_of, key, background, target): counts over all chunks of the bigrams of chunk _of that others hold too."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("_of", "key", "own", "own_target")])
+
+    def make():
+        bpe.forget()
+        held: list[tuple] = []
+        state = {"chunk": None}
+
+        def flush():
+            if not held:
+                return
+            keys, wanted = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            held.clear()
+            key, at = np.unique(keys, return_inverse=True)
+            own, own_target = np.bincount(at), np.bincount(at, wanted).astype(np.int64)
+            for k in range(0, len(key), 50_000):
+                part = slice(k, k + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), state["chunk"])), pa.array(key[part]), pa.array(own[part]), pa.array(own_target[part])], names=schema.names)
+
+        def step(batch: pa.RecordBatch):
+            chunk, wanted = batch.column(2).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            edge = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for lo, hi in zip(edge, edge[1:]):
+                if hi > lo:
+                    if chunk[lo] != state["chunk"]:
+                        yield from flush()
+                        state["chunk"] = int(chunk[lo])
+                    ids, n = _flat(batch.column(0).slice(lo, hi - lo), kind)
+                    if len(ids):
+                        held.append((bigrams(ids, n, start, vocabulary)[1], np.repeat(wanted[lo:hi], n)))
+
+        step.finish = flush
+        return step
+
+    own = map_rows(tokens, ["_ids", "_target", "_chunk"], make, schema)
+    whole = Window.partitionBy("key")  # at most a row for each chunk
+    summed = own.withColumn("background", F.sum("own").over(whole)).withColumn("target", F.sum("own_target").over(whole))
+    return summed.where("background <> own").select("_of", "key", "background", "target")
 
 
 def score(df: DataFrame, target: DataFrame, path: str, start: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,31 +167,26 @@ def score(df: DataFrame, target: DataFrame, path: str, start: int, id_col: str =
     tokens = materialize(_tokens(marked.select(id_col, text_col, F.col("_target_id").isNotNull().alias("_target")), path, id_col, text_col))
     vocabulary = len(bpe.encoder(path).tokens)
     kind = "<u4" if vocabulary > 1 << 16 else "<u2"
-    found = np.zeros((2, SLOTS + vocabulary + 1), np.int64)
-    rows = _counts(tokens, start, vocabulary, kind).toArrow()  # at most SLOTS + vocabulary + 1 rows
-    key = rows["key"].to_numpy()
-    found[0, key], found[1, key] = rows["background"].to_numpy(), rows["target"].to_numpy()
-    models = [Model(x[SLOTS:-1], x[:SLOTS], int(x[-1]), start) for x in found]
+    models = [Model(x[:-1].astype(np.float64), int(x[-1]), start) for x in _unigrams(tokens, vocabulary, kind)]
     shared = df.sparkSession.sparkContext.broadcast(models)
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("loss_target", "loss_background", "score"))])
 
-    def make():
-        background, wanted = shared.value
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = [np.frombuffer(x, kind).astype(np.int64) for x in batch.column(1).to_pylist()]
-            size = np.array([len(p) for p in parts], np.int64)
-            full = [p for p in parts if len(p)]
-            out = np.zeros((2, len(parts)))
-            if full:
-                pairs = [slots(p, start, vocabulary) for p in full]
-                flat, before, slot = np.concatenate(full), np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-                edge = np.cumsum(size[size > 0]) - size[size > 0]
-                for k, model in enumerate((wanted, background)):
-                    out[k, size > 0] = np.add.reduceat(model.losses(flat, before, slot).astype(np.float64), edge) / size[size > 0]
-            none = size == 0
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *(pa.array(x, mask=none) for x in (out[0], out[1], out[0] - out[1]))], names=schema.names)
-
-        return step
-
-    return map_rows(tokens, ["_id", "_ids"], make, schema)
+    def step(docs: pa.Table, sums: pa.Table) -> pa.Table:
+        bpe.forget()
+        flat, size = _flat(docs["_ids"], kind)
+        out, full = np.zeros((2, len(size))), size > 0
+        if len(flat):
+            before, keys = bigrams(flat, size, start, vocabulary)
+            key, at = np.unique(keys, return_inverse=True)
+            wanted = np.repeat(docs["_target"].to_numpy().astype(bool), size)
+            counts = [np.bincount(at, wanted), np.bincount(at).astype(np.float64)]
+            place = np.searchsorted(key, sums["key"].to_numpy())
+            edge = (np.cumsum(size) - size)[full]
+            for k, (name, model) in enumerate(zip(("target", "background"), reversed(shared.value))):
+                counts[k][place] = sums[name].to_numpy()
+                out[k, full] = np.add.reduceat(model.losses(flat, before, counts[k][at]), edge) / size[full]
+        none = size == 0
+        return pa.Table.from_arrays([docs["_id"], pa.array(size), *(pa.array(x, mask=none) for x in (out[0], out[1], out[0] - out[1]))], names=schema.names)
+
+    sums = _sums(tokens, start, vocabulary, kind)
+    return tokens.groupBy("_chunk").cogroup(sums.groupBy("_of")).applyInArrow(step, schema)

@@ -160,3 +160,27 @@ def test_lm_scores_without_rows(spark):
     empty = spark.createDataFrame([], "doc_id long")
     assert lmscore.score(frame(spark, []), empty, tokenizer_path(), START_OF_TEXT).count() == 0
     assert lmscore.score(frame(spark), empty, tokenizer_path(), START_OF_TEXT).count() == len(ROWS)
+
+
+def test_bigrams_keep_their_own_counts(spark):
+    """Losses are exact however many bigrams there are."""
+    own = bpe.encoder(tokenizer_path())
+    rng = np.random.default_rng(12)
+    words = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (60 * 1500, 5))]
+    rows = [(k, " ".join(words[k * 1500 : (k + 1) * 1500])) for k in range(60)]
+    lines = [np.frombuffer(own.encode(t), "<u4").tolist() for _, t in rows]
+    one, two = Counter(), Counter()
+    for line in lines:
+        one.update(line)
+        two.update(zip([START_OF_TEXT, *line[:-1]], line))
+    total, size = sum(one.values()), len(own.tokens)
+    want = {}
+    for (i, _), line in zip(rows, lines):
+        seen = lambda a: one[a] + (len(lines) if a == START_OF_TEXT else 0)
+        p1 = lambda b: (one[b] + lmscore.ADD) / (total + lmscore.ADD * size)
+        want[i] = sum(-math.log((two[a, b] + lmscore.WEIGHT * p1(b)) / (seen(a) + lmscore.WEIGHT)) for a, b in zip([START_OF_TEXT, *line[:-1]], line)) / len(line)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lmscore.score(df, df.select("doc_id"), tokenizer_path(), START_OF_TEXT).collect()
+    assert len(got) == len(rows) and len(two) > 20_000
+    for r in got:
+        assert r["loss_background"] == pytest.approx(want[r["doc_id"]], abs=1e-9) and r["loss_target"] == pytest.approx(want[r["doc_id"]], abs=1e-9)
