@@ -9,11 +9,11 @@ earliest point, so two signatures agree there with the probability of their
 weighted Jaccard similarity. Points are drawn in order of time until no process can
 still improve its document, for all documents of a block at once in numpy.
 
-Bands of the signature are buckets. No bucket is expanded into its pairs: its
-members are compared with two leaders, exactly, by the overlap of the multisets: its
-least member, and the one that meets most others over all its buckets. Members that
-these leave unlinked elect new leaders, twice as many in each round, until every
-bucket is used up. Equal multisets are one node from the start, so
+Bands of the signature are buckets. A bucket's members are compared with two leaders,
+exactly, by the overlap of the multisets: its least member, and the one that meets
+most others over all its buckets. Then every two members of a bucket that these links
+leave in different components are compared too, so that the classes are those of all
+pairs that share a bucket. Equal multisets are one node from the start, so
 copies cost nothing. Components of the links are the classes.
 
 Rows: texts without a word (and null) are each a class of their own; a null id takes
@@ -196,18 +196,18 @@ def _verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
     return map_rows(pairs.join(left, "a").join(right, "b"), ["a", "b", "ka", "ca", "kb", "cb"], make, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
-def _leaders(member: DataFrame, turn: int) -> DataFrame:
+#: Members of a bucket that one task compares with the others.
+_MEMBERS = 256
+
+
+def _leaders(member: DataFrame) -> DataFrame:
     """(key, to, to_weight): the leaders of every bucket of member (key, node, weight).
 
-    At first two, the least member and the one that meets most others over all its
-    buckets: what others were copied from stands in more of their buckets than they do
-    in each other's. Then 4, 8, 16 ...: buckets that last hold unlike texts, and each
-    round takes twice as many of them.
+    The least member and the one that meets most others over all its buckets: what
+    others were copied from stands in more of their buckets than they do in each
+    other's.
     """
     least = F.min(F.struct("node", "weight"))
-    if turn > 1:
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2**turn))
-        return member.groupBy("key", slot.alias("_slot")).agg(least.alias("_l")).select("key", F.col("_l.node").alias("to"), F.col("_l.weight").alias("to_weight"))
     sizes = member.groupBy("key").agg(F.count("*").alias("_size"))
     met = member.join(sizes, "key").groupBy("node").agg(F.sum("_size").alias("_met"))
     hub = F.max(F.struct("_met", "node", "weight"))
@@ -216,34 +216,45 @@ def _leaders(member: DataFrame, turn: int) -> DataFrame:
     return found.select("key", F.explode(two).alias("_x")).select("key", F.col("_x.node").alias("to"), F.col("_x.weight").alias("to_weight"))
 
 
+def _apart(member: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): every two members (key, node, weight, label) of a bucket that have different labels and may be alike by weight.
+
+    Members outside the bucket's largest label meet all others, so that a group that
+    is linked already is not paired with itself; large buckets are split.
+    """
+    sizes = member.groupBy("key", "label").agg(F.count("*").alias("_n"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("_n", "label")).alias("_most"), F.count("*").alias("_labels"), F.ceil(F.sum("_n") / _MEMBERS).alias("_blocks")).where("_labels > 1")
+    dealt = materialize(member.join(most, "key").withColumn("_minor", F.col("label") != F.col("_most.label")))
+    left = dealt.where("_minor").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"), F.col("node").alias("a"), F.col("weight").alias("_wa"), F.col("label").alias("_la"))
+    right = dealt.select("key", F.pmod(F.xxhash64("node"), "_blocks").alias("_block"), F.col("node").alias("b"), F.col("weight").alias("_wb"), F.col("label").alias("_lb"), "_minor")
+    met = left.join(right, ["key", "_block"]).where("_la <> _lb and (not _minor or a < b)").where(F.least("_wa", "_wb") >= threshold * F.greatest("_wa", "_wb"))
+    return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.lit(1).alias("_one")).drop("_one")
+
+
 def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> DataFrame:
     """(_id, _text_hash, class) of every row; class is null for texts without a word, else a node of it."""
     sketch = materialize(_sketch(df, id_col, text_col, bands, rows))
     member = sketch.where("node is not null").select("node", "weight", F.explode("bands").alias("key"))
     shared = materialize(member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"))
     member = materialize(member.join(small_or_shuffled(shared, shared.count()), "key").groupBy("key", "node").agg(F.first("weight").alias("weight")))
-    edges = shingles = None
-    turn = 0
-    while not member.isEmpty():
-        turn += 1
-        leaders = materialize(_leaders(member, turn))
+    labels = None
+    if not member.isEmpty():
+        leaders = materialize(_leaders(member))
         met = member.join(small_or_shuffled(leaders, leaders.count()), "key").where("node <> to")
         # the smaller multiset's weight over the larger's bounds their similarity
         met = met.where(F.least("weight", "to_weight") >= threshold * F.greatest("weight", "to_weight"))
-        met = materialize(met.select("key", "node", "to"))
         pairs = materialize(met.groupBy(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).agg(F.lit(1).alias("_one")).drop("_one"))
-        if shingles is None:  # the first round asks for every member that any round asks for
-            nodes = materialize(member.groupBy("node").agg(F.lit(1).alias("_one")).drop("_one"))
-            wanted = materialize(sketch.join(small_or_shuffled(nodes, nodes.count()), "node").groupBy("node").agg(F.min("_text_hash").alias("_text_hash")))
-            shingles = materialize(_shingles(df, text_col, wanted, wanted.count()))
-        found = materialize(_verified(pairs, shingles, threshold))
-        edges = found if edges is None else edges.union(found)
-        links = found.select(F.col("a").alias("node"), F.col("b").alias("to")).union(found.select("b", "a"))
-        # members that are neither leaders nor linked to one go on
-        done = met.join(links, ["node", "to"]).select("key", "node").union(leaders.select("key", "to"))
-        member = materialize(member.join(done, ["key", "node"], "left_anti"))
-        member = materialize(member.join(member.groupBy("key").count().where("count > 1").select("key"), "key"))
-    labels = None if edges is None else components(edges)
+        nodes = materialize(member.groupBy("node").agg(F.lit(1).alias("_one")).drop("_one"))
+        wanted = materialize(sketch.join(small_or_shuffled(nodes, nodes.count()), "node").groupBy("node").agg(F.min("_text_hash").alias("_text_hash")))
+        shingles = materialize(_shingles(df, text_col, wanted, wanted.count()))
+        edges = materialize(_verified(pairs, shingles, threshold))
+        labels = components(edges)
+        # what the leaders left apart
+        named = member.join(small_or_shuffled(labels, labels.count()), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        more = materialize(_apart(named, threshold).join(pairs, ["a", "b"], "left_anti"))
+        found = materialize(_verified(more, shingles, threshold))
+        if not found.isEmpty():
+            labels = components(edges.union(found))
     if labels is None:
         return sketch.select("_id", "_text_hash", F.col("node").alias("class"))
     return sketch.select("_id", "_text_hash", "node").join(small_or_shuffled(labels, labels.count()), "node", "left").select("_id", "_text_hash", F.coalesce("label", "node").alias("class"))

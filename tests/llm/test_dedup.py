@@ -253,3 +253,15 @@ def test_copies_in_full_buckets_like_brute_force(spark):
     of = {r["doc_id"]: r["class_id"] for r in out}
     assert of == {k: k - 250 if k >= 250 else k for k in range(len(own))}
     assert sum(r["n_links"] for r in out) == 150
+
+
+def test_drifting_families_like_brute_force(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for family in range(8):
+        versions = [sentence(rng, 150)]
+        for _ in range(59):
+            versions.append(edited(rng, versions[rng.integers(max(0, len(versions) - 8), len(versions))], rng.integers(1, 4)))
+        rows += [(family * 100 + k, " ".join(v)) for k, v in enumerate(versions)]
+    df = frame(spark, rows)
+    assert got_classes(neardup.classes(df)) == brute_classes(rows)
