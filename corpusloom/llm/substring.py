@@ -4,16 +4,21 @@ A gear hash rolls over the last 16 characters; a word begins a new chunk if the
 hash before it falls into a fixed range, every MEAN_WORDS words at about, and after
 MAX_WORDS words at the latest. Cuts depend on what stands near them alone, so
 insertions elsewhere do not move them and a passage is cut alike wherever it stands.
-Chunks are compared by digest: the first in order (null ids last, id, text hash,
-place) stays, later ones are repeats. Repeats that touch make a run, and runs of at
-least MIN_RUN words are removed.
+Common phrases make equal chunks in unlike texts, so chunks are not compared one by
+one, but in stretches of STRETCH words and a few more: from each chunk on to the first
+that completes them, and from each chunk back. Any repeat of whole chunks and STRETCH
+words is covered by such stretches. They are compared by digest: the first in order
+(null ids last, id, text hash, place) stays, later ones are repeats. Repeats that touch
+or overlap make a run, and runs of at least MIN_RUN words are removed; each of their
+words stands in a stretch that one earlier place has as a whole. STRETCH is below
+MIN_RUN, as cuts near the ends of a passage depend on what stands before it: two
+earlier copies may back the two ends of a run.
 
 Each task drops the repeats within its own blocks before the shuffle (they are
-certain, as an earlier chunk stands beside them), so a chunk that stands in a third
-of all documents travels a few times for each block, not once for each document.
+certain, as an earlier stretch stands beside them) and joins them into runs, so what
+stands in a third of all documents travels a few times for each block.
 
-Digests have 57 bits beside the number of words; a false removal would need a run of
-MIN_RUN words to collide chunk by chunk.
+Digests have 64 bits; a false removal would need two stretches to collide.
 
 Rows: null and empty texts have no chunks; rows that repeat id and text are one
 document and fare alike; other rows with one id are told apart by their text; an
@@ -32,8 +37,10 @@ from pyspark.sql import types as T
 from ._common import U64, Words, blocks, map_rows, materialize, mix64, powers, prepare
 
 MEAN_WORDS, MAX_WORDS, MIN_RUN = 5, 64, 16
+#: Words that one earlier place must have as a whole, at least.
+STRETCH = 12
 _ROLL = 16
-#: Chunks that a task compares among themselves before it sends them on.
+#: Chunks whose stretches a task compares among themselves before it sends them on.
 _BLOCK_CHUNKS = 400_000
 #: Documents with repeats that are broadcast at most.
 _BROADCAST = 100_000
@@ -77,10 +84,42 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return doc, start, end, digest
 
 
+_STEP = 0x9E6C63D0876A9A47 | 1
+
+
+def stretches(doc: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of chunks in order: first and last chunk, digest, first word (within the document) and words of every stretch."""
+    n = len(doc)
+    end = np.cumsum(((digest >> U64(1)) & U64(63)).astype(np.int64) + 1)
+    begin = np.concatenate((np.zeros(1, np.int64), end[:-1]))[:n]
+    every = np.arange(n)
+    onward = np.searchsorted(end, begin + STRETCH)
+    back = np.searchsorted(begin, end - STRETCH, "right") - 1
+    ahead = onward < n
+    ahead[ahead] = doc[onward[ahead]] == doc[ahead]
+    behind = back >= 0
+    behind[behind] = (doc[back[behind]] == doc[behind]) & (onward[back[behind]] != every[behind])
+    first, last = np.concatenate((every[ahead], back[behind])), np.concatenate((onward[ahead], every[behind]))
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, U64), np.cumsum(mix64(digest) * powers(n, _STEP)[:n], dtype=U64)))
+        own = mix64((total[last + 1] - total[first]) * powers(n, pow(_STEP, -1, 1 << 64))[first])
+    head = begin[np.searchsorted(doc, doc)] if n else begin
+    return first, last, own, begin[first] - head[first], end[last] - begin[first]
+
+
+def _joined_up(doc: np.ndarray, word: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of spans by document and place, where each run of touching spans begins in it, and each run's words."""
+    order = np.lexsort((word, doc))
+    at = (doc[order].astype(np.int64) << 32) + word[order]
+    reach = np.maximum.accumulate(at + words[order])
+    begins = np.flatnonzero(np.concatenate(([True], at[1:] > reach[:-1]))) if len(order) else np.zeros(0, np.int64)
+    return order, begins, np.maximum.reduceat(reach, begins) - at[begins] if len(order) else reach
+
+
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_digest, _id, _text_hash, _span) of the chunks; an odd digest marks a repeat that its task has found."""
+    """(_digest, _id, _text_hash, _span, _place) of the stretches; _place holds the first word, the words and a bit that marks a run that its task has found."""
     source = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_hash"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
-    schema = T.StructType([T.StructField("_digest", T.LongType()), T.StructField("_id", df.schema[id_col].dataType), T.StructField("_text_hash", T.LongType()), T.StructField("_span", T.LongType())])
+    schema = T.StructType([T.StructField("_digest", T.LongType()), T.StructField("_id", df.schema[id_col].dataType), T.StructField("_text_hash", T.LongType()), T.StructField("_span", T.LongType()), T.StructField("_place", T.LongType())])
 
     def make():
         held: list[tuple] = []
@@ -91,6 +130,8 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if not held:
                 return
             doc, start, end, digest = (np.concatenate(x) for x in zip(*held))
+            first, last, digest, word, words = stretches(doc, digest)
+            doc, start, end = doc[first], start[first], end[last]
             ids, hashes = pa.concat_arrays([d[0] for d in docs]), pa.concat_arrays([d[1] for d in docs])
             held.clear(), docs.clear(), state.update(n=0, docs=0)
             table = pa.table({"i": ids, "h": hashes})
@@ -102,15 +143,21 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             key = (rank[doc] << 32) + start
             by = np.lexsort((key, digest))
             d, k = digest[by], key[by]
-            begins = np.concatenate(([True], d[1:] != d[:-1]))
+            begins = np.concatenate(([True], d[1:] != d[:-1]))[: len(d)]
             least = k[np.maximum.accumulate(np.where(begins, np.arange(len(k)), 0))]
             repeat = np.zeros(len(d), bool)
             repeat[by] = k > least
-            span = (start << 32) | end
-            known = mix64(h[doc].view(U64) ^ mix64(span.view(U64))) & ~U64(127)
-            digest = np.where(repeat, known | (digest & U64(126)) | U64(1), digest)
-            rows = pa.array(doc)
-            out = pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), ids.take(rows), hashes.take(rows), pa.array(span)], names=schema.names)
+            again = np.flatnonzero(repeat)
+            order, begins, run = _joined_up(doc[again], word[again], words[again])
+            head = again[order][begins]
+            tail = np.maximum.reduceat(end[again][order], begins) if len(begins) else end[:0]
+            fresh = ~repeat
+            span = np.concatenate(((start[fresh] << 32) | end[fresh], (start[head] << 32) | tail))
+            place = np.concatenate(((word[fresh] << 32) | (words[fresh] << 1), (word[head] << 32) | (run << 1) | 1))
+            known = mix64(h[doc[head]].view(U64) ^ mix64(span[len(span) - len(head) :].view(U64)))
+            digest = np.concatenate((digest[fresh], known))
+            rows = pa.array(np.concatenate((doc[fresh], doc[head])))
+            out = pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), ids.take(rows), hashes.take(rows), pa.array(span), pa.array(place)], names=schema.names)
             for at in range(0, len(out), 50_000):
                 yield out.slice(at, 50_000)
 
@@ -132,7 +179,7 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _runs(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Start, end and words of the runs that are long enough, from (start, end, words) of repeated chunks."""
+    """Start, end and words of the runs that are long enough, from (start, end, words) of repeats that do not overlap."""
     out: list[list[int]] = []
     for start, end, words in sorted(set(spans)):
         if out and out[-1][1] == start:
@@ -147,10 +194,8 @@ def _repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _text_hash, _runs) of the documents that lose runs; _runs is an array of (start, end, words)."""
     rows = _rows(df, id_col, text_col)
     order = Window.partitionBy("_digest").orderBy(F.col("_id").asc_nulls_last(), "_text_hash", "_span")
-    later = rows.withColumn("_rank", F.rank().over(order)).where("_rank > 1 or _digest & 1 = 1")
-    words = (F.shiftrightunsigned(F.col("_digest"), 1).bitwiseAND(F.lit(63)) + 1).cast("int")
-    start, end = F.shiftrightunsigned("_span", 32).cast("int"), F.col("_span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    lists = later.groupBy("_id", "_text_hash").agg(F.collect_list(F.struct(start.alias("start"), end.alias("end"), words.alias("words"))).alias("_spans"))  # no more than a document's chunks
+    later = rows.withColumn("_rank", F.rank().over(order)).where("_rank > 1 or _place & 1 = 1")
+    lists = later.groupBy("_id", "_text_hash").agg(F.collect_list(F.struct("_span", "_place")).alias("_spans"))  # no more than a document's stretches
     kind = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "words")]))
     schema = T.StructType([lists.schema["_id"], lists.schema["_text_hash"], T.StructField("_runs", kind)])
 
@@ -158,7 +203,17 @@ def _repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         arrow = pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "end", "words")]))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            runs = [_runs([(s["start"], s["end"], s["words"]) for s in spans]) for spans in batch.column(2).to_pylist()]
+            lists = batch.column(2)
+            parts = lists.flatten()
+            span, place = parts.field(0).to_numpy(), parts.field(1).to_numpy()
+            doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+            order, begins, words = _joined_up(doc, place >> 32, (place & 0xFFFFFFFF) >> 1)
+            spans: list[list[tuple[int, int, int]]] = [[] for _ in range(len(lists))]
+            if len(order):
+                ends = np.maximum.reduceat((span & 0xFFFFFFFF)[order], begins)
+                for k, *one in zip(doc[order][begins].tolist(), (span >> 32)[order][begins].tolist(), ends.tolist(), words.tolist()):
+                    spans[k].append(tuple(one))
+            runs = [_runs(x) for x in spans]
             made = pa.array([[dict(zip(("start", "end", "words"), r)) for r in x] for x in runs], arrow)
             kept = pa.array([k for k, x in enumerate(runs) if x], pa.int64())
             return pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), made.take(kept)], names=schema.names)

@@ -265,3 +265,23 @@ def test_drifting_families_like_brute_force(spark):
         rows += [(family * 100 + k, " ".join(v)) for k, v in enumerate(versions)]
     df = frame(spark, rows)
     assert got_classes(neardup.classes(df)) == brute_classes(rows)
+
+
+def test_common_phrases_make_no_run(spark):
+    """Unique text made of phrases that stand in many texts, never 12 words together, loses nothing; a true repeat beside it goes."""
+    rng, n = np.random.default_rng(33), 12
+    phrases = [" ".join(sentence(rng, 5)) for _ in range(60)]
+    rows = [(k, " ".join(phrases[j] for j in rng.choice(60, 40))) for k in range(60)]
+    passage = " ".join(sentence(rng, 60))
+    rows += [(100 + k, " ".join(sentence(rng, 50)) + " " + passage) for k in range(2)]
+    texts = {i: t.split() for i, t in rows}
+    at = Counter(tuple(w[k : k + n]) for w in texts.values() for k in range(len(w) - n + 1))
+    for r in substring.report(frame(spark, rows).repartition(4)).collect():
+        text = dict(rows)[r["doc_id"]]
+        for run in filter(None, r["runs"].split(",")):
+            words = text[slice(*map(int, run.split(":")))].split()
+            windows = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
+            backed = {j for k, w in enumerate(windows) if at[w] > 1 for j in range(k, k + n)}
+            assert len(backed) == len(words), (r["doc_id"], words)
+        if r["doc_id"] == 101:
+            assert r["removed_words"] >= 40
