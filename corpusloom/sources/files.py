@@ -1,4 +1,4 @@
-"""Files: folders of documents, raw vectors, Git logs, transcripts and chat exports."""
+"""Files: folders of documents, raw vectors, Git logs, session transcripts and branches of conversations."""
 
 from __future__ import annotations
 
