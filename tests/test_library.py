@@ -205,3 +205,12 @@ def test_stream_becomes_layers(spark, tmp_path):
 def test_sampled_evenly(spark):
     got = [r["i"] for r in chunks.sampled(spark.range(100).select(F.col("id").alias("i")), 4, "i").orderBy("i").collect()]
     assert got == [0, 25, 50, 75]
+
+
+def test_long_branches_and_repeated_nodes(spark):
+    rows = [("c", str(k), str(k - 1) if k else None) for k in range(5000)] + [("d", "x", "y"), ("d", "y", "z"), ("d", "z", "y")]
+    nodes = spark.createDataFrame(rows, "conv_id string, node_id string, parent string")
+    heads = spark.createDataFrame([("c", "4999"), ("d", "x")], "conv_id string, node_id string")
+    got = files.branch(nodes, heads).orderBy("conv_id", "turn").collect()
+    assert [r["node_id"] for r in got if r["conv_id"] == "c"] == [str(k) for k in range(5000)]
+    assert [r["node_id"] for r in got if r["conv_id"] == "d"] == ["z", "y", "x"]
