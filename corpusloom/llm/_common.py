@@ -24,7 +24,7 @@ BATCH_ROWS = 256
 #: Characters that the vectorised code holds at a time (a longer text goes alone).
 BLOCK_CHARS = 600_000
 #: A side of a join is broadcast only if it has at most this many narrow rows.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -11,10 +11,14 @@ still improve its document, for all documents of a block at once in numpy.
 
 Bands of the signature are buckets. A bucket's members are compared with two leaders,
 exactly, by the overlap of the multisets: its least member, and the one that meets
-most others over all its buckets. Then every two members of a bucket that these links
-leave in different components are compared too, so that the classes are those of all
-pairs that share a bucket. Equal multisets are one node from the start, so
-copies cost nothing. Components of the links are the classes.
+most others over all its buckets. Members of a bucket that these links leave in
+different components are compared too, unless a bound rules them out. The bound is
+that of prefix filters: shingles that occur in one component only cannot be shared
+across components; the others are ordered from rare to common, and two multisets that
+overlap enough have their first shared shingle where enough of either is still left.
+So the classes are those of all pairs that share a bucket, and what is compared grows
+with the alike and not with the square of a bucket. Equal multisets are one node from
+the start, so copies cost nothing. Components of the links are the classes.
 
 Rows: texts without a word (and null) are each a class of their own; a null id takes
 part, the class id is the least id of its class that is not null; repeated rows
@@ -25,7 +29,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,9 +134,9 @@ def _sketch(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int) ->
 
 
 def _shingles(df: DataFrame, text_col: str, wanted: DataFrame, rows: int) -> DataFrame:
-    """(node, keys, counts) of the wanted (node, _text_hash): sorted shingles of 40 bits, 5 bytes each, and their counts where one is above 1."""
+    """(node, keys, counts) of the wanted (node, _text_hash): its shingles, and their counts where one is above 1 (else none)."""
     source = df.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text_hash"), F.col(text_col).alias("_text")).join(small_or_shuffled(wanted, rows), "_text_hash")
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
 
     def make():
         sent: set[int] = set()
@@ -150,36 +155,41 @@ def _shingles(df: DataFrame, text_col: str, wanted: DataFrame, rows: int) -> Dat
             for first, texts in blocks(all_texts, _BLOCK):
                 d, v, c = multisets(texts)
                 own = nodes_of(d, v, c, len(texts)).view(np.int64)
-                short = (v >> U64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
                 edge = np.searchsorted(d, np.arange(len(texts) + 1))
                 for k in range(len(texts)):
                     if own[k] == node_of[first + k]:
                         part = c[edge[k] : edge[k + 1]]
                         nodes.append(int(own[k]))
-                        keys.append(short[edge[k] : edge[k + 1]].tobytes())
-                        counts.append(part.astype("<u4").tobytes() if (part > 1).any() else b"")
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=schema.names)
+                        keys.append(v[edge[k] : edge[k + 1]].view(np.int64))
+                        counts.append(part.astype(np.int32) if (part > 1).any() else _NONE)
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=schema.names)
 
         return step
 
     return map_rows(source, ["node", "_text"], make, schema).dropDuplicates(["node"])
 
 
-def _unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(keys, np.uint8).reshape(-1, 5)
-    full = np.zeros((len(raw), 8), np.uint8)
-    full[:, 3:] = raw
-    return full.view(">u8").ravel().astype(np.int64), np.frombuffer(counts, "<u4") if counts else np.ones(len(raw), np.uint32)
+_NONE = np.zeros(0, np.int32)
 
 
-def weighted_jaccard(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
-    """Sum of least over sum of greatest counts."""
-    (ka, ca), (kb, cb) = _unpacked(*a), _unpacked(*b)
+def weighted_jaccard(ka: np.ndarray, ca: np.ndarray, kb: np.ndarray, cb: np.ndarray) -> float:
+    """Sum of least over sum of greatest counts of two sets of keys; no counts: all are 1."""
+    if not len(ca) and not len(cb):
+        both = int(np.isin(ka, kb, assume_unique=True, kind="sort").sum())
+        return both / (len(ka) + len(kb) - both)
+    ca, cb = (c if len(c) else np.ones(len(k), np.int32) for k, c in ((ka, ca), (kb, cb)))
     _, i, j = np.intersect1d(ka, kb, True, return_indices=True)
     both = int(np.minimum(ca[i], cb[j]).sum())
     return both / (int(ca.sum()) + int(cb.sum()) - both)
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of an Arrow column as views of one array."""
+    edge = np.concatenate(([0], np.cumsum(pc.list_value_length(column).to_numpy())))
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return [flat[i:j] for i, j in zip(edge[:-1].tolist(), edge[1:].tolist())]
+
+
 def _verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose multisets overlap enough."""
     left = shingles.select(F.col("node").alias("a"), F.col("keys").alias("ka"), F.col("counts").alias("ca"))
@@ -187,8 +197,8 @@ def _verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            a, b, *four = (c.to_pylist() for c in batch.columns)
-            good = [k for k, (ka, ca, kb, cb) in enumerate(zip(*four)) if weighted_jaccard((ka, ca), (kb, cb)) >= threshold]
+            four = [_lists(batch.column(k)) for k in range(2, 6)]
+            good = [k for k, one in enumerate(zip(*four)) if weighted_jaccard(*one) >= threshold]
             return pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(good, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
         return step
@@ -196,8 +206,8 @@ def _verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
     return map_rows(pairs.join(left, "a").join(right, "b"), ["a", "b", "ka", "ca", "kb", "cb"], make, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
-#: Members of a bucket that one task compares with the others.
-_MEMBERS = 256
+#: Nodes with one shingle that one task compares with others.
+_MEMBERS = 1024
 
 
 def _leaders(member: DataFrame) -> DataFrame:
@@ -216,18 +226,33 @@ def _leaders(member: DataFrame) -> DataFrame:
     return found.select("key", F.explode(two).alias("_x")).select("key", F.col("_x.node").alias("to"), F.col("_x.weight").alias("to_weight"))
 
 
-def _apart(member: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): every two members (key, node, weight, label) of a bucket that have different labels and may be alike by weight.
+def _apart(nodes: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of nodes (node, label, weight) with different labels whose overlap may be enough, by a prefix filter.
 
-    Members outside the bucket's largest label meet all others, so that a group that
-    is linked already is not paired with itself; large buckets are split.
+    Shingles of one label are left out, as pairs of two labels cannot share them. Of
+    the others, from rare to common, `left` is the weight from one on: no more can be
+    shared if it is the first shared one. So it bounds the partner's weight from above
+    and the threshold bounds it from below; nodes meet by shingle and class of weight.
+    Of each shingle, nodes of the largest label are not paired among themselves.
     """
-    sizes = member.groupBy("key", "label").agg(F.count("*").alias("_n"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("_n", "label")).alias("_most"), F.count("*").alias("_labels"), F.ceil(F.sum("_n") / _MEMBERS).alias("_blocks")).where("_labels > 1")
-    dealt = materialize(member.join(most, "key").withColumn("_minor", F.col("label") != F.col("_most.label")))
-    left = dealt.where("_minor").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"), F.col("node").alias("a"), F.col("weight").alias("_wa"), F.col("label").alias("_la"))
-    right = dealt.select("key", F.pmod(F.xxhash64("node"), "_blocks").alias("_block"), F.col("node").alias("b"), F.col("weight").alias("_wb"), F.col("label").alias("_lb"), "_minor")
-    met = left.join(right, ["key", "_block"]).where("_la <> _lb and (not _minor or a < b)").where(F.least("_wa", "_wb") >= threshold * F.greatest("_wa", "_wb"))
+    share = threshold / (1 + threshold)  # of both weights, that the overlap must reach
+    element = F.explode(F.arrays_zip("keys", "counts"))
+    tokens = nodes.join(shingles, "node").select("node", "label", "weight", element.alias("_x")).select("node", "label", "weight", F.col("_x.keys").alias("token"), F.coalesce("_x.counts", F.lit(1)).alias("_c"))
+    tokens = materialize(tokens)
+    common = tokens.groupBy("token").agg(F.count("*").alias("_df"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("token", "_df")
+    onward = Window.partitionBy("node").orderBy(F.desc("_df"), "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prefix = tokens.join(common, "token").withColumn("left", F.sum("_c").over(onward)).where(F.col("left") >= threshold * F.col("weight") - 1e-6).select("token", "node", "label", "weight", "left")
+    prefix = materialize(prefix)
+    sizes = prefix.groupBy("token", "label").agg(F.count("*").alias("_n"))
+    most = sizes.groupBy("token").agg(F.max(F.struct("_n", "label")).alias("_most"), F.count("*").alias("_labels"), F.ceil(F.sum("_n") / _MEMBERS).alias("_blocks")).where("_labels > 1")
+    dealt = prefix.join(most, "token").withColumn("_minor", F.col("label") != F.col("_most.label"))
+    size_class = lambda w: F.floor(F.log(w) * 20)
+    lightest, heaviest = F.ceil(threshold * F.col("weight") - 1e-6), F.floor(F.col("left") / share - F.col("weight") + 1e-6)
+    left = dealt.where("_minor").withColumn("_from", lightest).withColumn("_to", heaviest).where("_from <= _to")
+    left = left.select("token", F.explode(F.sequence(size_class("_from"), size_class("_to"))).alias("_class"), F.col("node").alias("a"), F.col("weight").alias("_wa"), F.col("label").alias("_la"), F.col("left").alias("_lefta"), "_blocks")
+    left = left.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).drop("_blocks")
+    right = dealt.select("token", F.pmod(F.xxhash64("node"), "_blocks").alias("_block"), size_class("weight").alias("_class"), F.col("node").alias("b"), F.col("weight").alias("_wb"), F.col("label").alias("_lb"), F.col("left").alias("_leftb"), "_minor")
+    met = left.join(right, ["token", "_block", "_class"]).where("_la <> _lb and (not _minor or a < b)").where(F.least("_lefta", "_leftb") >= share * (F.col("_wa") + F.col("_wb")) - 1e-6)
     return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.lit(1).alias("_one")).drop("_one")
 
 
@@ -251,10 +276,13 @@ def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float, bands:
         labels = components(edges)
         # what the leaders left apart
         named = member.join(small_or_shuffled(labels, labels.count()), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        more = materialize(_apart(named, threshold).join(pairs, ["a", "b"], "left_anti"))
-        found = materialize(_verified(more, shingles, threshold))
-        if not found.isEmpty():
-            labels = components(edges.union(found))
+        split = materialize(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"))
+        if not split.isEmpty():
+            apart = materialize(named.join(small_or_shuffled(split, split.count()), "key").groupBy("node").agg(F.first("label").alias("label"), F.first("weight").alias("weight")))
+            more = materialize(_apart(apart, shingles, threshold).join(pairs, ["a", "b"], "left_anti"))
+            found = materialize(_verified(more, shingles, threshold))
+            if not found.isEmpty():
+                labels = components(edges.union(found))
     if labels is None:
         return sketch.select("_id", "_text_hash", F.col("node").alias("class"))
     return sketch.select("_id", "_text_hash", "node").join(small_or_shuffled(labels, labels.count()), "node", "left").select("_id", "_text_hash", F.coalesce("label", "node").alias("class"))

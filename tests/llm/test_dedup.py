@@ -87,6 +87,54 @@ def test_many_copies_and_chains(spark):
     assert got_classes(neardup.classes(frame(spark, rows))) == brute_classes(rows)
 
 
+def test_drifting_families_and_two_hubs_joined_by_one_pair(spark):
+    """Families whose versions drift from copy to copy, and two stars that only one pair of their members joins."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(4):
+        base = sentence(rng, 150)
+        for _ in range(40):
+            rows.append((len(rows), " ".join(base)))
+            base = edited(rng, base, rng.integers(1, 4))
+    base = sentence(rng, 200)
+    far = edited(rng, base, 11)
+    changed = [k for k in range(200) if far[k] != base[k]]
+    between = lambda n: [far[k] if k in changed[:n] else base[k] for k in range(200)]
+    for hub, chain in ((base, between(4)), (far, between(8))):
+        rows.append((len(rows), " ".join(hub)))
+        rows.append((len(rows), " ".join(chain)))
+        own = [k for k in range(200) if k not in changed]
+        for _ in range(25):
+            text = list(hub)
+            for k in rng.choice(own, 3, replace=False):
+                text[k] = f"edit{rng.integers(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    assert overlap(*(shingles(" ".join(x)) for x in (base, far))) < 0.8
+    want, got = brute_classes(rows), got_classes(neardup.classes(frame(spark, rows)))
+    pairs = lambda groups: {(a[1], b[1]) for g in groups for a in g for b in g if a < b}
+    assert pairs(got) <= pairs(want)
+    assert len(pairs(got)) >= 0.99 * len(pairs(want))
+
+
+def test_prefix_filter_keeps_every_alike_pair(spark):
+    """All pairs of 0.8 and more with different labels pass the bound, and few others do."""
+    rng = np.random.default_rng(12)
+    base = sentence(rng, 150)
+    texts = [" ".join(edited(rng, base, rng.integers(0, 9))) for _ in range(120)] + [" ".join(base + base[: rng.integers(0, 60)]) for _ in range(30)]
+    doc, value, count = neardup.multisets(texts)
+    nodes, lists = [], []
+    for k in range(len(texts)):
+        own = doc == k
+        nodes.append((k, k // 3, int(count[own].sum())))
+        lists.append((k, value[own].view(np.int64).tolist(), count[own].tolist() if (count[own] > 1).any() else []))
+    out = neardup._apart(spark.createDataFrame(nodes, "node long, label long, weight long"), spark.createDataFrame(lists, "node long, keys array<long>, counts array<int>"), 0.8)
+    got = {(r["a"], r["b"]) for r in out.collect()}
+    own = [shingles(t) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if i // 3 != j // 3 and overlap(own[i], own[j]) >= 0.8}
+    assert want and want <= got
+    assert len(got) < 0.5 * len(texts) ** 2 / 2
+
+
 def test_keep_first_keeps_one_row_of_each_class(spark):
     rows = corpus(3) + ROWS
     df = frame(spark, rows)
