@@ -7,29 +7,44 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-#: Members of a bucket that one task pairs with as many others.
+#: Members of a bucket that one task pairs with others.
 BLOCK = 256
 
 
-def bucket_pairs(member: DataFrame) -> DataFrame:
-    """(key, a, b): every two members of each bucket once, as structs of the columns of member (key, node, ...), a.node < b.node.
+def leaders(member: DataFrame, least: bool = True) -> DataFrame:
+    """(key, leader, met): the leaders of every bucket of member (key, node, ...), as structs of its columns without the key.
 
-    A large bucket is split into blocks, and each pair of blocks is a key of its own.
+    The member that meets most others over all its buckets, as what others were copied
+    from stands in more of their buckets than they do in each other's (`met`
+    counts these), and the least member unless `least` is false.
     """
-    own = [c for c in member.columns if c != "key"]
-    blocks = member.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).where("_blocks > 0")
-    dealt = member.join(blocks, "key").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    cell = ["key", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi")]
-    side = lambda x: dealt.select(*cell, F.col("_own").alias(f"_{x}"), F.struct(*own).alias(x))
-    both = side("a").join(side("b"), ["key", "_lo", "_hi"])
-    return both.where("a.node < b.node and (_lo = _hi or _a <> _b)").select("key", "a", "b")
+    own = F.struct("node", *(c for c in member.columns if c not in ("key", "node")))
+    sizes = member.groupBy("key").agg(F.count("*").alias("_size"))
+    met = member.join(sizes, "key").groupBy("node").agg(F.sum("_size").alias("_met"))
+    found = member.join(met, "node").groupBy("key").agg(F.min(own).alias("_l"), F.max(F.struct("_met", own.alias("_own"))).alias("_h"))
+    return found.select("key", F.explode(F.array_distinct(F.array("_l", "_h._own"))).alias("leader") if least else F.col("_h._own").alias("leader"), F.col("_h._met").alias("met"))
+
+
+def cross_pairs(member: DataFrame) -> DataFrame:
+    """(a, b): every two members (key, node, label) of a bucket that have different labels, a < b, each pair once.
+
+    Members outside the bucket's largest label meet all others, so that what is linked
+    already is not paired with itself; large buckets are split.
+    """
+    sizes = member.groupBy("key", "label").agg(F.count("*").alias("_n"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("_n", "label")).alias("_most"), F.count("*").alias("_labels"), F.ceil(F.sum("_n") / BLOCK).alias("_blocks")).where("_labels > 1")
+    dealt = materialize(member.join(most, "key").withColumn("_minor", F.col("label") != F.col("_most.label")))
+    left = dealt.where("_minor").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"), F.col("node").alias("a"), F.col("label").alias("_la"))
+    right = dealt.select("key", F.pmod(F.xxhash64("node"), "_blocks").alias("_block"), F.col("node").alias("b"), F.col("label").alias("_lb"), "_minor")
+    met = left.join(right, ["key", "_block"]).where("_la <> _lb and (not _minor or a < b)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (a, b); the label is the least node of the component.
 
-    Each round takes the least label among a node and its neighbours (a partial
+    A node that is linked only to itself is a component of its own; without edges
+    there are no rows; ids are not null. Each round takes the least label among a node and its neighbours (a partial
     aggregate, so a hub is summed where its rows are) and then the label's own label.
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())

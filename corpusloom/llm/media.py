@@ -2,13 +2,19 @@
 
 Grey images (binary PGM) get corners at two scales (Harris responses, greatest in
 their neighbourhood), an orientation from the intensity centroid, and 128 binary
-tests turned by it. Equal images are one node from the start. Each descriptor goes
-to four tables by its 32-bit quarters, so descriptors up to three bits apart meet in
-at least one. Every two members of a bucket meet, and all pairs that meet often enough
-are confirmed by geometry: of the matched corners, enough must agree on one scale,
-rotation and shift. Components of the confirmed links are the classes. Where pictures
-are built of few patterns, most of them meet and the work grows with the square of
-their number.
+tests turned by it. Equal images are one node from the start. One corner's tests say
+little where pictures are built of few patterns, so the Hamming tables are keyed by a
+corner and its eight nearest of one scale: eight of the longest tests of each, another
+eight in each of four tables, and the octants in which a neighbour stands and is
+turned, seen from the corner. So descriptors that differ elsewhere meet, a copy shares
+tens of keys with its original, and unlike pictures share one in thousands.
+
+A bucket's leader is the member that meets most others over all its buckets. Each
+image is confirmed against the greatest of its leaders, then against the others that
+are still in another component, and last every two members of a bucket that these
+links leave in different components. Pairs are confirmed by geometry over all descriptors: of the matched
+corners, enough must agree on one scale, rotation and shift. Components of the
+confirmed links are the classes.
 
 Rows: a null, broken or flat image (no corners) has only exact copies in its class;
 null images are each a class of their own; a null id takes part; repeated rows belong
@@ -25,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_rows, materialize, prepare, small_or_shuffled
-from ._components import bucket_pairs, components
+from ._common import U64, map_rows, materialize, mix64, prepare, small_or_shuffled
+from ._components import components, cross_pairs, leaders
 
-#: Bits of difference in a match; agreeing matches; meetings before geometry is asked.
-BITS, AGREE, MEETINGS = 12, 8, 3
+#: Bits of difference in a match; agreeing matches.
+BITS, AGREE = 12, 8
+#: Neighbours of a corner in a key, tables, tests of a corner in each, classes of an angle.
+NEIGHBOURS, TABLES, TESTS, ANGLES = 8, 4, 8, 8
 #: Agreeing corners that unlike pictures of many corners may have by chance.
 CHANCE = 6
 #: Pairs that a task confirms at a time, at about.
@@ -37,6 +45,8 @@ _PAIRS = 4000
 _MARGIN, _RADIUS = 6, 5
 _rng = np.random.default_rng(20_240_601)
 _PATTERN = np.clip(_rng.normal(0, 2.2, (128, 2, 2)), -4, 4)
+#: The tests in the order of the distance of their two places, the longest (the surest) first.
+_LONGEST = np.argsort(-np.hypot(*(_PATTERN[:, 0] - _PATTERN[:, 1]).T), kind="stable")
 _SPACE = np.arange(-_RADIUS, _RADIUS + 1)
 
 
@@ -85,13 +95,43 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             value = soft[py, px]
             bits.append(np.packbits(value[..., 0] < value[..., 1], axis=1))
             places.append(np.stack([x * scale, y * scale, np.full(len(x), scale), angle], 1))
-        image = soft[: h // 2 * 2, : w // 2 * 2].reshape(h // 2, 2, w // 2, 2).mean((1, 3))
+        image = image[: h // 2 * 2, : w // 2 * 2].reshape(h // 2, 2, w // 2, 2).mean((1, 3))
         scale *= 2
     if not places:
         return np.zeros((0, 4), np.float32), np.zeros((0, 16), np.uint8)
     return np.concatenate(places).astype(np.float32), np.concatenate(bits)
 
 
+def _octant(angle: np.ndarray) -> np.ndarray:
+    return np.floor(angle / (2 * np.pi) * ANGLES).astype(np.int64) % ANGLES
+
+
+@np.errstate(over="ignore")
+def constellations(places: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The distinct keys of an image: of every corner with its nearest ones, in each table."""
+    flags = np.unpackbits(bits, axis=1)[:, _LONGEST[: TABLES * TESTS]].reshape(len(bits), TABLES, TESTS)
+    code = (flags << np.arange(TESTS, dtype=np.uint8)).sum(2).astype(np.int64)
+    out = [np.zeros(0, U64)]
+    for scale in np.unique(places[:, 2]):
+        own = np.flatnonzero(places[:, 2] == scale)
+        k = min(NEIGHBOURS, len(own) - 1)
+        if k < AGREE - 1:
+            continue
+        x, y, turn = places[own, 0], places[own, 1], places[own, 3]
+        dx, dy = x[None] - x[:, None], y[None] - y[:, None]
+        apart = np.hypot(dx, dy)
+        near = np.argsort(np.where(apart < 3 * scale, np.inf, apart), axis=1, kind="stable")[:, :k]
+        row = np.arange(len(own))[:, None]
+        seen = _octant(np.arctan2(dy, dx)[row, near] - turn[:, None]) * ANGLES + _octant(turn[near] - turn[:, None])
+        for t in range(TABLES):
+            rest = np.sort(seen * 256 + code[own[near], t], axis=1).astype(U64)
+            key = mix64(code[own, t].astype(U64) + U64(256 * (t + 1)))
+            for j in range(k):
+                key = mix64(key * U64(0x9FB21C651E98DF25) + rest[:, j])
+            out.append(key)
+    return np.unique(np.concatenate(out))
+
+
 def _fit(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: int = 1) -> tuple[int, int]:
     """Matched corners that agree on the best scale, rotation and shift, and the corners that each shows of the other's frame, the fewer; 0, 0 below least."""
     (pa_, da), (pb, db) = a, b
@@ -141,23 +181,23 @@ def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) ->
 
 
 def _features(df: DataFrame, image_col: str) -> DataFrame:
-    """(_node, _places, _bits) of every distinct image, with corners and descriptors packed."""
-    schema = T.StructType([T.StructField("_node", T.LongType()), T.StructField("_places", T.BinaryType()), T.StructField("_bits", T.BinaryType())])
+    """(_node, _places, _bits, _keys) of every distinct image: corners and descriptors packed, and the keys of its buckets."""
+    schema = T.StructType([T.StructField("_node", T.LongType()), T.StructField("_places", T.BinaryType()), T.StructField("_bits", T.BinaryType()), T.StructField("_keys", T.ArrayType(T.LongType()))])
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, places, bits = [], [], []
+            nodes, places, bits, keys = [], [], [], []
             for node, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 pixels = read_pgm(data)
                 if pixels is not None and pixels.size:
                     p, d = describe(pixels)
                     if len(p):
-                        nodes.append(node), places.append(p.tobytes()), bits.append(d.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(places, pa.binary()), pa.array(bits, pa.binary())], names=schema.names)
+                        nodes.append(node), places.append(p.tobytes()), bits.append(d.tobytes()), keys.append(constellations(p, d).view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(places, pa.binary()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
         return step
 
-    return map_rows(df, ["_node", image_col], make, schema).dropDuplicates(["_node"])
+    return map_rows(df, ["_node", image_col], make, schema)
 
 
 def _confirmed(pairs: DataFrame, features: DataFrame, n: int) -> DataFrame:
@@ -179,28 +219,45 @@ def _confirmed(pairs: DataFrame, features: DataFrame, n: int) -> DataFrame:
         good = [k for k, (x, y) in enumerate(zip(own["a"].to_pylist(), own["b"].to_pylist())) if alike(held[x], held[y])]
         return own.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    return dealt.groupBy("_group").cogroup(asked.join(features, "_node").groupBy("_of")).applyInArrow(step, schema)
+    return dealt.groupBy("_group").cogroup(asked.join(features.drop("_keys"), "_node").groupBy("_of")).applyInArrow(step, schema)
 
 
 def copies(df: DataFrame, id_col: str, image_col: str) -> DataFrame:
-    """Each row's id, class_id (least id of its class), class_size and n_links (confirmed links of its image)."""
+    """Each row's id, class_id (least id of its class) and class_size."""
     rows = materialize(df.select(F.col(id_col).alias("_id"), F.xxhash64(image_col).alias("_h"), F.col(image_col).isNull().alias("_none"), F.col(image_col).alias("_image")))
     rows = rows.withColumn("_node", F.when(~F.col("_none"), F.col("_h")))
-    features = materialize(_features(rows.where("_node is not null"), "_image"))
-    quarters = F.array(*(F.concat(F.lit(bytes([t])), F.substring(F.col("_bits"), F.col("_k") * 16 + 4 * t + 1, F.lit(4))) for t in range(4)))
-    met = features.select("_node", "_bits", F.explode(F.sequence(F.lit(0), (F.length("_bits") / 16).cast("int") - 1)).alias("_k")).select("_node", F.explode(quarters).alias("_key"))
-    member = materialize(met.groupBy(F.col("_key").alias("key"), F.col("_node").alias("node")).agg(F.count("*").alias("n")))
-    pairs = bucket_pairs(member).groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.sum(F.greatest("a.n", "b.n")).alias("_met"))
-    pairs = materialize(pairs.where(F.col("_met") >= MEETINGS).drop("_met"))
-    links = materialize(_confirmed(pairs, features, pairs.count()))
-    labels = components(links)
-    degree = links.select("a").unionAll(links.select("b")).groupBy(F.col("a").alias("_node")).agg(F.count("*").alias("_links"))
-    found = materialize(labels.withColumnRenamed("node", "_node").join(degree, "_node"))
-    own = rows.drop("_image").join(small_or_shuffled(found, found.count()), "_node", "left").select("_id", F.coalesce("label", "_node").alias("_class"), F.coalesce("_links", F.lit(0)).alias("_links"))
-    own = materialize(own)
+    images = rows.where("_node is not null").groupBy("_node").agg(F.first("_image").alias("_image"))
+    features = materialize(_features(images, "_image"))
+    member = features.select(F.col("_node").alias("node"), F.explode("_keys").alias("key"))
+    shared = materialize(member.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"))
+    member = materialize(member.join(small_or_shuffled(shared, shared.count()), "key").select("key", "node"))
+    first = leaders(member, least=False).select("key", F.col("leader.node").alias("_to"), "met")
+    led = materialize(member.join(first, "key").groupBy("node", "_to").agg(F.first("met").alias("met")).where("node <> _to"))
+    pair = (F.least("node", "_to").alias("a"), F.greatest("node", "_to").alias("b"))
+    labels = asked = links = None
+    for step in range(3):
+        if step == 0:
+            pairs = led.groupBy("node").agg(F.max_by("_to", F.struct("met", "_to")).alias("_to")).select(*pair).distinct()
+        else:
+            named = labels.select("node", "label")
+            label = lambda c: F.coalesce(c, "node")
+            if step == 1:
+                of = led.join(named, "node", "left").withColumn("_own", label("label")).drop("label")
+                of = of.join(named.withColumnRenamed("node", "_to"), "_to", "left").where(F.col("_own") != F.coalesce("label", "_to"))
+                pairs = of.select(*pair).distinct()
+            else:
+                pairs = cross_pairs(materialize(member.join(named, "node", "left").withColumn("label", label("label"))))
+            pairs = pairs.join(asked, ["a", "b"], "left_anti")
+        pairs = materialize(pairs)
+        found = materialize(_confirmed(pairs, features, pairs.count()))
+        asked, links = (pairs, found) if step == 0 else (asked.union(pairs), links.union(found))
+        if step == 0 or not found.isEmpty():
+            labels = components(links)
+    named = labels.withColumnRenamed("node", "_node")
+    own = materialize(rows.drop("_image").join(small_or_shuffled(named, labels.count()), "_node", "left").select("_id", F.coalesce("label", "_node").alias("_class")))
     many = materialize(own.where("_class is not null").groupBy("_class").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1"))
     out = own.join(small_or_shuffled(many, many.count()), "_class", "left")
-    return out.select(F.col("_id").alias(id_col), F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_first")).alias("class_id"), F.coalesce("_n", F.lit(1)).alias("class_size"), F.col("_links").alias("n_links"))
+    return out.select(F.col("_id").alias(id_col), F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_first")).alias("class_id"), F.coalesce("_n", F.lit(1)).alias("class_size"))
 
 
 def rendered(df: DataFrame, id_col: str, vector_col: str, side: int = 8, cell: int = 10) -> DataFrame:

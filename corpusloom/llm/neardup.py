@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import U64, Words, blocks, map_rows, materialize, mix64, small_or_shuffled, windows
-from ._components import components
+from ._components import components, leaders
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: At similarity 0.8 a pair shares a bucket with probability 1 - (1 - 0.8**5)**24 = 0.99993, at 0.85 with 0.9999995.
@@ -210,22 +210,6 @@ def _verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
 _MEMBERS = 1024
 
 
-def _leaders(member: DataFrame) -> DataFrame:
-    """(key, to, to_weight): the leaders of every bucket of member (key, node, weight).
-
-    The least member and the one that meets most others over all its buckets: what
-    others were copied from stands in more of their buckets than they do in each
-    other's.
-    """
-    least = F.min(F.struct("node", "weight"))
-    sizes = member.groupBy("key").agg(F.count("*").alias("_size"))
-    met = member.join(sizes, "key").groupBy("node").agg(F.sum("_size").alias("_met"))
-    hub = F.max(F.struct("_met", "node", "weight"))
-    found = member.join(met, "node").groupBy("key").agg(least.alias("_l"), hub.alias("_h"))
-    two = F.array_distinct(F.array("_l", F.struct(F.col("_h.node").alias("node"), F.col("_h.weight").alias("weight"))))
-    return found.select("key", F.explode(two).alias("_x")).select("key", F.col("_x.node").alias("to"), F.col("_x.weight").alias("to_weight"))
-
-
 def _apart(nodes: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
     """(a, b): all pairs of nodes (node, label, weight) with different labels whose overlap may be enough, by a prefix filter.
 
@@ -264,8 +248,8 @@ def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float, bands:
     member = materialize(member.join(small_or_shuffled(shared, shared.count()), "key").groupBy("key", "node").agg(F.first("weight").alias("weight")))
     labels = None
     if not member.isEmpty():
-        leaders = materialize(_leaders(member))
-        met = member.join(small_or_shuffled(leaders, leaders.count()), "key").where("node <> to")
+        first = materialize(leaders(member).select("key", F.col("leader.node").alias("to"), F.col("leader.weight").alias("to_weight")))
+        met = member.join(small_or_shuffled(first, first.count()), "key").where("node <> to")
         # the smaller multiset's weight over the larger's bounds their similarity
         met = met.where(F.least("weight", "to_weight") >= threshold * F.greatest("weight", "to_weight"))
         pairs = materialize(met.groupBy(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).agg(F.lit(1).alias("_one")).drop("_one"))

@@ -290,17 +290,46 @@ def test_a_quarter_of_a_picture_keeps_its_corners():
     assert all(media.alike(media.describe(p[20:60, 20:60]), media.describe(p)) for p in pictures)
 
 
-def test_copies_in_full_buckets_like_brute_force(spark):
-    pictures = drawn(np.random.default_rng(6), 250)
-    pictures += [p[7:60, 3:70] for p in pictures[:25]] + [p[20:60, 20:60] for p in pictures[25:50]] + [p * 0.9 + 10 for p in pictures[50:75]]
+def doubled(p):
+    """Twice the size, by straight lines between pixels."""
+    for axis in (0, 1):
+        n = p.shape[axis]
+        at = ((np.arange(2 * n) + 0.5) / 2 - 0.5).clip(0, n - 1)
+        low = np.floor(at).astype(int).clip(0, n - 2)
+        share = np.expand_dims(at - low, 1 - axis)
+        p = (1 - share) * p.take(low, axis) + share * p.take(low + 1, axis)
+    return p
+
+
+EDITS = {
+    "cropped": lambda p, rng: p[7:60, 3:70],
+    "a quarter": lambda p, rng: p[20:60, 20:60],
+    "darker": lambda p, rng: p * 0.7 + 10,
+    "turned": lambda p, rng: np.rot90(p),
+    "noise": lambda p, rng: p + rng.normal(0, 4, p.shape),
+    "doubled": lambda p, rng: doubled(p.astype(float)),
+}
+
+
+def test_edited_copies_like_brute_force(spark):
+    """Links of each kind of edit against brute force over all pairs: nine tenths at least, and no class that brute force has not."""
+    rng = np.random.default_rng(6)
+    pictures, of = drawn(rng, 240), {}
+    for j, edit in enumerate(EDITS.values()):
+        for k in range(40 * j, 40 * j + 40):
+            of[len(pictures)] = k
+            pictures.append(edit(pictures[k], rng).clip(0, 255))
     data = [media.write_pgm(p) for p in pictures]
     own = [media.describe(media.read_pgm(b)) for b in data]
     links = {(i, j) for j in range(len(own)) for i in range(j) if media.alike(own[i], own[j]) or media.alike(own[j], own[i])}
-    assert links == {(k, 250 + k) for k in range(75)}
+    assert links <= {(k, c) for c, k in of.items()}
     out = media.copies(spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(data)], "doc_id long, image binary"), "doc_id", "image").collect()
-    of = {r["doc_id"]: r["class_id"] for r in out}
-    assert of == {k: k - 250 if k >= 250 else k for k in range(len(own))}
-    assert sum(r["n_links"] for r in out) == 150
+    got = {r["doc_id"]: r["class_id"] for r in out}
+    assert {(k, c) for c, k in got.items() if c != k} <= links
+    for j, name in enumerate(EDITS):
+        true = {(k, c) for k, c in links if 40 * j <= k < 40 * j + 40}
+        assert len(true) >= 36, (name, len(true))
+        assert sum(got[c] == k for k, c in true) >= 0.9 * len(true), name
 
 
 def test_drifting_families_like_brute_force(spark):
