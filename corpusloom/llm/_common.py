@@ -6,7 +6,10 @@ columns, whatever they are called, never clash with its own.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -73,19 +76,38 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+#: What this Python worker keeps from task to task, by the name of its stage: memories that can be cleared.
+KEPT: dict[str, dict] = {}
+
+
+def release(but: str = "") -> None:
+    """Clear what other stages left in this worker, as Python workers are used again, and give the memory back."""
+    left = [held for name, held in KEPT.items() if name != but and held]
+    for held in left:
+        held.clear()
+    if left:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(
     df: DataFrame,
     columns: list[str],
     make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None]],
     schema: T.StructType,
+    keeps: str = "",
 ) -> DataFrame:
     """mapInArrow over the named columns; make() runs once in each task and returns the batch function.
 
     The batch function may have a finish() attribute, whose batches close the task.
+    keeps: the name under which the stage keeps a memory in KEPT.
     """
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keeps)
         step = make()
         for batch in batches:
             out = step(batch)

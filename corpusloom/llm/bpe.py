@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import map_rows
+from ._common import KEPT, map_rows
 
 #: Entries that the memories of chunks and of fragments may hold before they start anew.
 CHUNKS, FRAGMENTS = 800_000, 400_000
@@ -146,7 +146,7 @@ class Encoder:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = KEPT.setdefault("bpe", {})
 
 
 def encoder(path: str) -> Encoder:
@@ -156,11 +156,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def forget() -> None:
-    """Drop what this process holds of encoders; stages that need none call it, as Python workers are used again."""
-    _encoders.clear()
-
-
 def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode and decode every whole text: id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids also ids and decoded."""
     fields = [T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
@@ -185,4 +180,4 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
         return step
 
-    return map_rows(df, [id_col, text_col], make, T.StructType(fields))
+    return map_rows(df, [id_col, text_col], make, T.StructType(fields), keeps="bpe")

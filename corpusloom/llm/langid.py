@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import U64, map_rows, powers, prepare
+from ._common import KEPT, U64, map_rows, powers, prepare, release
 
 ORDER = 5
 #: Labelled rows of each language that a model is fitted on, at about.
@@ -222,11 +222,11 @@ def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", sample
         hit = (F.col("_label") == label) & (place < int(min(1.0, sample / n) * (1 << 30)))
         share = hit if share is None else share | hit
     samples: dict[str, list[str]] = defaultdict(list)
-    for row in labelled.where(share).dropDuplicates().collect():  # about `sample` rows of each label
+    for row in labelled.where(share).dropDuplicates().orderBy(place, "_text").collect():  # about `sample` rows of each label
         samples[row["_label"]].append(row["_text"])
     for label, n in counts.items():  # a rare label whose few texts the hash missed
         if not samples[label]:
-            samples[label] = [r["_text"] for r in labelled.where(F.col("_label") == label).limit(sample).collect()]
+            samples[label] = [r["_text"] for r in labelled.where(F.col("_label") == label).dropDuplicates().orderBy(place, "_text").limit(sample).collect()]
     return fit(samples)
 
 
@@ -251,16 +251,17 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         return step
 
     source = df.select(F.col(id_col).alias("_id"), held_out(id_col).alias("_held"), F.col(text_col).alias("_text"))
-    return map_rows(source, ["_id", "_held", "_text"], make, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
+    return map_rows(source, ["_id", "_held", "_text"], make, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]), keeps="langid")
 
 
-_memories: dict[int, _Words] = {}
+_memories: dict[int, _Words] = KEPT.setdefault("langid", {})
 
 
 def _shared_memory(shared) -> _Words:
     """One memory for each model and worker process."""
     key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared)
     model = shared.value
+    release("langid")
     if key not in _memories or _memories[key].model is not model:
         _memories.clear()
         _memories[key] = _Words(model)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from ._common import map_rows, materialize, small_or_shuffled
+from ._common import map_rows, materialize, release, small_or_shuffled
 
 #: Added to each unigram count, and the weight of the unigram model in a bigram's estimate.
 ADD, WEIGHT = 0.5, 20.0
@@ -80,7 +80,7 @@ def _tokens(df: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
 
         return step
 
-    return map_rows(df, [id_col, "_target", text_col], make, schema)
+    return map_rows(df, [id_col, "_target", text_col], make, schema, keeps="bpe")
 
 
 def _flat(column: pa.ChunkedArray | pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +95,6 @@ def _unigrams(tokens: DataFrame, vocabulary: int, kind: str) -> np.ndarray:
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "background", "target")])
 
     def make():
-        bpe.forget()
         total = np.zeros((2, size), np.int64)
 
         def step(batch: pa.RecordBatch) -> None:
@@ -124,7 +123,6 @@ def _sums(tokens: DataFrame, start: int, vocabulary: int, kind: str) -> DataFram
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("_of", "key", "own", "own_target")])
 
     def make():
-        bpe.forget()
         held: list[tuple] = []
         state = {"chunk": None}
 
@@ -172,7 +170,7 @@ def score(df: DataFrame, target: DataFrame, path: str, start: int, id_col: str =
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("loss_target", "loss_background", "score"))])
 
     def step(docs: pa.Table, sums: pa.Table) -> pa.Table:
-        bpe.forget()
+        release()
         flat, size = _flat(docs["_ids"], kind)
         out, full = np.zeros((2, len(size))), size > 0
         if len(flat):

@@ -176,7 +176,7 @@ def pieces(df: DataFrame, path: str, capacity: int, separator: int, id_col: str,
 
         return step
 
-    return map_rows(df, [id_col, text_col], make, schema)
+    return map_rows(df, [id_col, text_col], make, schema, keeps="bpe")
 
 
 def pack(df: DataFrame, path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

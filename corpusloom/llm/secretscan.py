@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_rows, prepare
+from ._common import map_rows, prepare, release
 
 KINDS = ("assign", "access", "hex", "der", "jwt", "pem", "ssh")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -194,6 +194,7 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf(T.StringType())
     def clean(texts):
+        release()
         return texts.map(lambda t: redacted(t, s) if t and (s := find(t)) else t)
 
     prepare(df.sparkSession)
