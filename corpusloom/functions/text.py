@@ -12,6 +12,15 @@ STOPWORDS = (
     "the a an and or but of to in on at by for with from into is are was were be been being it its this that these those as "
     "their they them his her has have had not can will if we you your i how does did do what who why where when which"
 ).split()
+# Function words that calibration leaves out of probes and entities, and what it adds for coverage.
+PROBE_STOPWORDS = (
+    "the a an and or but of to in on at by for with from into through is are was were be been being it its this that these those as their they them also "
+    "can will which when where while his her has have had not often usually without"
+).split()
+COVERAGE_STOPWORDS = PROBE_STOPWORDS + (
+    "what how who why where when do does did me tell about explain explained facts information overview history definition important work works known "
+    "anything said much many each would could some such very more after before"
+).split()
 # Suffixes in the order in which the stemmer tries them, and the shortest stem.
 SUFFIXES = ["ization", "isation", "ication", "ation", "ition", "tion", "ing", "ed", "ate", "ize", "ise"]
 MIN_STEM = 4
@@ -29,6 +38,7 @@ SECRETS: list[tuple[str, bool]] = [
     (r"(?i)\b(Bearer\s+)[A-Za-z0-9._~+/-]{20,}=*", True),
     (r"(?i)\b((?:api[_-]?key|access[_-]?token|auth[_-]?token|secret|password|passwd)\s*[:=]\s*[\"']?)[^\s\"']{6,}", True),
 ]
+# Fixed value: the pattern of an e-mail address.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 # Tags that tools put into prompts.
 HARNESS_TAGS = ["system-reminder", "command-name", "command-message", "command-args", "local-command-stdout", "local-command-stderr", "user-prompt-submit-hook"]
@@ -66,6 +76,7 @@ def stem(word: Column) -> Column:
 
 
 def strip_possessive(word: Column) -> Column:
+    """A closing 's goes, of s' and any other closing apostrophe the apostrophe."""
     return F.when(word.endswith("'s"), F.substring(word, F.lit(1), F.length(word) - 2)).when(word.endswith("'"), F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
 
 
@@ -74,6 +85,19 @@ def phrase(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9' ]", " "), " +", " "))
 
 
+def evidence(text: Column) -> Column:
+    """Lower case; what isn't a-z or 0-9 (an apostrophe too) becomes one blank; trimmed."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+
+
+def quote_present(passage: Column, quote: Column) -> Column:
+    """Whether a passage carries a quote: as a whole, or of more than 6 words of 3 letters and more at least 60 %."""
+    words = F.filter(F.split(evidence(quote), " "), lambda w: F.length(w) >= 3)
+    held = evidence(passage)
+    share = F.size(F.filter(words, lambda w: held.contains(w))) / F.size(words)
+    return (evidence(quote) != "") & (held.contains(evidence(quote)) | ((F.size(words) > 6) & (share >= 0.6)))
+
+
 def slug(heading: Column) -> Column:
     """Anchor of a heading: lower case, letters, digits, marks, - and _ stay, blanks become -."""
     return F.replace(F.regexp_replace(F.lower(F.trim(heading)), r"[^\p{L}\p{N}\p{M}_\- ]", ""), F.lit(" "), F.lit("-"))

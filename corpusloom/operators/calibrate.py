@@ -17,6 +17,11 @@ from ..functions import text as fx
 EPOCHS, RATE, L2, PROBES = 4000, 0.1, 1e-3, 2000
 COMMON_WEIGHT, HEADING_WEIGHT, PASSAGES, MIN_WORD = 1 / 3, 0.5, 5, 3
 MIN_AUC, MIN_POSITIVES, MIN_NEGATIVES = 0.85, 4, 8
+#: Quantile of off-topic rows that sets hard and its ceiling; least width of the weak band and the greatest weak threshold.
+HARD_QUANTILE, HARD_CEILING, MIN_BAND, WEAK_CEILING = 0.95, 0.5, 0.08, 0.95
+#: Questions written by people from which their gate counts, and the share of them that may be withheld.
+MIN_HUMAN, MAX_WITHHELD = 8, 1 / 3
+SEED = 424_242
 
 
 def lcg(seed: int):
@@ -24,7 +29,18 @@ def lcg(seed: int):
     state = seed & 0xFFFFFFFF
     while True:
         state = (state * 1664525 + 1013904223) & 0xFFFFFFFF
-        yield state / 2**32
+        yield state / (2**32 - 1)
+
+
+def sample(items: list, n: int, seed: int) -> list:
+    """n different items, in the order in which the congruence names them."""
+    random, used, out = lcg(seed), set(), []
+    while len(out) < n and len(used) < len(items):
+        i = int(next(random) * len(items))
+        if i not in used and i < len(items):
+            used.add(i)
+            out.append(items[i])
+    return out
 
 
 @dataclass
@@ -75,25 +91,57 @@ def quantile(values: np.ndarray, q: float) -> float:
     return float(s[min(len(s) - 1, int(q * len(s)))])
 
 
-def calibrated(x: np.ndarray, y: np.ndarray, seed: int = 42, folds: int = 5) -> dict:
-    """The fit, its cross-validated AUC, thresholds hard and weak, and whether the gates let it pass."""
-    order, random = list(range(len(y))), lcg(seed)
-    for k in range(len(order) - 1, 0, -1):
-        j = int(next(random) * (k + 1))
-        order[k], order[j] = order[j], order[k]
-    held = np.zeros(len(y))
+def thresholds(positive: np.ndarray, negative: np.ndarray, adjacent: np.ndarray) -> tuple[float, float]:
+    """hard and weak from the probabilities of answerable, off-topic and adjacent rows.
+
+    hard is where off-topic rows end, HARD_CEILING at most. weak lies between the
+    adjacent rows and the lowest answerable ones, not below where off-topic rows end nor
+    above the answerable median, and MIN_BAND above hard.
+    """
+    floor, ceiling = quantile(positive, 0.05), quantile(negative, HARD_QUANTILE)
+    hard = min(ceiling, HARD_CEILING)
+    near = adjacent[adjacent > max(ceiling, 0.05)]
+    top = quantile(near, 0.9) if len(near) else 0.0
+    between = float(np.sqrt(top * floor)) if hard < top < floor else 0.9 * floor
+    weak = min(max(between, ceiling, hard), max(quantile(positive, 0.5), hard))
+    return hard, min(WEAK_CEILING, max(weak, hard + MIN_BAND))
+
+
+def calibrated(x: np.ndarray, y: np.ndarray, seed: int = SEED ^ 0xCF01D, folds: int = 5, adjacent: np.ndarray | None = None, human: np.ndarray | None = None, distance: int = 0) -> dict:
+    """The fit, its cross-validated AUC, thresholds hard and weak, and the reason why a gate stops it (None: it passes).
+
+    x: signals of answerable (y = 1) and off-topic (0) probes; adjacent: of rows whose
+    source ranks low; human: of questions written by people, never fitted; distance: the
+    column of the best distance, whose weight must not be above zero.
+    """
+    order = sample(list(range(len(y))), len(y), seed)
+    held, told = np.zeros(len(y)), np.zeros(len(y), bool)
     for f in range(folds):
-        test = np.array([i for n, i in enumerate(order) if n % folds == f], int)
+        test = np.array(order[f::folds], int)
         train = np.setdiff1d(np.arange(len(y)), test)
         if len(test) and 0 < y[train].sum() < len(train):
-            held[test] = fit(x[train], y[train]).probability(x[test])
+            held[test], told[test] = fit(x[train], y[train]).probability(x[test]), True
+    none = np.zeros((0, x.shape[1]))
     whole = fit(x, y)
     p = whole.probability(x)
-    quality = auc(held[y == 1], held[y == 0])
-    hard = min(0.5, quantile(p[y == 1], 0.02)) if (y == 1).any() else 0.0
-    weak = min(0.95, max(hard + 0.08, quantile(p[y == 1], 0.25))) if (y == 1).any() else 0.0
-    passed = bool(quality >= MIN_AUC and (y == 1).sum() >= MIN_POSITIVES and (y == 0).sum() >= MIN_NEGATIVES)
-    return {"fit": whole, "auc": quality, "hard": hard, "weak": weak, "passed": passed}
+    quality = auc(held[told & (y == 1)], held[told & (y == 0)])
+    if np.isnan(quality):
+        quality = auc(p[y == 1], p[y == 0])
+    n, off = int((y == 1).sum()), int((y == 0).sum())
+    hard, weak = thresholds(p[y == 1], p[y == 0], whole.probability(none if adjacent is None else adjacent)) if n and off else (0.0, 0.0)
+    asked = whole.probability(none if human is None else human)
+    reason = None
+    if n < MIN_POSITIVES:
+        reason = "few positives"
+    elif off < MIN_NEGATIVES:
+        reason = "few negatives"
+    elif not quality >= MIN_AUC:
+        reason = "auc"
+    elif not whole.weights[distance] <= 0:
+        reason = "distance weight"
+    elif len(asked) >= MIN_HUMAN and (asked < hard).mean() > MAX_WITHHELD:
+        reason = "human questions withheld"
+    return {"fit": whole, "auc": quality, "hard": hard, "weak": weak, "passed": reason is None, "reason": reason}
 
 
 def coverage(pairs: DataFrame, common: DataFrame) -> DataFrame:
@@ -104,7 +152,7 @@ def coverage(pairs: DataFrame, common: DataFrame) -> DataFrame:
     singular, or its stem) and by half in the heading, the first line.
     """
     strip = lambda words: F.transform(words, fx.strip_possessive)
-    words = F.filter(strip(fx.raw_tokens(F.col("query"))), lambda w: ((F.length(w) >= MIN_WORD) | w.rlike("^[0-9]+$")) & ~w.isin(fx.STOPWORDS))
+    words = F.filter(strip(fx.raw_tokens(F.col("query"))), lambda w: ((F.length(w) >= MIN_WORD) | w.rlike("^[0-9]+$")) & ~w.isin(fx.COVERAGE_STOPWORDS))
     queries = pairs.select("query_id", "query").distinct().select("query_id", F.posexplode(words).alias("_k", "_w"))
     queries = queries.join(F.broadcast(common.select(F.col("word").alias("_w"), F.lit(COMMON_WEIGHT).alias("_c"))), "_w", "left").withColumn("_weight", F.coalesce("_c", F.lit(1.0)))
     listed = queries.groupBy("query_id").agg(F.collect_list(F.struct("_w", "_weight")).alias("_words"), F.sum("_weight").alias("_sum"))  # a query's words

@@ -44,28 +44,32 @@ def superset_violations(child: DataFrame, parent: DataFrame, row_base: int) -> D
 
 
 def successors(edges: DataFrame) -> DataFrame:
-    """(old_id, immediate, current, hops, cyclic): where each superseded id leads.
+    """(old_id, immediate, successors, current, hops, cyclic): where each superseded id leads.
 
-    Of several edges of an id the one of the greatest depth counts. The chain of
-    every id is walked by pointer doubling, so log2(MAX_HOPS) joins reach MAX_HOPS
-    hops; what still moves then runs in a circle and has no current id.
+    immediate is the edge of the least depth, successors are all by depth. The walk to
+    the current id takes the edge of the greatest depth of every id, by pointer
+    doubling, so log2(MAX_HOPS) joins reach MAX_HOPS hops; what still moves then runs in
+    a circle and has no current id.
     """
-    step = edges.groupBy("old_id").agg(F.max_by("new_id", F.struct("depth", "new_id")).alias("new_id"))
-    walk = step.select("old_id", F.col("new_id").alias("immediate"), F.col("new_id").alias("at"), F.lit(1).cast("long").alias("hops"))
+    by = F.struct("depth", "new_id")
+    listed = F.transform(F.array_sort(F.collect_set(by)), lambda x: x["new_id"])  # at most an edge for each layer
+    step = edges.groupBy("old_id").agg(F.max_by("new_id", by).alias("new_id"), F.min_by("new_id", by).alias("immediate"), listed.alias("successors"))
+    views = step.select("old_id", "immediate", "successors")
+    walk = step.select("old_id", F.col("new_id").alias("at"), F.lit(1).cast("long").alias("hops"))
     for _ in range(MAX_HOPS.bit_length() - 1):
         ahead = walk.select(F.col("old_id").alias("at"), F.col("at").alias("next"), F.col("hops").alias("more"))
-        walk = walk.join(ahead, "at", "left").select("old_id", "immediate", F.coalesce("next", "at").alias("at"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+        walk = walk.join(ahead, "at", "left").select("old_id", F.coalesce("next", "at").alias("at"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
     ends = walk.join(step.select(F.col("old_id").alias("at"), F.lit(True).alias("_on")), "at", "left")
     cyclic = F.col("_on").isNotNull()
-    return ends.select("old_id", "immediate", F.when(~cyclic, F.col("at")).alias("current"), F.when(~cyclic, F.col("hops")).alias("hops"), cyclic.alias("cyclic"))
+    return ends.join(views, "old_id").select("old_id", "immediate", "successors", F.when(~cyclic, F.col("at")).alias("current"), F.when(~cyclic, F.col("hops")).alias("hops"), cyclic.alias("cyclic"))
 
 
 def record_status(records: DataFrame, layers: DataFrame, tombstones: DataFrame, edges: DataFrame) -> DataFrame:
-    """(record_id, depth, tombstoned, superseded_by, current_successor)."""
+    """(record_id, depth, tombstoned, superseded_by, successors, current_successor)."""
     dead = tombstones.groupBy("record_id").agg(F.lit(True).alias("_dead"))
-    after = successors(edges).select(F.col("old_id").alias("record_id"), F.col("immediate").alias("superseded_by"), F.col("current").alias("current_successor"))
+    after = successors(edges).select(F.col("old_id").alias("record_id"), F.col("immediate").alias("superseded_by"), "successors", F.col("current").alias("current_successor"))
     out = owners(records.select("record_id"), layers).join(dead, "record_id", "left").join(after, "record_id", "left")
-    return out.select("record_id", "depth", F.coalesce("_dead", F.lit(False)).alias("tombstoned"), "superseded_by", "current_successor")
+    return out.select("record_id", "depth", F.coalesce("_dead", F.lit(False)).alias("tombstoned"), "superseded_by", "successors", "current_successor")
 
 
 def compaction_ids(records: DataFrame, tombstones: DataFrame, block: int = 1 << 16) -> DataFrame:
@@ -101,13 +105,32 @@ def translated(cited: DataFrame, ids: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def drift(layers: DataFrame, tombstones: DataFrame, limit: float = DRIFT_LIMIT) -> DataFrame:
-    """(depth, drift, status): appended and deleted records over the base's, layer by layer."""
-    gone = tombstones.groupBy("depth").agg(F.count_distinct("record_id").alias("_gone"))
+    """(depth, drift, status): the records appended up to each layer and those deleted in its mask, over the base's.
+
+    A layer's mask holds every id that it or a layer below has deleted, each once,
+    whether the table repeats the deletions of the layers below or not.
+    """
+    gone = tombstones.groupBy("record_id").agg(F.min("depth").alias("depth")).groupBy("depth").agg(F.count("*").alias("_gone"))
     order = Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
     own = layers.join(F.broadcast(gone), "depth", "left").withColumn("_added", F.when(F.col("depth") > 0, F.col("n_records")).otherwise(0))
     base = F.first("n_records").over(order)
     out = own.withColumn("drift", (F.sum("_added").over(order) + F.sum(F.coalesce("_gone", F.lit(0))).over(order)) / base)
-    return out.select("depth", F.round("drift", 6).alias("drift"), F.when(F.col("drift") > limit, "exceeded").otherwise("within").alias("status"))
+    return out.select("depth", F.round("drift", 6).alias("drift"), F.when(F.col("drift") > limit, "drift-exceeded").otherwise("inherited").alias("status"))
+
+
+def calibration_status(drifts: DataFrame, envelope: float | None = None, reader_limit: float = DRIFT_LIMIT, base_has_fit: bool = True, blooms: DataFrame | None = None) -> DataFrame:
+    """(depth, drift, effective_limit, status): none without a fit, else inherited up to the stricter of the producer's and the reader's limit and while every layer ships a bloom, else drift-exceeded.
+
+    blooms (depth): the layers with records that ship one; not given: all do.
+    """
+    limit = min(envelope, reader_limit) if envelope is not None and envelope == envelope else reader_limit
+    if not limit < float("inf"):
+        raise ValueError("the reader's limit is finite")
+    order = Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)  # at most MAX_DEPTH + 1 rows
+    out = drifts.withColumn("_ships", F.lit(True)) if blooms is None else drifts.join(blooms.select("depth", F.lit(True).alias("_b")).distinct(), "depth", "left").withColumn("_ships", F.col("_b").isNotNull() | (F.col("depth") == 0))
+    good = (F.col("drift") <= limit) & F.min("_ships").over(order)
+    status = F.when(good, "inherited").otherwise("drift-exceeded") if base_has_fit else F.lit("none")
+    return out.select("depth", "drift", F.lit(float(limit)).alias("effective_limit"), status.alias("status"))
 
 
 def violations(layers: DataFrame, tombstones: DataFrame, edges: DataFrame) -> DataFrame:

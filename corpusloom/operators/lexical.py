@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..functions.tables import written
 
 K1, B = 1.2, 0.75
 #: Candidates of a query, and the share of its best score that the others need.
 CANDIDATES, CUTOFF = 24, 1 / 1.5
 #: Query terms that are broadcast at most; beyond, they are joined by shuffle.
 BROADCAST_TERMS = 1_000_000
+#: Bits of a bloom that are broadcast at most.
+BROADCAST_BITS = 500_000
 
 
 def token_lists(records: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,8 +36,11 @@ def postings(records: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def corpus_stats(records: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row: n_records, n_tokens, avgdl (1 at least)."""
     own = token_lists(records, id_col, text_col)
-    out = own.agg(F.count("*").alias("n_records"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("n_tokens"))
-    return out.withColumn("avgdl", F.greatest(F.lit(1.0), F.coalesce(F.col("n_tokens") / F.nullif(F.col("n_records"), F.lit(0)), F.lit(1.0))))
+    return _with_mean(own.agg(F.count("*").alias("n_records"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("n_tokens")))
+
+
+def _with_mean(sums: DataFrame) -> DataFrame:
+    return sums.withColumn("avgdl", F.greatest(F.lit(1.0), F.coalesce(F.col("n_tokens") / F.nullif(F.col("n_records"), F.lit(0)), F.lit(1.0))))
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,16 +51,20 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(records: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", exclude: DataFrame | None = None) -> DataFrame:
     """(query_id, record_id, score) of every record that has a query's term.
 
-    Only the terms of queries leave the scan: they are looked up before the counts are
-    shuffled. exclude (record_id) masks hits; statistics count masked records too.
+    Texts are tokenized once: only the terms of queries, and an empty term for each
+    record, leave the scan and are written as a table that gives frequencies, statistics
+    and hits. exclude (record_id) masks hits; statistics count masked records too.
     """
     terms = query_terms(queries, query_id, query_text)
-    wanted = terms.select("term").distinct()
+    wanted = terms.select("term").distinct().union(terms.sparkSession.createDataFrame([("",)], "term string"))
     wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else wanted
-    found = token_lists(records, id_col, text_col).select("record_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term")
-    counted = found.groupBy("record_id", "dl", "term").agg(F.count("*").alias("tf"))
+    lists = token_lists(records, id_col, text_col)
+    found = lists.select("record_id", "dl", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term")).join(wanted, "term")
+    every = written(found.groupBy("record_id", "dl", "term").agg(F.count("*").alias("tf")))
+    counted = every.where("term <> ''")
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(records, id_col, text_col)
+    own = every.where("term = ''")
+    stats = _with_mean(own.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_records"), F.coalesce(F.sum(F.col("tf") * F.col("dl")), F.lit(0)).cast("long").alias("n_tokens")))
     idf = F.log(1 + (F.col("n_records") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "avgdl", idf.alias("idf"))
     hits = counted if exclude is None else counted.join(exclude.select("record_id").distinct(), "record_id", "left_anti")
@@ -89,27 +99,45 @@ def bloom_size(kept: int, low: int = 14, high: int = 21) -> int:
     return 1 << min(high, max(low, (32 * max(kept, 1) - 1).bit_length()))
 
 
+def layer_blooms(records: DataFrame, bits: int, depth_col: str = "depth", text_col: str = "text", floor: int = 1) -> DataFrame:
+    """(depth, bit): each layer's bloom at the geometry of the base, over its words found floor times."""
+    words = records.select(F.col(depth_col).alias("depth"), F.explode(fx.raw_tokens(F.col(text_col))).alias("word")).groupBy("depth", "word").agg(F.count("*").alias("n")).where(F.col("n") >= floor)
+    two = F.array(*(F.pmod(fx.fnv1a(F.col("word"), s), F.lit(bits)) for s in fx.SEEDS))
+    return words.select("depth", F.explode(two).alias("bit")).distinct()
+
+
+def union_bloom(blooms: DataFrame) -> DataFrame:
+    """(bit, n_layers): the bits of a chain's bloom, set where any layer's is."""
+    return blooms.groupBy("bit").agg(F.count_distinct("depth").alias("n_layers"))
+
+
 def known_fraction(queries: DataFrame, bits: DataFrame, n_bits: int, id_col: str, text_col: str) -> DataFrame:
     """(query_id, known_frac): share of a query's tokens, repeats included, whose bits are all set; bits has n_bits rows at most."""
     tokens = queries.select(F.col(id_col).alias("query_id"), F.explode(fx.raw_tokens(F.col(text_col))).alias("word"))
     hashed = tokens.select("query_id", *(F.pmod(fx.fnv1a(F.col("word"), s), F.lit(n_bits)).alias(f"bit{k}") for k, s in enumerate(fx.SEEDS)))
+    bits = written(bits.select("bit"))  # 2**21 rows at most
+    small = bits.count() <= BROADCAST_BITS
     for k in (0, 1):
-        hashed = hashed.join(F.broadcast(bits.select(F.col("bit").alias(f"bit{k}"), F.lit(1).alias(f"set{k}"))), f"bit{k}", "left")
+        side = bits.select(F.col("bit").alias(f"bit{k}"), F.lit(1).alias(f"set{k}"))
+        hashed = hashed.join(F.broadcast(side) if small else side, f"bit{k}", "left")
     return hashed.groupBy("query_id").agg(F.avg(F.when(F.col("set0").isNotNull() & F.col("set1").isNotNull(), 1.0).otherwise(0.0)).alias("known_frac"))
 
 
 def common_words(records: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, df) of words of 3 letters and more that stand in more than 5 % of records (and in more than 4), function words left out."""
-    words = records.select(F.explode(F.array_distinct(fx.raw_tokens(F.col(text_col)))).alias("word")).where((F.length("word") >= 3) & ~F.col("word").isin(fx.STOPWORDS))
+    """(word, df) of words of 3 letters and more that stand in more than 5 % of records (and in more than 4), the stop words of coverage left out."""
+    words = records.select(F.explode(F.array_distinct(fx.raw_tokens(F.col(text_col)))).alias("word")).where((F.length("word") >= 3) & ~F.col("word").isin(fx.COVERAGE_STOPWORDS))
     n = records.agg(F.greatest(F.lit(4.0), F.floor(F.count("*") * 0.05 + 0.5)).alias("_least"))
     return words.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(n), F.col("df") > F.col("_least")).select("word", "df")
 
 
 def entities(records: DataFrame, text_col: str = "text") -> DataFrame:
-    """(entity, df): capitalized words of 3 letters and more that never stand in lower case, no function words, in at most max(2, 40 %) records."""
+    """(entity, df) in lower case: words of 3 letters and more that stand with a capital and never without one, no stop words and no Roman numerals, in at most max(2, 40 %) records."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    capital = records.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Z][a-z]{2,}"), F.lit(0)))).alias("entity"))
-    small = records.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z]+"), F.lit(0)))).alias("w")).where(F.col("w") == F.lower("w")).distinct()
+    word = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z'])[A-Za-z']{3,}"), F.lit(0))
+    seen = records.select(F.explode(F.array_distinct(word)).alias("w")).select(F.lower("w").alias("entity"), F.col("w").rlike("^[A-Z]").alias("_capital"))
+    # forms of a word in one record differ in case alone
     limit = records.agg(F.greatest(F.lit(2.0), F.ceil(F.count("*") * 0.4)).alias("_most"))
-    counted = capital.where(~F.lower("entity").isin(fx.STOPWORDS)).groupBy("entity").agg(F.count("*").alias("df"))
-    return counted.join(small, F.lower("entity") == F.col("w"), "left_anti").join(F.broadcast(limit), F.col("df") <= F.col("_most")).select("entity", "df")
+    small = seen.where(~F.col("_capital")).select("entity").distinct()
+    one = F.array_distinct(F.transform(F.filter(word, lambda w: w.rlike("^[A-Z]")), lambda w: F.lower(w)))
+    counted = records.select(F.explode(one).alias("entity")).where(~F.col("entity").isin(fx.PROBE_STOPWORDS) & ~F.col("entity").rlike("^[ivxlcdm]+$")).groupBy("entity").agg(F.count("*").alias("df"))
+    return counted.join(small, "entity", "left_anti").join(F.broadcast(limit), F.col("df") <= F.col("_most")).select("entity", "df")

@@ -42,13 +42,22 @@ def _blocks(df: DataFrame, size: int, names: tuple[str, str]) -> DataFrame:
     """Packed blocks of (id, vector): ids and matrix as binaries."""
     schema = f"{names[0]} binary, {names[1]} binary"
 
+    def packed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids, flat = (np.concatenate(x) for x in zip(*parts))
+        return pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary())], names=list(names))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held, n = [], 0
+        for batch in batches:  # batches may be small; blocks are filled across them
             for at in range(0, len(batch), size):
                 part = batch.slice(at, size)
-                ids = part.column(0).to_numpy().astype(np.int64)
-                flat = part.column(1).flatten().to_numpy().astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary())], names=list(names))
+                if n + len(part) > size:
+                    yield packed(held)
+                    held, n = [], 0
+                held.append((part.column(0).to_numpy().astype(np.int64), part.column(1).flatten().to_numpy().astype(np.float64)))
+                n += len(part)
+        if held:
+            yield packed(held)
 
     return df.mapInArrow(run, schema)
 
@@ -94,6 +103,27 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     return found.withColumn("vec_rank", F.row_number().over(order).cast("long")).where(F.col("vec_rank") <= k)
 
 
+def symmetric(pairs: DataFrame, quantized: DataFrame, dims: int, metric: str = "cosine") -> DataFrame:
+    """(a, b, distance) of pairs of rows (a, b) from their codes alone: sums, sums of squares and the product of codes; l2 is squared."""
+    side = lambda x: quantized.select(F.col("row_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("q", "scale", "offset", "sum_q", "sum_q2")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    c = lambda n: F.col(n).cast("double")
+    dot = vx.dot(F.col("q_a"), F.col("q_b"))
+    if metric == "cosine":
+        product = dims * c("offset_a") * c("offset_b") + c("offset_a") * c("scale_b") * c("sum_q_b") + c("offset_b") * c("scale_a") * c("sum_q_a") + c("scale_a") * c("scale_b") * dot
+        distance = 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), product))
+    else:
+        apart = c("offset_a") - c("offset_b")
+        distance = dims * apart * apart + 2 * apart * (c("scale_a") * c("sum_q_a") - c("scale_b") * c("sum_q_b")) + c("scale_a") * c("scale_a") * c("sum_q2_a") + c("scale_b") * c("scale_b") * c("sum_q2_b") - 2 * c("scale_a") * c("scale_b") * dot
+    return both.select("a", "b", distance.alias("distance"))
+
+
+def candidates_kept(k: int, live: int, rerank: int | None = None, recommended: int | None = None, tier: str = "full", most: int = 4096) -> int:
+    """How many candidates the sketch scan keeps: as asked, else as recommended (`most` at most), else 100 or 10 k; four times as many on the micro tier, never more than there are."""
+    c = rerank or (min(recommended, most) if recommended else max(100, 10 * k))
+    return min(live, max(k, c * (4 if tier == "micro" else 1)))
+
+
 def sketches(quantized: DataFrame, dims: int, pool: int = 2, bits: int = 4) -> DataFrame:
     """(row_id, sketch): pooled codes."""
     return quantized.select("row_id", vx.pooled(F.col("q"), dims, pool, bits).alias("sketch"))
@@ -119,7 +149,8 @@ def two_stage(quantized: DataFrame, queries: DataFrame, dims: int, k: int, reran
 
 def reranked(candidates: DataFrame, quantized: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
     """Candidates (query_id, row_id) by exact distance to quantized rows, the best k of each query."""
-    full = candidates.join(restored(quantized), "row_id").join(queries.select("query_id", F.col("vector").alias("_q")), "query_id")
+    asked = candidates.select("query_id", "row_id")
+    full = asked.join(queries.select("query_id", F.col("vector").alias("_q")), "query_id").join(quantized, "row_id").withColumn("vector", vx.restored(F.col("q"), F.col("scale"), F.col("offset")))
     scored = full.select("query_id", "row_id", F.round(vx.cosine_distance(F.col("_q"), F.col("vector")), 9).alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "row_id")
     ranked = scored.withColumn("vec_rank", F.row_number().over(order).cast("long"))

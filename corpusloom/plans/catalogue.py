@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions import vectors as vx
-from ..operators import calibrate, chunks, evaluate, layers, lexical, ranking, vector
+from ..functions import student
+from ..operators import calibrate, chain, chunks, evaluate, index, layers, lexical, ranking, vector
 from ..sources import html, markdown
 from ..streaming import append
 
@@ -47,7 +48,7 @@ def _r(column, digits: int = 6):
 
 # ---- text and the lexical index ---------------------------------------------
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in fx.STOPWORDS) + "]"
+_STOP, _PROBE_STOP, _COVER_STOP = ("[" + ", ".join(f"'{w}'" for w in words) + "]" for words in (fx.STOPWORDS, fx.PROBE_STOPWORDS, fx.COVERAGE_STOPWORDS))
 
 
 def _raw(t: str) -> str:
@@ -145,7 +146,7 @@ def known_frac(spark, sf_dir):
     return lexical.known_fraction(_read(spark, sf_dir, "benchmark"), bits, size, "item_id", "text").withColumn("known_frac", _r("known_frac"))
 
 
-_COMMON = f"""common AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct({_raw('text')})) AS word FROM documents) WHERE len(word) >= 3 AND NOT list_contains({_STOP}, word) GROUP BY word
+_COMMON = f"""common AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct({_raw('text')})) AS word FROM documents) WHERE len(word) >= 3 AND NOT list_contains({_COVER_STOP}, word) GROUP BY word
 HAVING count(*) > (SELECT greatest(4, floor(count(*) * 0.05::DOUBLE + 0.5)) FROM documents))"""
 
 
@@ -154,9 +155,10 @@ def common_words(spark, sf_dir):
     return lexical.common_words(_read(spark, sf_dir, "documents"))
 
 
-@query(f"""WITH cap AS (SELECT e, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{{2,}}'))) AS e FROM documents) GROUP BY e),
-small AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS w FROM documents) WHERE w = lower(w))
-SELECT e AS entity, df FROM cap WHERE NOT list_contains({_STOP}, lower(e)) AND lower(e) NOT IN (SELECT w FROM small) AND df <= (SELECT greatest(2, ceil(count(*) * 0.4::DOUBLE)) FROM documents)""")
+@query(f"""WITH w AS (SELECT rid, unnest(list_distinct(w)) AS w FROM (SELECT row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[A-Za-z'']+') AS w FROM documents)),
+cap AS (SELECT e, count(*) AS df FROM (SELECT DISTINCT rid, lower(w) AS e FROM w WHERE len(w) >= 3 AND regexp_matches(w, '^[A-Z]')) GROUP BY e),
+small AS (SELECT DISTINCT lower(w) AS w FROM w WHERE len(w) >= 3 AND NOT regexp_matches(w, '^[A-Z]'))
+SELECT e AS entity, df FROM cap WHERE NOT list_contains({_PROBE_STOP}, e) AND NOT regexp_full_match(e, '[ivxlcdm]+') AND e NOT IN (SELECT w FROM small) AND df <= (SELECT greatest(2, ceil(count(*) * 0.4::DOUBLE)) FROM documents)""")
 def entity_index(spark, sf_dir):
     return lexical.entities(_read(spark, sf_dir, "documents"))
 
@@ -263,7 +265,19 @@ def exchanges(spark, sf_dir):
     return chunks.exchanges(_read(spark, sf_dir, "conversations"))
 
 
-@query()
+def _records_sql() -> str:
+    text = "'User: ' || usr || chr(10) || chr(10) || 'Assistant: ' || ast || chr(10) || chr(10) || 'Exchange ' || exchange || ' of ' || n_exchanges"
+    line = "trim(regexp_extract(usr, '(?m)^[ \\t]*(\\S[^\\n]*)$', 1))"
+    ctes, last = [f"r0 AS (SELECT conv_id, exchange, {line} AS line, {text} AS t FROM ex)"], "r0"
+    for k, (p, keeps) in enumerate([*fx.SECRETS, (fx.EMAIL, None)], 1):
+        quoted, new = p.replace("'", "''"), "[email]" if keeps is None else "\\1[redacted]" if keeps else "[redacted]"
+        ctes.append(f"r{k} AS (SELECT conv_id, exchange, line, regexp_replace(t, '{quoted}', '{new}', 'g') AS t FROM {last})")
+        last = f"r{k}"
+    ex = "ex AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY g) AS exchange, count(*) OVER (PARTITION BY conv_id) AS n_exchanges, usr, ast FROM ag WHERE ast IS NOT NULL)"
+    return f"WITH {_EXCHANGES}, {ex}, {', '.join(ctes)} SELECT conv_id, exchange, CASE WHEN length(line) > 80 THEN rtrim(line[:79]) || '…' ELSE line END AS title, t AS text FROM {last}"
+
+
+@query(_records_sql())
 def conversation_records(spark, sf_dir):
     return chunks.exchange_records(chunks.exchanges(_read(spark, sf_dir, "conversations")))
 
@@ -428,21 +442,26 @@ _LAYERS = """sz AS (SELECT count(*) AS n, count(*) // 20 AS step FROM documents)
 lay AS (SELECT d AS depth, sha256('layer' || d) AS identity, CASE WHEN d > 0 THEN sha256('layer' || (d - 1)) END AS parent, CASE WHEN d = 0 THEN n - 4 * step ELSE step END AS n_records FROM sz, (SELECT unnest(range(0, 5)) AS d)),
 iv AS (SELECT *, sum(n_records) OVER (ORDER BY depth)::BIGINT AS row_end, (sum(n_records) OVER (ORDER BY depth) - n_records)::BIGINT AS row_base FROM lay),
 rec AS (SELECT doc_id AS record_id FROM documents),
-tomb AS (SELECT 1 + record_id % 4 AS depth, record_id FROM rec JOIN iv ON depth = 1 + record_id % 4 WHERE record_id % 11 = 0 AND record_id < row_base),
-edge AS (SELECT depth, record_id AS old_id, row_base + record_id % n_records AS new_id FROM rec JOIN iv ON depth = 1 + record_id % 4 WHERE record_id % 13 = 0 AND record_id < row_base)"""
+tomb AS (SELECT 1 + record_id % 4 AS depth, record_id FROM rec JOIN iv ON depth = 1 + record_id % 4 WHERE record_id % 11 = 0 AND record_id < row_base
+ UNION ALL SELECT depth, record_id FROM rec JOIN iv ON depth = 4 WHERE record_id % 22 = 0 AND record_id % 4 < 3 AND record_id < row_base),
+edge AS (SELECT depth, record_id AS old_id, row_base + record_id % n_records AS new_id FROM rec JOIN iv ON depth = 1 + record_id % 4 WHERE record_id % 13 = 0 AND record_id < row_base
+ UNION ALL SELECT depth, record_id, row_base + (record_id * 7 + 3) % n_records FROM rec JOIN iv ON depth = 4 WHERE record_id % 39 = 0 AND record_id % 4 < 3 AND record_id < row_base)"""
 
 
 def _layered(spark, sf_dir):
-    """Records, layers, deletions and edges by rule from documents: four layers of a twentieth each."""
+    """Records, layers, deletions and edges by rule from documents: four layers of a twentieth each. The last layer repeats some deletions and supersedes some ids again."""
     records = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"))
     n = records.count()
     step = n // 20
     base = spark.range(5).select(F.col("id").alias("depth"), F.when(F.col("id") == 0, n - 4 * step).otherwise(step).cast("long").alias("n_records"))
     name = lambda d: F.sha2(F.concat(F.lit("layer"), d.cast("string")), 256)
     lay = base.select("depth", name(F.col("depth")).alias("identity"), F.when(F.col("depth") > 0, name(F.col("depth") - 1)).alias("parent"), "n_records")
-    own = records.withColumn("depth", 1 + F.col("record_id") % 4).join(F.broadcast(layers.intervals(lay)), "depth").where("record_id < row_base")
-    tomb = own.where("record_id % 11 = 0").select("depth", "record_id")
-    edge = own.where("record_id % 13 = 0").select("depth", F.col("record_id").alias("old_id"), (F.col("row_base") + F.col("record_id") % F.col("n_records")).alias("new_id"))
+    spans = F.broadcast(layers.intervals(lay))
+    own = records.withColumn("depth", 1 + F.col("record_id") % 4).join(spans, "depth").where("record_id < row_base")
+    last = records.where("record_id % 4 < 3").withColumn("depth", F.lit(4).cast("long")).join(spans, "depth").where("record_id < row_base")
+    tomb = own.where("record_id % 11 = 0").select("depth", "record_id").union(last.where("record_id % 22 = 0").select("depth", "record_id"))
+    moved = lambda df, place: df.select("depth", F.col("record_id").alias("old_id"), (F.col("row_base") + place % F.col("n_records")).alias("new_id"))
+    edge = moved(own.where("record_id % 13 = 0"), F.col("record_id")).union(moved(last.where("record_id % 39 = 0"), F.col("record_id") * 7 + 3))
     return records, lay, tomb, edge
 
 
@@ -471,19 +490,24 @@ def superset_violations(spark, sf_dir):
     return layers.superset_violations(tomb.where("depth = 2"), tomb.where("depth = 1"), records.count() // 2)
 
 
-_WALK = """step1 AS (SELECT old_id, arg_max(new_id, depth) AS new_id FROM edge GROUP BY old_id),
-walk AS (SELECT old_id, new_id AS immediate, new_id AS tip, 1 AS hops FROM step1 UNION ALL SELECT w.old_id, immediate, s.new_id, hops + 1 FROM walk w JOIN step1 s ON s.old_id = w.tip WHERE hops < 64),
-succ AS (SELECT old_id, any_value(immediate) AS immediate, arg_max(tip, hops) AS cur, max(hops) AS hops FROM walk GROUP BY old_id)"""
+# the first edge of an id is its immediate successor, the last one leads on
+_WALK = """views AS (SELECT old_id, arg_min(new_id, depth) AS immediate, string_agg(new_id::VARCHAR, ',' ORDER BY depth) AS successors, arg_max(new_id, depth) AS last_id FROM edge GROUP BY old_id),
+walk AS (SELECT old_id, last_id AS tip, 1 AS hops FROM views UNION ALL SELECT w.old_id, s.last_id, hops + 1 FROM walk w JOIN views s ON s.old_id = w.tip WHERE hops < 64),
+succ AS (SELECT old_id, any_value(immediate) AS immediate, any_value(successors) AS successors, arg_max(tip, hops) AS cur, max(hops) AS hops FROM walk JOIN views USING (old_id) GROUP BY old_id)"""
+
 
+def _ids(df):
+    return df.withColumn("successors", F.array_join(F.transform("successors", lambda x: x.cast("string")), ","))
 
-@query(f"WITH RECURSIVE {_LAYERS}, {_WALK} SELECT old_id, immediate, cur AS current, hops::BIGINT AS hops, false AS cyclic FROM succ")
+
+@query(f"WITH RECURSIVE {_LAYERS}, {_WALK} SELECT old_id, immediate, successors, cur AS current, hops::BIGINT AS hops, false AS cyclic FROM succ")
 def supersession_current(spark, sf_dir):
-    return layers.successors(_layered(spark, sf_dir)[3])
+    return _ids(layers.successors(_layered(spark, sf_dir)[3]))
 
 
-@query(f"WITH RECURSIVE {_LAYERS}, {_WALK} SELECT record_id, depth, record_id IN (SELECT record_id FROM tomb) AS tombstoned, immediate AS superseded_by, cur AS current_successor FROM rec JOIN iv ON record_id >= row_base AND record_id < row_end LEFT JOIN succ ON old_id = record_id")
+@query(f"WITH RECURSIVE {_LAYERS}, {_WALK} SELECT record_id, depth, record_id IN (SELECT record_id FROM tomb) AS tombstoned, immediate AS superseded_by, successors, cur AS current_successor FROM rec JOIN iv ON record_id >= row_base AND record_id < row_end LEFT JOIN succ ON old_id = record_id")
 def record_status(spark, sf_dir):
-    return layers.record_status(*_layered(spark, sf_dir))
+    return _ids(layers.record_status(*_layered(spark, sf_dir)))
 
 
 _COMPACT = "comp AS (SELECT record_id, row_number() OVER (ORDER BY record_id) - 1 AS new_id FROM rec WHERE record_id NOT IN (SELECT record_id FROM tomb))"
@@ -509,18 +533,39 @@ def citation_resolve(spark, sf_dir):
     return layers.citations(cited, lay, tomb)
 
 
-@query(f"""WITH {_LAYERS}, g AS (SELECT depth, count(DISTINCT record_id) AS gone FROM tomb GROUP BY depth),
-x AS (SELECT depth, (sum(CASE WHEN depth > 0 THEN n_records ELSE 0 END) OVER (ORDER BY depth) + sum(coalesce(gone, 0)) OVER (ORDER BY depth))::DOUBLE / (SELECT n_records FROM lay WHERE depth = 0) AS d FROM lay LEFT JOIN g USING (depth))
-SELECT depth, round(d, 6) AS drift, CASE WHEN d > {layers.DRIFT_LIMIT}::DOUBLE THEN 'exceeded' ELSE 'within' END AS status FROM x""")
+# a head's mask holds the ids that it or a layer below deletes, each once
+_DRIFT = """x AS (SELECT l.depth, ((SELECT coalesce(sum(n_records), 0) FROM lay m WHERE m.depth BETWEEN 1 AND l.depth) + (SELECT count(DISTINCT record_id) FROM tomb t WHERE t.depth <= l.depth))::DOUBLE / (SELECT n_records FROM lay WHERE depth = 0) AS d FROM lay l)"""
+
+
+@query(f"WITH {_LAYERS}, {_DRIFT} SELECT depth, round(d, 6) AS drift, CASE WHEN d > {layers.DRIFT_LIMIT}::DOUBLE THEN 'drift-exceeded' ELSE 'inherited' END AS status FROM x")
 def calibration_drift(spark, sf_dir):
     _, lay, tomb, _ = _layered(spark, sf_dir)
     return layers.drift(lay, tomb)
 
 
-@query(f"WITH {_LAYERS} SELECT unnest(['depth-gap', 'parent-mismatch', 'tombstone-beyond', 'edge-beyond', 'edge-twice']) AS rule, 0::BIGINT AS n")
+@query(f"WITH {_LAYERS}, {_DRIFT} SELECT depth, round(d, 6) AS drift, 0.15::DOUBLE AS effective_limit, CASE WHEN d <= 0.15::DOUBLE AND depth < 3 THEN 'inherited' ELSE 'drift-exceeded' END AS status FROM x")
+def calibration_status(spark, sf_dir):
+    """A stricter producer, and a layer that ships no bloom."""
+    _, lay, tomb, _ = _layered(spark, sf_dir)
+    return layers.calibration_status(layers.drift(lay, tomb).drop("status"), envelope=0.15, blooms=lay.where("depth <> 3").select("depth"))
+
+
+@query(f"""WITH {_LAYERS}, lb AS (SELECT CASE WHEN depth = 4 THEN 5 ELSE depth END AS depth, identity, CASE WHEN depth = 2 THEN 'x' ELSE parent END AS parent, n_records FROM lay),
+ib AS (SELECT *, sum(n_records) OVER (ORDER BY depth) AS row_end, sum(n_records) OVER (ORDER BY depth) - n_records AS row_base, lag(depth) OVER (ORDER BY depth) AS d, lag(identity) OVER (ORDER BY depth) AS p FROM lb),
+tb AS (SELECT depth, record_id FROM tomb UNION ALL SELECT 1, record_id FROM rec WHERE record_id % 97 = 0),
+eb AS (SELECT * FROM edge UNION ALL SELECT depth, old_id, new_id + 1 FROM edge WHERE old_id % 26 = 0)
+SELECT 'depth-gap' AS rule, count(*) AS n FROM ib WHERE depth <> d + 1
+UNION ALL SELECT 'parent-mismatch', count(*) FROM ib WHERE p IS NOT NULL AND parent IS DISTINCT FROM p
+UNION ALL SELECT 'tombstone-beyond', count(*) FROM tb JOIN ib USING (depth) WHERE record_id >= row_base
+UNION ALL SELECT 'edge-beyond', count(*) FROM eb JOIN ib USING (depth) WHERE new_id < row_base OR new_id >= row_end
+UNION ALL SELECT 'edge-twice', count(*) FROM (SELECT depth, old_id FROM eb GROUP BY ALL HAVING count(*) > 1)""")
 def layer_violations(spark, sf_dir):
-    _, lay, tomb, edge = _layered(spark, sf_dir)
-    return layers.violations(lay, tomb, edge)
+    """Of a chain with a gap, a wrong parent, deletions beyond their time and edges that are doubled and lead too far."""
+    records, lay, tomb, edge = _layered(spark, sf_dir)
+    broken = lay.select(F.when(F.col("depth") == 4, 5).otherwise(F.col("depth")).alias("depth"), "identity", F.when(F.col("depth") == 2, "x").otherwise(F.col("parent")).alias("parent"), "n_records")
+    more = tomb.union(records.where("record_id % 97 = 0").select(F.lit(1).cast("long").alias("depth"), "record_id"))
+    twice = edge.union(edge.where("old_id % 26 = 0").select("depth", "old_id", F.col("new_id") + 1))
+    return layers.violations(broken, more, twice)
 
 
 @query(f"WITH {_LAYERS} SELECT DISTINCT record_id, CASE WHEN record_id >= (SELECT n // 2 FROM sz) THEN 'foreign' WHEN record_id IN (SELECT record_id FROM tomb WHERE depth = 1) THEN 'conflict' ELSE 'keep' END AS action FROM tomb WHERE depth IN (1, 3)")
@@ -579,10 +624,10 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_
 j AS (SELECT k.*, (x.label = y.label)::INT AS rel FROM k JOIN embeddings x ON x.vec_id = query_id JOIN embeddings y ON y.vec_id = row_id WHERE vec_rank <= 10)"""
 
 
-def _judged(spark, sf_dir):
-    """The ten nearest other rows with relevance: the same label."""
+def _judged(spark, sf_dir, k=10):
+    """The k nearest other rows with relevance: the same label."""
     labels = _read(spark, sf_dir, "embeddings").select("vec_id", "label")
-    near = _near(spark, sf_dir, skip_self=True)
+    near = _near(spark, sf_dir, k, skip_self=True)
     own = near.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("_a")), "query_id").join(labels.select(F.col("vec_id").alias("row_id"), F.col("label").alias("_b")), "row_id")
     ranked = own.withColumn("relevant", (F.col("_a") == F.col("_b")).cast("int"))
     sizes = labels.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
@@ -629,7 +674,7 @@ def calibration_fit(spark, sf_dir):
     return spark.createDataFrame([(len(made), found["auc"], found["hard"], found["weak"], found["passed"])], "n_probes long, auc double, hard double, weak double, passed boolean")
 
 
-@query()
+@query(f"WITH {_knn()} SELECT count(*) AS total, count_if(hit) AS passed, CASE WHEN count(*) = 0 THEN 'no-tests' WHEN count(*) = count_if(hit) THEN 'pass' ELSE 'fail' END AS verdict FROM (SELECT v.query_id, bool_or(coalesce(row_id = v.query_id, false)) AS hit FROM vq v LEFT JOIN (SELECT * FROM k WHERE vec_rank <= 10) n ON n.query_id = v.query_id GROUP BY v.query_id)")
 def goldens_replay(spark, sf_dir):
     """Every query vector should find its own row."""
     near = _near(spark, sf_dir).withColumnRenamed("vec_rank", "fused_rank")
@@ -640,3 +685,282 @@ def goldens_replay(spark, sf_dir):
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     return append.event_windows(_read(spark, sf_dir, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# ---- scores, packs and rules beside search -----------------------------------
+
+
+@query(f"""WITH {_QUANT}, sums AS (SELECT row_id, q, scale::DOUBLE AS s, off::DOUBLE AS o, list_sum(q)::DOUBLE AS sq FROM quant)
+SELECT a.row_id AS a, b.row_id AS b, round(1 - greatest(-1.0::DOUBLE, least(1.0::DOUBLE, {DIMS} * a.o * b.o + a.o * b.s * b.sq + b.o * a.s * a.sq + a.s * b.s * list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[]))), 6) AS distance FROM sums a, sums b WHERE a.row_id % 20 = 0""")
+def symmetric_cosine(spark, sf_dir):
+    """Each twentieth row against all, from codes alone."""
+    own = _vectors(spark, sf_dir)
+    pairs = own.select(F.col("row_id").alias("b")).crossJoin(F.broadcast(own.where("row_id % 20 = 0").select(F.col("row_id").alias("a"))))
+    return vector.symmetric(pairs, own, DIMS).withColumn("distance", _r("distance"))
+
+
+@query(f"""WITH {_QUANT}, sums AS (SELECT row_id, q, scale::DOUBLE AS s, off::DOUBLE AS o, list_sum(q)::DOUBLE AS sq, list_sum(list_transform(q, lambda c: c * c))::DOUBLE AS sq2 FROM quant)
+SELECT a.row_id AS a, b.row_id AS b, round({DIMS} * (a.o - b.o) * (a.o - b.o) + 2 * (a.o - b.o) * (a.s * a.sq - b.s * b.sq) + a.s * a.s * a.sq2 + b.s * b.s * b.sq2 - 2 * a.s * b.s * list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[]), 6) + 0.0 AS distance FROM sums a, sums b WHERE a.row_id % 20 = 0""")
+def symmetric_l2(spark, sf_dir):
+    own = _vectors(spark, sf_dir)
+    pairs = own.select(F.col("row_id").alias("b")).crossJoin(F.broadcast(own.where("row_id % 20 = 0").select(F.col("row_id").alias("a"))))
+    return vector.symmetric(pairs, own, DIMS, "l2").withColumn("distance", _r("distance") + 0.0)
+
+
+_RULES = [("rrf60", 60.0, 1.0, None, None, 0), ("rrf60 w.5", 60.0, 0.5, None, None, 0), ("rrf10", 10.0, 1.0, None, None, 0), ("guard.05", 60.0, 1.0, 0.05, None, 0), ("k10w.5+g.05", 10.0, 0.5, 0.05, None, 0), ("agree10/3", 60.0, 1.0, None, 10, 3), ("agree5/3", 60.0, 1.0, None, 5, 3)]
+_RULE_ROWS = ", ".join(f"('{n}', {k}::DOUBLE, {w}::DOUBLE, {'NULL' if g is None else g}::DOUBLE, {'NULL' if a is None else a}::INT, {f})" for n, k, w, g, a, f in _RULES)
+
+
+@query(f"""WITH {_POOL}, {_FUSE.split(", fz AS")[0].split("pins AS")[0].rstrip().rstrip(",")}, rules(rule, rrf_k, weight, guard, agree, few) AS (VALUES {_RULE_ROWS}),
+m AS (SELECT *, count(lexical_rank) OVER w AS n_lex, max(distance) FILTER (WHERE vec_rank = 1) OVER w AS d1, max(distance) FILTER (WHERE vec_rank = 2) OVER w AS d2 FROM pool, rules WINDOW w AS (PARTITION BY rule, query_id)),
+sc AS (SELECT *, round(1.0::DOUBLE / (rrf_k + vec_rank - 1) + CASE WHEN lexical_rank IS NOT NULL AND (agree IS NULL OR n_lex <= few OR vec_rank <= agree) THEN weight / (rrf_k + lexical_rank - 1) ELSE 0 END, 12) AS s,
+ coalesce(vec_rank = 1 AND guard IS NOT NULL AND CASE WHEN d1 > 0 THEN (d2 - d1) / d1 >= guard ELSE d2 > 0 END, false) AS clear FROM m),
+r AS (SELECT rule, query_id, row_id, row_number() OVER (PARTITION BY rule, query_id ORDER BY clear DESC, s DESC, distance, vec_rank) AS fused_rank FROM sc) SELECT * FROM r WHERE fused_rank <= 5""")
+def fusion_grid(spark, sf_dir):
+    """What other rules of fusion would put first."""
+    pool, _ = ranking.pooled(_read(spark, sf_dir, "documents"), _vectors(spark, sf_dir), _text_queries(spark, sf_dir))
+    rules = spark.createDataFrame(_RULES, "rule string, rrf_k double, weight double, guard double, agree int, few int")
+    return ranking.grid(pool, rules).where("fused_rank <= 5")
+
+
+@query(f"WITH {_QUANT}, {_VQ}, d AS (SELECT query_id, row_id, 'pack' || (label % 3) AS pack, {_COS} AS distance FROM vq a, rest b JOIN embeddings ON vec_id = row_id), r AS (SELECT *, row_number() OVER (PARTITION BY pack, query_id ORDER BY distance, row_id) AS pack_rank FROM d) SELECT pack, query_id, row_id, round(distance, 6) AS distance, pack_rank FROM r WHERE pack_rank <= 3")
+def pack_search(spark, sf_dir):
+    """Three packs by label, each with its own best three."""
+    packs = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("label") % 3).alias("depth"))
+    near = ranking._near(vector.restored(_vectors(spark, sf_dir)), _vector_queries(spark, sf_dir), 3, None, packs)
+    named = near.join(packs.withColumn("pack", F.concat(F.lit("pack"), F.col("depth").cast("string"))), "row_id")
+    return ranking.by_pack(named.select("pack", "query_id", "row_id", "distance"), 3).withColumn("distance", _r("distance"))
+
+
+_GATE = "1 / (1 + exp(40 * {0} - 8))"
+
+
+@query(f"WITH {_knn()}, v AS (SELECT query_id, {_GATE.format('min(distance)')} AS p FROM k WHERE vec_rank = 2 GROUP BY query_id) SELECT k.query_id, row_id, vec_rank, CASE WHEN p < 0.95::DOUBLE THEN 'weak' ELSE 'strong' END AS verdict FROM k JOIN v ON v.query_id = k.query_id WHERE vec_rank <= 10 AND p >= 0.05::DOUBLE")
+def gated_search(spark, sf_dir):
+    """Hits of queries whose second row is near enough, with their verdict."""
+    near = _near(spark, sf_dir)
+    fitted = calibrate.Fit(*(__import__("numpy").array(x) for x in ([0.2], [0.025], [-1.0])), 0.0)
+    scored = near.where("vec_rank = 2").select("query_id", F.col("distance").alias("d")).withColumn("p", fitted.column(["d"]))
+    return ranking.gated(near.select("query_id", "row_id", "vec_rank"), scored.select("query_id", evaluate.verdict(F.col("p"), 0.05, 0.95).alias("verdict")))
+
+
+# ---- chains ------------------------------------------------------------------
+
+_CHAIN = """cs AS (SELECT (SELECT count(*) FROM embeddings) AS nv, (SELECT count(*) FROM documents) AS nd),
+cl AS (SELECT d AS depth, CASE WHEN d = 0 THEN nv - 4 * (nv // 20) WHEN d < 4 THEN nv // 20 ELSE greatest(nv, nd) - (nv - nv // 20) END AS n_records FROM cs, (SELECT unnest(range(0, 5)) AS d)),
+ci AS (SELECT depth, sum(n_records) OVER (ORDER BY depth) AS row_end, sum(n_records) OVER (ORDER BY depth) - n_records AS row_base FROM cl),
+dead AS (SELECT doc_id AS row_id FROM documents WHERE doc_id % 11 = 0)"""
+
+
+def _chained(spark, sf_dir):
+    """Layers whose ids span both documents and vectors, and a deletion of each eleventh document."""
+    docs = _read(spark, sf_dir, "documents")
+    nv, nd = _read(spark, sf_dir, "embeddings").count(), docs.count()
+    step = nv // 20
+    sizes = [nv - 4 * step, step, step, step, max(nv, nd) - (nv - step)]
+    lay = spark.createDataFrame([(d, f"chain{d}", f"chain{d - 1}" if d else None, n) for d, n in enumerate(sizes)], "depth long, identity string, parent string, n_records long")
+    return docs, lay, docs.where("doc_id % 11 = 0").select(F.lit(4).cast("long").alias("depth"), F.col("doc_id").alias("record_id"))
+
+
+@query(f"""WITH {_bm25('WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 11 = 0)')}, {_QUANT}, {_EMBED}, {_CHAIN},
+d AS (SELECT query_id, row_id, depth, {_COS} AS distance FROM vq a, rest b JOIN ci ON row_id >= row_base AND row_id < row_end WHERE row_id NOT IN (SELECT row_id FROM dead)),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id, depth ORDER BY distance, row_id) AS nr FROM d),
+hits AS (SELECT query_id, record_id AS row_id, lexical_rank FROM ranked WHERE lexical_rank <= {lexical.CANDIDATES} AND score >= best * {lexical.CUTOFF!r}::DOUBLE),
+pool AS (SELECT n.query_id, n.row_id, depth, distance, lexical_rank, row_number() OVER (PARTITION BY n.query_id ORDER BY distance, n.row_id) AS vec_rank FROM near n LEFT JOIN hits h ON h.query_id = n.query_id AND h.row_id = n.row_id WHERE nr <= 100 OR lexical_rank IS NOT NULL),
+pins AS (SELECT query_id, NULL::BIGINT AS pin FROM hits WHERE false), {_FUSE[_FUSE.index("fz AS"):]}
+SELECT query_id, row_id, depth AS layer, round(distance, 6) AS distance, vec_rank, lexical_rank, fused_rank FROM fr WHERE fused_rank <= 10""")
+def chain_search(spark, sf_dir):
+    """Hybrid search over a chain of five layers, deleted records masked."""
+    docs, lay, tomb = _chained(spark, sf_dir)
+    return chain.search(docs, lay, tomb, _vectors(spark, sf_dir), _text_queries(spark, sf_dir)).withColumn("distance", _r("distance"))
+
+
+@query(f"WITH {_POOL}, {_FUSE} SELECT query_id, row_id, fused_rank, lang, source, sha256(coalesce(t.text, '')) AS digest FROM fr JOIN documents t ON t.doc_id = row_id WHERE fused_rank <= 3")
+def hydrated_search(spark, sf_dir):
+    """The best three with their records."""
+    docs = _read(spark, sf_dir, "documents")
+    hits = ranking.search(docs, _vectors(spark, sf_dir), _text_queries(spark, sf_dir), 3)
+    return chain.hydrated(hits, docs).select("query_id", "row_id", "fused_rank", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+
+
+@query(f"""WITH {_QUANT}, {_VQ}, own AS (SELECT vec_id AS row_id, vec_id // 4 AS record_id FROM embeddings), d AS (SELECT query_id, row_id, {_COS} AS distance FROM vq a, rest b), nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS vr FROM d),
+bb AS (SELECT query_id, record_id, min(distance) AS distance, arg_min(row_id, (distance, row_id)) AS row_id FROM nn JOIN own USING (row_id) WHERE vr <= 100 GROUP BY ALL)
+SELECT query_id, record_id, row_id, round(distance, 6) AS distance, record_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, record_id) AS record_rank FROM bb) WHERE record_rank <= 10""")
+def best_rows(spark, sf_dir):
+    """Four rows in a line belong to one record, which counts by its nearest row."""
+    owner = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.floor(F.col("vec_id") / 4).alias("record_id"))
+    return chain.best_rows(_near(spark, sf_dir, 100), owner).where("record_rank <= 10").withColumn("distance", _r("distance"))
+
+
+@query(f"WITH {_LAYERS}, {_COMPACT} SELECT new_id AS record_id, record_id AS old_id, lang, sha256(coalesce(text, '')) AS digest FROM comp JOIN documents ON doc_id = record_id")
+def compacted_records(spark, sf_dir):
+    records, _, tomb, edge = _layered(spark, sf_dir)
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    return chain.compacted(docs, tomb, edge)[0]
+
+
+@query(f"""WITH {_LAYERS}, o AS (SELECT row_base AS old_base, n_records FROM iv WHERE depth = 3), nb AS (SELECT old_base + (SELECT n_records FROM iv WHERE depth = 4) AS new_base FROM o),
+delta AS (SELECT DISTINCT record_id FROM tomb, o WHERE depth = 3 AND record_id NOT IN (SELECT record_id FROM tomb WHERE depth <= 2) AND record_id < old_base),
+head AS (SELECT old_id, arg_max(new_id, depth) AS h FROM edge WHERE depth IN (1, 2, 4) GROUP BY old_id),
+mv AS (SELECT old_id, new_id - old_base + new_base AS new_id FROM edge, o, nb WHERE depth = 3), f AS (SELECT row_base AS fork FROM iv WHERE depth = 1)
+SELECT 'deletion' AS kind, record_id AS old_id, NULL::BIGINT AS new_id, CASE WHEN record_id >= fork THEN 'drop' WHEN record_id IN (SELECT record_id FROM tomb WHERE depth IN (1, 2, 4)) THEN 'no-op' ELSE 'set' END AS action FROM delta, f
+UNION ALL SELECT 'edge', old_id, new_id, CASE WHEN old_id >= fork THEN 'drop' WHEN h IS NOT NULL AND h <> new_id THEN 'keep-both' ELSE 'record' END FROM mv LEFT JOIN head USING (old_id), f""")
+def rebased_layer(spark, sf_dir):
+    """The third layer replayed on a head that has the fourth in its place."""
+    _, lay, tomb, edge = _layered(spark, sf_dir)
+    spans = {r["depth"]: r for r in layers.intervals(lay).collect()}  # five rows
+    old, fourth = spans[3], spans[4]
+    others = F.col("depth").isin(1, 2, 4)
+    return chain.rebase(
+        tomb.where("depth = 3"), tomb.where("depth <= 2"), edge.where("depth = 3"), old["row_base"], old["n_records"], old["row_base"] + fourth["n_records"], tomb.where(others), edge.where(others), spans[1]["row_base"], "drop", "keep-both"
+    )
+
+
+@query(f"WITH {_LAYERS} SELECT record_id, min(depth) AS since FROM rec JOIN iv ON record_id < row_end GROUP BY record_id")
+def citable_since(spark, sf_dir):
+    records, lay, *_ = _layered(spark, sf_dir)
+    return chain.citable_since(records, lay)
+
+
+@query(f"WITH RECURSIVE {_LAYERS}, wk AS (SELECT identity AS head, 0 AS hop, identity, parent, depth FROM lay UNION ALL SELECT head, hop + 1, l.identity, l.parent, l.depth FROM wk JOIN lay l ON l.identity = wk.parent) SELECT head, hop::BIGINT AS hop, identity, depth FROM wk")
+def walk_to_base(spark, sf_dir):
+    lay = _layered(spark, sf_dir)[1]
+    return chain.walk_to_base(lay, lay.select("identity"))
+
+
+@query("""WITH p AS (SELECT doc_id, source || '/' || lang || '/' || (doc_id % 300) AS path FROM documents), n AS (SELECT path, count(*) AS n, min(doc_id) AS id FROM documents JOIN (SELECT doc_id, source || '/' || lang || '/' || (n_chars % 500) AS path FROM documents) USING (doc_id) GROUP BY path)
+SELECT path, doc_id AS old_id, CASE WHEN n = 1 THEN id END AS new_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status FROM p LEFT JOIN n USING (path)""")
+def supersede_targets(spark, sf_dir):
+    """Every document asks for the one whose length names the path."""
+    docs = _read(spark, sf_dir, "documents")
+    path = lambda c: F.concat("source", F.lit("/"), "lang", F.lit("/"), c.cast("string"))
+    return chain.supersede_targets(docs.select(path(F.col("doc_id") % 300).alias("path"), F.col("doc_id").alias("old_id")), docs.select(F.col("doc_id").alias("record_id"), path(F.col("n_chars") % 500).alias("path")))
+
+
+_KINDS = "[" + ", ".join(f"'{k}'" for k in chain.NOTE_KINDS) + "]"
+
+
+@query(f"""WITH n AS (SELECT doc_id, ({_KINDS})[doc_id % 9 + 1] AS kind, left(text, 150 + doc_id % 80) AS title, text, [lang, ' ' || upper(lang) || ' ', source] AS tags FROM documents),
+t AS (SELECT *, regexp_replace(title, '^\\s+|\\s+$', '', 'g') AS tt, list_transform(tags, lambda x: lower(trim(x))) AS lt FROM n)
+SELECT doc_id, CASE WHEN kind IS NULL THEN 'kind' WHEN title IS NULL OR tt = '' OR length(title) > 200 OR contains(tt, chr(10)) THEN 'title' WHEN text IS NULL OR regexp_replace(text, '\\s+', '', 'g') = '' OR strlen(text) > 16384 THEN 'text' WHEN list_count(lt) < 3 OR list_contains(lt, '') THEN 'tags' END AS reason, sha256(tt) AS title_digest, list_unique(lt) + CASE WHEN list_count(lt) < 3 THEN 1 ELSE 0 END AS n_tags FROM t""")
+def note_validation(spark, sf_dir):
+    """Documents as notes: kinds in turn (two of nine unknown), long titles, languages and sources as tags."""
+    docs = _read(spark, sf_dir, "documents")
+    kinds = F.array(*(F.lit(k) for k in chain.NOTE_KINDS))
+    notes = docs.select("doc_id", F.get(kinds, (F.col("doc_id") % 9).cast("int")).alias("kind"), F.left("text", (150 + F.col("doc_id") % 80).cast("int")).alias("title"), "text", F.array("lang", F.concat(F.lit(" "), F.upper("lang"), F.lit(" ")), "source").alias("tags"))
+    return chain.shaped_notes(notes).select("doc_id", "reason", F.sha2("title", 256).alias("title_digest"), F.size("tags").cast("long").alias("n_tags"))
+
+
+_BITS = 1 << 16
+
+
+@query(f"""WITH {_LAYERS}, w AS (SELECT depth, unnest({_raw('text')}) AS word FROM documents JOIN iv ON doc_id >= row_base AND doc_id < row_end), u AS (SELECT DISTINCT depth, word FROM w),
+b AS (SELECT DISTINCT depth, unnest([{_fnv('word', fx.SEEDS[0])} % {_BITS}, {_fnv('word', fx.SEEDS[1])} % {_BITS}]) AS bit FROM u) SELECT bit, count(DISTINCT depth) AS n_layers FROM b GROUP BY bit""")
+def chain_bloom(spark, sf_dir):
+    """The bits of the chain's bloom, and in how many layers' blooms each is set."""
+    lay = _layered(spark, sf_dir)[1]
+    docs = layers.owners(_read(spark, sf_dir, "documents"), lay, "doc_id")
+    return lexical.union_bloom(lexical.layer_blooms(docs, _BITS))
+
+
+# ---- the index in lists, features, more evaluation -----------------------------
+
+
+def _listed(spark, sf_dir):
+    rows = vector.restored(_vectors(spark, sf_dir))
+    middle = index.centres(rows, 16)
+    return rows, middle, index.build(rows, middle)
+
+
+@query(f"WITH {_knn()} {_KOUT}")
+def ivf_search(spark, sf_dir):
+    """All lists asked: the same rows as an exact scan."""
+    _, middle, own = _listed(spark, sf_dir)
+    return _out(index.search(own, middle, _vector_queries(spark, sf_dir), 10, len(middle)))
+
+
+@query(f"WITH {_knn('WHERE row_id IN (SELECT vec_id FROM embeddings WHERE label IN (1, 2))')} {_KOUT}")
+def ivf_allowed(spark, sf_dir):
+    _, middle, own = _listed(spark, sf_dir)
+    allow = _read(spark, sf_dir, "embeddings").where("label in (1, 2)").select(F.col("vec_id").alias("row_id"))
+    return _out(index.search(own, middle, _vector_queries(spark, sf_dir), 10, len(middle), allow=allow))
+
+
+@query()
+def ivf_recall(spark, sf_dir):
+    """Recall at 10 of the number of lists that is recommended for it."""
+    rows, middle, own = _listed(spark, sf_dir)
+    queries = _vector_queries(spark, sf_dir)
+    probes = index.recommended_probes(own, middle, rows, queries)
+    found = index.recall(index.search(own, middle, queries, 10, probes), vector.nearest(rows, queries, 10))
+    return found.select("recall", F.lit(probes).alias("probes"), F.lit(len(middle)).alias("lists"))
+
+
+@query(f"WITH {_knn()}, {_SCAN}, true10 AS (SELECT query_id, row_id FROM k WHERE vec_rank <= 10), sk10 AS (SELECT query_id, row_id FROM sr WHERE srank <= 10) SELECT a.query_id, round(count(b.row_id) / 10.0::DOUBLE, 6) AS overlap FROM true10 a LEFT JOIN sk10 b ON b.query_id = a.query_id AND b.row_id = a.row_id GROUP BY a.query_id")
+def topk_overlap(spark, sf_dir):
+    """How many of the ten nearest the sketches put among their first ten."""
+    own, queries = _vectors(spark, sf_dir), _vector_queries(spark, sf_dir)
+    sketched = vector.nearest(vector.sketch_vectors(own, DIMS), vector.pooled_queries(queries, DIMS), 10)
+    return index.topk_overlap(vector.nearest(vector.restored(own), queries, 10), sketched, 10)
+
+
+_FEATURES = """t AS (SELECT item_id, list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda w: left(w, 48)) AS t FROM benchmark),
+f AS (SELECT item_id, flatten(list_transform(range(1, len(t) + 1), lambda i: list_concat(list_concat(['w:' || t[i]], flatten(list_transform([3, 4, 5], lambda n: list_transform(range(1, len(t[i]) + 2 - n + 2), lambda s: 'c' || n || ':' || substr('^' || t[i] || '$', s, n))))), CASE WHEN i > 1 THEN ['b:' || t[i - 1] || ':' || t[i]] ELSE []::VARCHAR[] END)))[1:256] AS f FROM t)"""
+
+
+@query(f"WITH {_FEATURES}, u AS (SELECT item_id, unnest(range(0, len(f))) AS place, unnest(f) AS feature FROM f) SELECT item_id, place, feature, list_reduce(list_prepend(17::BIGINT, list_transform(string_split(feature, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * {fx.FNV_PRIME}) & 4294967295) % 4096 AS bucket FROM u")
+def student_features(spark, sf_dir):
+    own = _read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(student.features(F.col("text"), 256)).alias("place", "feature"))
+    return own.select("item_id", F.col("place").cast("long").alias("place"), "feature", (student.feature_hash(F.col("feature"), 17) % 4096).alias("bucket"))
+
+
+def _quote(t: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({t}, '')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""WITH {_bm25()}, h AS (SELECT query_id, record_id, {_quote('q.text')} AS quote, {_quote('t.text')} AS held FROM ranked r JOIN benchmark q ON q.item_id = query_id JOIN documents t ON t.doc_id = record_id WHERE lexical_rank <= 5),
+w AS (SELECT *, list_filter(string_split(quote, ' '), lambda x: len(x) >= 3) AS words FROM h)
+SELECT query_id, record_id, quote <> '' AND (contains(held, quote) OR (len(words) > 6 AND len(list_filter(words, lambda x: contains(held, x)))::DOUBLE / len(words) >= 0.6::DOUBLE)) AS present FROM w""")
+def quote_present(spark, sf_dir):
+    """Whether the best lexical hits carry the benchmark's text."""
+    docs, items = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    hits = lexical.topk(lexical.bm25(docs, items), 5).select("query_id", "record_id")
+    both = hits.join(docs.select(F.col("doc_id").alias("record_id"), F.col("text").alias("p")), "record_id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id")
+    return both.select("query_id", "record_id", fx.quote_present(F.col("p"), F.col("q")).alias("present"))
+
+
+_JUDGED100 = _JUDGED.replace("vec_rank <= 10", "vec_rank <= 100")
+
+
+@query(f"WITH {_JUDGED100}, c AS (SELECT label, count(*) - 1 AS m FROM embeddings GROUP BY label), g AS (SELECT query_id, sum(rel) AS hit FROM j GROUP BY query_id) SELECT query_id, round(hit::DOUBLE / m, 6) AS recall FROM g JOIN embeddings ON vec_id = query_id JOIN c USING (label) WHERE m > 0")
+def eval_recall_100(spark, sf_dir):
+    return evaluate.ndcg(*_judged(spark, sf_dir, 100), k=100).select("query_id", "recall")
+
+
+@query(f"""WITH {_JUDGED}, f AS (SELECT x.label AS kind, query_id, min(vec_rank) FILTER (WHERE rel = 1) AS r FROM j JOIN embeddings x ON x.vec_id = query_id GROUP BY ALL)
+SELECT kind, round(avg((coalesce(r, 99) <= 1)::INT::DOUBLE), 6) AS success_1, round(avg((coalesce(r, 99) <= 3)::INT::DOUBLE), 6) AS success_3, round(avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE / r ELSE 0 END), 6) AS mrr FROM f GROUP BY kind""")
+def eval_by_kind(spark, sf_dir):
+    ranked = _judged(spark, sf_dir)[0]
+    return evaluate.reciprocal(ranked.withColumn("kind", F.col("_a")), by=("kind",))
+
+
+@query(f"""WITH {_JUDGED}, q AS (SELECT x.label AS cls, query_id, x.label > 2 AS can, max(rel) FILTER (WHERE vec_rank <= 3) = 1 AS found, min(distance) AS d0, CASE WHEN query_id % 60 = 0 THEN 0 ELSE 3 END AS n FROM j JOIN embeddings x ON x.vec_id = query_id GROUP BY ALL),
+v AS (SELECT *, d0 > 0.6::DOUBLE AS none FROM q)
+SELECT cls, count(*) AS n, count_if(CASE WHEN can THEN found AND n > 0 ELSE none OR n = 0 END) AS correct, count_if(can AND n = 0) AS withheld, count_if(can AND n > 0 AND found AND none) AS none_but_recovered, count_if(can AND n > 0 AND NOT found AND none) AS none_but_wrong,
+ count_if(CASE WHEN can THEN n > 0 AND NOT found AND NOT none ELSE NOT none AND n > 0 END) AS false_answer FROM v GROUP BY cls""")
+def confusion(spark, sf_dir):
+    """Labels above 2 can be answered; far queries get the verdict none, and every third query shows nothing."""
+    ranked = _judged(spark, sf_dir)[0]
+    own = ranked.groupBy(F.col("_a").alias("cls"), "query_id").agg(F.max(F.when(F.col("vec_rank") <= 3, F.col("relevant"))).alias("_f"), F.min("distance").alias("_d"))
+    judged = own.select("cls", (F.col("cls") > 2).alias("answerable"), (F.col("_f") == 1).alias("found"), F.when(F.col("_d") > 0.6, "none").otherwise("strong").alias("verdict"), F.when(F.col("query_id") % 60 == 0, 0).otherwise(3).alias("n_results"))
+    return evaluate.confusion(judged)
+
+
+@query(f"""WITH {_POOL}, {_FUSE}, one AS (SELECT query_id, row_id, vec_rank, lexical_rank, fused_rank FROM fr WHERE vec_rank = 1 + query_id % 12)
+SELECT query_id, CASE WHEN least(vec_rank, lexical_rank, fused_rank) > 8 THEN 'gap' WHEN fused_rank <= 3 THEN 'top3' WHEN least(vec_rank, lexical_rank) <= 3 THEN 'demotion' ELSE 'range' END AS class FROM one""")
+def rank_classes(spark, sf_dir):
+    """Where the modes put one row of each query, within the first eight."""
+    docs, queries = _read(spark, sf_dir, "documents"), _text_queries(spark, sf_dir)
+    pool = ranking.search(docs, _vectors(spark, sf_dir), queries, 10_000).where("vec_rank = 1 + query_id % 12")
+    ranks = pool.select("query_id", F.expr("stack(3, 'vector', vec_rank, 'lexical', lexical_rank, 'hybrid', fused_rank) as (mode, rank)"))
+    return evaluate.rank_classes(ranks, 8)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..functions.tables import written
 
 MOST_BYTES, MOST_FILES = 16 << 20, 40
 PATTERN = "*.{md,mdx,html,txt}"
@@ -93,19 +91,6 @@ def session_turns(lines: DataFrame) -> DataFrame:
     return titled.select(F.col("path").alias("conv_id"), F.col("n").alias("turn"), F.col("type").alias("role"), "text", F.left("timestamp", F.lit(10)).alias("date"), F.coalesce("_c", "_s", fx.short_title(F.col("_p"))).alias("title"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a table in spark.checkpoint.dir (in local mode a temporary folder will do): cuts the lineage."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.gettempdir()
-    path = f"{root.rstrip('/')}/branch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def branch(nodes: DataFrame, heads: DataFrame) -> DataFrame:
     """(conv_id, turn, node_id) of the way from each head (conv_id, node_id) up to its root, the root first.
 
@@ -113,14 +98,14 @@ def branch(nodes: DataFrame, heads: DataFrame) -> DataFrame:
     round meets no further node. A way that comes back to a node ends before it.
     """
     keys = ["conv_id", "node_id"]
-    found = _written(heads.select(*keys, F.lit(0).cast("long").alias("_up")))
-    jump, span = _written(nodes.select(*keys, "parent").where("parent is not null")), 1
+    found = written(heads.select(*keys, F.lit(0).cast("long").alias("_up")))
+    jump, span = written(nodes.select(*keys, "parent").where("parent is not null")), 1
     while True:
         up = found.join(jump, keys).select("conv_id", F.col("parent").alias("node_id"), (F.col("_up") + span).alias("_up"))
-        fresh = _written(up.join(found, keys, "left_anti").groupBy(*keys).agg(F.min("_up").alias("_up")))
+        fresh = written(up.join(found, keys, "left_anti").groupBy(*keys).agg(F.min("_up").alias("_up")))
         if fresh.isEmpty():
             break
         found = found.union(fresh)
         twice = jump.select("conv_id", F.col("node_id").alias("parent"), F.col("parent").alias("_next"))
-        jump, span = _written(jump.join(twice, ["conv_id", "parent"]).select(*keys, F.col("_next").alias("parent"))), span * 2
+        jump, span = written(jump.join(twice, ["conv_id", "parent"]).select(*keys, F.col("_next").alias("parent"))), span * 2
     return found.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("_up"))).cast("long").alias("turn"), "node_id")

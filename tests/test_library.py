@@ -106,9 +106,9 @@ def test_successors_and_circles(spark):
 def test_drift_at_the_limit(spark):
     lay = spark.createDataFrame([(0, "a", None, 100), (1, "b", "a", 15), (2, "c", "b", 4)], "depth long, identity string, parent string, n_records long")
     tomb = spark.createDataFrame([(2, 3)], "depth long, record_id long")
-    assert [(r["drift"], r["status"]) for r in layers.drift(lay, tomb).orderBy("depth").collect()] == [(0.0, "within"), (0.15, "within"), (0.2, "within")]
+    assert [(r["drift"], r["status"]) for r in layers.drift(lay, tomb).orderBy("depth").collect()] == [(0.0, "inherited"), (0.15, "inherited"), (0.2, "inherited")]
     more = tomb.union(spark.createDataFrame([(2, 4)], "depth long, record_id long"))
-    assert layers.drift(lay, more).where("depth = 2").first()["status"] == "exceeded"
+    assert layers.drift(lay, more).where("depth = 2").first()["status"] == "drift-exceeded"
     assert {r["rule"]: r["n"] for r in layers.violations(lay.withColumn("parent", F.lit("x")), more, spark.createDataFrame([(1, 2, 3)], "depth long, old_id long, new_id long")).collect()} == {"depth-gap": 0, "parent-mismatch": 2, "tombstone-beyond": 0, "edge-beyond": 1, "edge-twice": 0}
 
 
@@ -177,7 +177,7 @@ def test_coverage_by_hand(spark):
 
 def test_fit_tells_two_clouds_apart():
     rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(0, 1, (60, 2)), rng.normal(4, 1, (40, 2))])
+    x = np.concatenate([rng.normal(0, 1, (60, 2)), rng.normal(-4, 1, (40, 2))])
     y = np.repeat([0, 1], [60, 40])
     got = calibrate.calibrated(x, y)
     assert got["passed"] and got["auc"] > 0.97 and 0 <= got["hard"] <= 0.5 and got["hard"] < got["weak"] <= 0.95
@@ -200,6 +200,7 @@ def test_stream_becomes_layers(spark, tmp_path):
         append.append_stream(stream, str(tmp_path / "pack"), str(tmp_path / "ck"), 60, on_refusal=lambda *a: refused.append(a)).awaitTermination()
         spark.createDataFrame([(10 + k, "more") for k in range(5)], "record_id long, text string").write.mode("append").parquet(str(src))
     assert spark.read.parquet(str(tmp_path / "pack" / "records")).groupBy("depth").count().collect()[0]["count"] == 10 and refused == [(1, 0.25)]
+    assert spark.read.parquet(str(tmp_path / "pack" / "refused")).count() == 5
 
 
 def test_sampled_evenly(spark):
