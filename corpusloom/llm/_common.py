@@ -92,24 +92,40 @@ def release(but: str = "") -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined while they hold at most so many rows and bytes together."""
+    held: list[pa.RecordBatch] = []
+    n = b = 0
+    for batch in batches:
+        if held and (n + len(batch) > rows or b + batch.nbytes > size):
+            yield pa.concat_batches(held)
+            held, n, b = [], 0, 0
+        held.append(batch)
+        n, b = n + len(batch), b + batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def map_rows(
     df: DataFrame,
     columns: list[str],
     make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None]],
     schema: T.StructType,
     keeps: str = "",
+    gather: tuple[int, int] | None = None,
 ) -> DataFrame:
     """mapInArrow over the named columns; make() runs once in each task and returns the batch function.
 
     The batch function may have a finish() attribute, whose batches close the task.
-    keeps: the name under which the stage keeps a memory in KEPT.
+    keeps: the name under which the stage keeps a memory in KEPT. gather: rows and bytes
+    up to which batches are joined before they are handed on.
     """
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release(keeps)
         step = make()
-        for batch in batches:
+        for batch in batches if gather is None else _gathered(batches, *gather):
             out = step(batch)
             if out is not None:
                 yield from [out] if isinstance(out, pa.RecordBatch) else out

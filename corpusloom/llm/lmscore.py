@@ -72,7 +72,7 @@ def _tokens(df: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
             return state["chunk"]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [own.encode(t or "") for t in batch.column(2).to_pylist()]
+            ids = own.encode_all(batch.column(2))
             if not wide:
                 ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
             chunks = pa.array([chunk(len(x) // width) for x in ids], pa.int64())
@@ -80,7 +80,7 @@ def _tokens(df: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
 
         return step
 
-    return map_rows(df, [id_col, "_target", text_col], make, schema, keeps="bpe")
+    return map_rows(df, [id_col, "_target", text_col], make, schema, keeps="bpe", gather=(bpe.GATHER_ROWS, bpe.GATHER_BYTES))
 
 
 def _flat(column: pa.ChunkedArray | pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:

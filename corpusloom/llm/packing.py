@@ -162,8 +162,8 @@ def pieces(df: DataFrame, path: str, capacity: int, separator: int, id_col: str,
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             doc, piece, start, size, crc, rank = [], [], [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                ids = own.encode(text or "") + end
+            for k, ids in enumerate(own.encode_all(batch.column(1))):
+                ids += end
                 for j, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part_ids = ids[at : at + 4 * capacity]
                     n = len(part_ids) // 4
@@ -176,7 +176,7 @@ def pieces(df: DataFrame, path: str, capacity: int, separator: int, id_col: str,
 
         return step
 
-    return map_rows(df, [id_col, text_col], make, schema, keeps="bpe")
+    return map_rows(df, [id_col, text_col], make, schema, keeps="bpe", gather=(bpe.GATHER_ROWS, bpe.GATHER_BYTES))
 
 
 def pack(df: DataFrame, path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

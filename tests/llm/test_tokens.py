@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -121,7 +122,22 @@ def test_plan_holds_the_histogram_and_is_near_the_bound(lengths):
     assert (made == histogram).all()
     total = int((histogram * np.arange(65)).sum())
     big = int(histogram[33:].sum())  # no two of these share a sequence
-    assert bins <= 1.25 * max(-(-total // 64), big) + 2
+    sizes = np.repeat(np.arange(65), histogram)
+    most = max(1, int((np.cumsum(sizes) <= 64).sum()))  # no sequence holds more pieces than the smallest ones allow
+    assert bins <= 1.25 * max(-(-total // 64), big, -(-len(sizes) // most)) + 2
+
+
+def test_encoding_all_at_once_equals_the_library():
+    """Every code point below U+2500 alone and among letters, and random texts of blanks, marks, digits and special tokens."""
+    own = bpe.encoder(tokenizer_path())
+    alone = [chr(c) for c in range(0x2500)]
+    texts = [*alone, *("a" + c + "b 1" + c for c in alone), "a<|endoftext|>b", "<|startoftext|><|endoftext|>x'S 'LL", "İ<| x", "", None]
+    rng = np.random.default_rng(3)
+    letters = list("abcDEF'stredvmll0123 .,;!?-_<|>\t\n\r\x0b\x0c\x85\xa0éÖßñÉİıſǅ²½ªªµ\u0301\u00ad\u200b語")
+    texts += ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(5000)]
+    got = own.encode_all(pa.array(texts))
+    want = own.library.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [w.ids for w in want]
 
 
 def test_knapsack_against_brute_force():
