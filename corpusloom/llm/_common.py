@@ -132,6 +132,7 @@ def map_rows(
         finish = getattr(step, "finish", None)
         if finish:
             yield from finish()
+        release(keeps)  # an idle worker holds nothing of a stage that keeps no memory
 
     return df.select(*columns).mapInArrow(run, schema)
 

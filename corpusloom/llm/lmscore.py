@@ -80,7 +80,7 @@ def _tokens(df: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
 
         return step
 
-    return map_rows(df, [id_col, "_target", text_col], make, schema, keeps="bpe", gather=(bpe.GATHER_ROWS, bpe.GATHER_BYTES))
+    return map_rows(df, [id_col, "_target", text_col], make, schema, gather=(bpe.GATHER_ROWS, bpe.GATHER_BYTES))
 
 
 def _flat(column: pa.ChunkedArray | pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
