@@ -12,9 +12,10 @@ tens of keys with its original, and unlike pictures share one in thousands.
 A bucket's leader is the member that meets most others over all its buckets. Each
 image is confirmed against the greatest of its leaders, then against the others that
 are still in another component, and last every two members of a bucket that these
-links leave in different components. Pairs are confirmed by geometry over all descriptors: of the matched
-corners, enough must agree on one scale, rotation and shift. Components of the
-confirmed links are the classes.
+links leave in different components. Buckets are counted and led by windows, and labels
+are joined once an image, not once a key of it. Pairs are confirmed by geometry over all
+descriptors: of the matched corners, enough must agree on one scale, rotation and shift.
+Components of the confirmed links are the classes.
 
 Rows: a null, broken or flat image (no corners) has only exact copies in its class;
 null images are each a class of their own; a null id takes part; repeated rows belong
@@ -27,12 +28,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import U64, map_rows, materialize, mix64, prepare, small_or_shuffled
-from ._components import components, cross_pairs, leaders
+from ._components import components, cross_pairs
 
 #: Bits of difference in a match; agreeing matches.
 BITS, AGREE = 12, 8
@@ -228,25 +229,25 @@ def copies(df: DataFrame, id_col: str, image_col: str) -> DataFrame:
     rows = rows.withColumn("_node", F.when(~F.col("_none"), F.col("_h")))
     images = rows.where("_node is not null").groupBy("_node").agg(F.first("_image").alias("_image"))
     features = materialize(_features(images, "_image"))
-    member = features.select(F.col("_node").alias("node"), F.explode("_keys").alias("key"))
-    shared = materialize(member.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"))
-    member = materialize(member.join(small_or_shuffled(shared, shared.count()), "key").select("key", "node"))
-    first = leaders(member, least=False).select("key", F.col("leader.node").alias("_to"), "met")
-    led = materialize(member.join(first, "key").groupBy("node", "_to").agg(F.first("met").alias("met")).where("node <> _to"))
+    bucket = Window.partitionBy("key")
+    member = features.select(F.col("_node").alias("node"), F.explode("_keys").alias("key")).withColumn("_size", F.count("*").over(bucket)).where("_size > 1")
+    held = materialize(member.groupBy("node").agg(F.sum("_size").alias("met"), F.collect_list("key").alias("keys")))  # no more than an image's keys
+    led = held.select("node", "met", F.explode("keys").alias("key")).withColumn("_leader", F.max(F.struct("met", "node")).over(bucket))
+    led = materialize(led.where("node <> _leader.node").groupBy("node").agg(F.collect_set("_leader").alias("_leaders")))
     pair = (F.least("node", "_to").alias("a"), F.greatest("node", "_to").alias("b"))
     labels = asked = links = None
     for step in range(3):
         if step == 0:
-            pairs = led.groupBy("node").agg(F.max_by("_to", F.struct("met", "_to")).alias("_to")).select(*pair).distinct()
+            pairs = led.select("node", F.array_max("_leaders")["node"].alias("_to")).select(*pair).distinct()
         else:
             named = labels.select("node", "label")
             label = lambda c: F.coalesce(c, "node")
             if step == 1:
-                of = led.join(named, "node", "left").withColumn("_own", label("label")).drop("label")
+                of = led.join(named, "node", "left").select("node", label("label").alias("_own"), F.explode("_leaders.node").alias("_to"))
                 of = of.join(named.withColumnRenamed("node", "_to"), "_to", "left").where(F.col("_own") != F.coalesce("label", "_to"))
                 pairs = of.select(*pair).distinct()
             else:
-                pairs = cross_pairs(materialize(member.join(named, "node", "left").withColumn("label", label("label"))))
+                pairs = cross_pairs(materialize(held.join(named, "node", "left").select("node", label("label").alias("label"), F.explode("keys").alias("key"))))
             pairs = pairs.join(asked, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
         found = materialize(_confirmed(pairs, features, pairs.count()))

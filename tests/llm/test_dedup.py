@@ -332,6 +332,40 @@ def test_edited_copies_like_brute_force(spark):
         assert sum(got[c] == k for k, c in true) >= 0.9 * len(true), name
 
 
+def joined_rows(spark, work):
+    """What work() returns, and the output rows of each join that it ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = store.executionsCount()
+    out = work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    rows, runs = [], store.executionsList()
+    for k in range(seen, runs.size()):
+        run = runs.apply(k).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if "Join" in node.name():
+                metrics = node.metrics()
+                for metric in (metrics.apply(j) for j in range(metrics.size())):
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        rows.append((node.name(), int(values.apply(metric.accumulatorId()).replace(",", ""))))
+    return out, rows
+
+
+def test_joins_of_images_make_no_row_for_each_key(spark):
+    """Near copies share many keys; labels and sizes are joined by image, and all of them are still one class."""
+    rng = np.random.default_rng(9)
+    base = drawn(rng, 1)[0]
+    data = [media.write_pgm((base + rng.normal(0, 2, base.shape)).clip(0, 255)) for _ in range(60)]
+    keys = Counter(int(x) for b in data for x in media.constellations(*media.describe(media.read_pgm(b))))
+    shared = sum(n for n in keys.values() if n > 1)
+    df = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(data)], "doc_id long, image binary")
+    out, rows = joined_rows(spark, lambda: media.copies(df, "doc_id", "image").collect())
+    assert {(r["class_id"], r["class_size"]) for r in out} == {(0, 60)}
+    leaders = 60 * 20  # an image meets some of the others as leaders
+    assert rows and shared > 2 * leaders
+    assert max(n for _, n in rows) < leaders, (shared, sorted(rows, key=lambda x: -x[1])[:4])
+
+
 def test_drifting_families_like_brute_force(spark):
     rng = np.random.default_rng(21)
     rows = []
