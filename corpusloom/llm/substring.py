@@ -30,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +42,10 @@ STRETCH = 12
 _ROLL = 16
 #: Chunks whose stretches a task compares among themselves before it sends them on.
 _BLOCK_CHUNKS = 400_000
-#: Documents with repeats that are broadcast at most.
-_BROADCAST = 100_000
+#: Documents with repeats that are broadcast at most, and the bytes of their ids and runs.
+_BROADCAST, _BROADCAST_BYTES = 100_000, 16 << 20
+#: Bytes of a broadcast document beside its id, and of a run, at about.
+_DOC_BYTES, _RUN_BYTES = 80, 40
 #: The column beside those of the caller, under a name that theirs don't have.
 RUNS = "_corpusloom_runs"
 
@@ -223,18 +225,21 @@ def _repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_rows(lists, ["_id", "_text_hash", "_spans"], make, schema)
 
 
-def _joined(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df with a column RUNS (null where nothing is repeated)."""
+def _joined(df: DataFrame, found: DataFrame, id_col: str, text_hash: Column) -> DataFrame:
+    """df with a column RUNS (null where nothing is repeated); its text is known by text_hash."""
     found = materialize(found).select(F.col("_id").alias("_corpusloom_id"), F.col("_text_hash").alias("_corpusloom_hash"), F.col("_runs").alias(RUNS))
-    if found.count() <= _BROADCAST:
+    length = F.coalesce(F.octet_length(F.col("_corpusloom_id").cast("string")), F.lit(0)) + F.size(RUNS) * _RUN_BYTES + _DOC_BYTES
+    docs, size = found.agg(F.count("*"), F.sum(length)).first()
+    if docs <= _BROADCAST and (size or 0) <= _BROADCAST_BYTES:
         found = F.broadcast(found)
-    match = F.col(id_col).eqNullSafe(F.col("_corpusloom_id")) & (F.xxhash64(text_col) == F.col("_corpusloom_hash"))
+    match = F.col(id_col).eqNullSafe(F.col("_corpusloom_id")) & (text_hash == F.col("_corpusloom_hash"))
     return df.join(found, match, "left").drop("_corpusloom_id", "_corpusloom_hash")
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id, the number of its repeated runs, their words and characters, and the runs as start:end (code points)."""
-    own = _joined(df.select(id_col, text_col), _repeats(df, id_col, text_col), id_col, text_col)
+    hashed = df.select(id_col, F.xxhash64(text_col).alias("_corpusloom_text"))  # no text travels if the join is shuffled
+    own = _joined(hashed, _repeats(df, id_col, text_col), id_col, F.col("_corpusloom_text"))
     total = lambda f: F.coalesce(F.aggregate(RUNS, F.lit(0).cast("long"), lambda a, r: a + f(r)), F.lit(0).cast("long"))
     return own.select(
         id_col, F.coalesce(F.size(F.coalesce(RUNS, F.expr("array()"))), F.lit(0)).cast("long").alias("n_runs"), total(lambda r: r["words"]).alias("removed_words"), total(lambda r: r["end"] - r["start"]).alias("removed_chars"),
@@ -245,7 +250,7 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows and columns of df without the repeated runs; a row that has nothing left goes."""
     prepare(df.sparkSession)
-    own = _joined(df, _repeats(df, id_col, text_col), id_col, text_col)
+    own = _joined(df, _repeats(df, id_col, text_col), id_col, F.xxhash64(text_col))
 
     # what stays of a text: the parts between its runs
     start = F.transform(RUNS, lambda r: r["start"])

@@ -226,6 +226,35 @@ def test_hash_is_of_the_last_characters_only():
         assert (substring.gear(a.copy())[-3:] == substring.gear(b.copy())[-3:]).all()
 
 
+def test_report_moves_no_text_and_broadcasts_by_bytes(spark, monkeypatch):
+    """A report whose list of runs is too large to broadcast joins hashes, not texts, with the same rows; the list is held by bytes too."""
+    rng = np.random.default_rng(41)
+    passages = [" ".join(sentence(rng, 40)) for _ in range(6)]
+    rows = [(k, " ".join([*sentence(rng, 20), passages[k % 6], *sentence(rng, 20), passages[(k + 1) % 6]])) for k in range(30)] + ROWS
+    df = frame(spark, rows)
+
+    def joins(plan):
+        found = [plan] if plan.nodeName() == "Join" else []
+        return found + [j for k in range(plan.children().size()) for j in joins(plan.children().apply(k))]
+
+    def run():
+        out = substring.report(df)
+        last = joins(out._jdf.queryExecution().optimizedPlan())
+        assert len(last) == 1
+        return Counter(tuple(r) for r in out.collect()), last[0].left().output().toString(), "broadcast" in last[0].hint().toString()
+
+    want, columns, held = run()
+    assert held and sum(r[1] for r in want) > 0
+    monkeypatch.setattr(substring, "_BROADCAST", 0)
+    got, columns, held = run()
+    assert got == want and not held
+    assert "text#" not in columns.replace("_corpusloom_text", "")
+    monkeypatch.setattr(substring, "_BROADCAST", 100_000)
+    monkeypatch.setattr(substring, "_BROADCAST_BYTES", 1000)
+    got, columns, held = run()
+    assert got == want and not held
+
+
 def test_remove_takes_repeats_and_keeps_the_rest(spark):
     df = frame(spark)
     out = substring.remove(df)
