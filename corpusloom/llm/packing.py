@@ -5,7 +5,8 @@ the histogram of lengths (at most `capacity` entries, whatever the corpus) with
 few configurations as it can: multiplicative weights hold a price for each length,
 a knapsack dynamic program finds configurations of the highest price, and covered
 lengths grow cheaper. The fractional solution is rounded down; what it leaves over
-is packed best-fit, each pattern as often as the histogram allows.
+is packed best-fit, by whole patterns or piece by piece, whichever takes fewer. Where
+best-fit decreasing of all pieces takes fewer still, that is the plan.
 
 The histogram is all that reaches the driver. Pieces get their places from their
 rank among the pieces of their length: a rank within the task that made them plus
@@ -61,12 +62,41 @@ def _take(last: np.ndarray, space: int) -> list[int]:
     return found
 
 
-def plan(histogram: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
-    """(lengths of a sequence, how many such sequences) that hold exactly the histogram (index: length)."""
+Plan = list[tuple[list[int], int]]
+
+
+def _bins(planned: Plan) -> int:
+    return sum(n for _, n in planned)
+
+
+def plan(histogram: np.ndarray, capacity: int) -> Plan:
+    """(lengths of a sequence, how many such sequences) that hold exactly the histogram (index: length); the fewer of the program's and of best-fit decreasing alone."""
+    return min(_by_prices(histogram, capacity), best_fit(histogram, capacity), key=_bins)
+
+
+def best_fit(histogram: np.ndarray, capacity: int) -> Plan:
+    """Best-fit decreasing, for all equal sequences at a time."""
+    held: list[Plan] = [[] for _ in range(capacity + 1)]  # by the space that is left
+    for size in (np.flatnonzero(histogram[1:]) + 1)[::-1].tolist():
+        n = int(histogram[size])
+        while n:
+            space = next((k for k in range(size, capacity) if held[k]), capacity)
+            config, bins = held[space].pop() if space < capacity else ([], n)
+            each = min(space // size, n)
+            full = min(bins, n // each)
+            held[space - each * size].append((config + [size] * each, full))
+            if full < bins and space < capacity:
+                held[space].append((config, bins - full))
+            n -= full * each
+    return [x for own in held for x in own]
+
+
+def _by_prices(histogram: np.ndarray, capacity: int) -> Plan:
+    """The plan of the linear program, rounded down and filled up."""
     left = histogram.astype(np.int64).copy()
     lengths = np.flatnonzero(left)
     lengths = lengths[lengths > 0]
-    out: list[tuple[list[int], int]] = []
+    out: Plan = []
     if not len(lengths):
         return out
     need = left.astype(float)
@@ -106,6 +136,12 @@ def plan(histogram: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
         if n > 0:
             out.append((list(config), n))
             left[kinds] -= n * times
+    return out + min(_patterns(left, capacity), best_fit(left, capacity), key=_bins)
+
+
+def _patterns(left: np.ndarray, capacity: int) -> Plan:
+    """The longest piece left with the longest that still fit, each such pattern as often as the histogram allows."""
+    left, out = left.copy(), []
     while (rest := np.flatnonzero(left)).size:
         config = _fit(int(rest[-1]), left, capacity)
         kinds, times = np.unique(config, return_counts=True)

@@ -127,6 +127,27 @@ def test_plan_holds_the_histogram_and_is_near_the_bound(lengths):
     assert bins <= 1.25 * max(-(-total // 64), big, -(-len(sizes) // most)) + 2
 
 
+def test_plan_takes_no_more_sequences_than_best_fit_decreasing():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        histogram = np.zeros(65, np.int64)
+        for size in rng.integers(1, 65, rng.integers(1, 21)):
+            histogram[size] = rng.integers(1, 41)
+        space, made = [], np.zeros(65, np.int64)  # one piece at a time
+        for size in np.repeat(np.arange(65), histogram)[::-1].tolist():
+            fits = [(left, k) for k, left in enumerate(space) if left >= size]
+            if fits:
+                space[min(fits)[1]] -= size
+            else:
+                space.append(64 - size)
+        planned = packing.plan(histogram, 64)
+        for config, n in planned:
+            assert sum(config) <= 64 and n > 0
+            np.add.at(made, config, n)
+        assert (made == histogram).all()
+        assert sum(n for _, n in planned) <= len(space), np.flatnonzero(histogram)
+
+
 def test_encoding_all_at_once_equals_the_library():
     """Every code point below U+2500 alone and among letters, and random texts of blanks, marks, digits and special tokens."""
     own = bpe.encoder(tokenizer_path())
