@@ -10,7 +10,8 @@ best-fit decreasing of all pieces takes fewer still, that is the plan.
 
 The histogram is all that reaches the driver. Pieces get their places from their
 rank among the pieces of their length: a rank within the task that made them plus
-the number of such pieces in earlier tasks, so no length gathers in one task.
+the number of such pieces in earlier tasks, so no length gathers in one task. While
+these numbers are few they are broadcast and the pieces stay where they are.
 
 Rows: a null or empty text is one piece that holds only the separator; repeated
 rows are packed each; a table without rows gives no pieces.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from ._common import map_rows, materialize
+from ._common import map_rows, materialize, small_or_shuffled
 
 #: Rounds of multiplicative weights, and how fast prices fall.
 ROUNDS, RATE = 60, 0.5
@@ -221,9 +222,10 @@ def pack(df: DataFrame, path: str, capacity: int = 2048, separator: int = 0, id_
     by_task = made.groupBy("_part", "length").count()
     earlier = F.sum("count").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     base = by_task.select("_part", "length", F.coalesce(earlier, F.lit(0)).alias("_base"))
-    histogram = np.zeros(capacity + 1, np.int64)
-    for row in made.groupBy("length").count().collect():  # at most `capacity` rows
-        histogram[row["length"]] = row["count"]
+    histogram, n_base = np.zeros(capacity + 1, np.int64), 0
+    for row in by_task.groupBy("length").agg(F.sum("count").alias("pieces"), F.count("*").alias("tasks")).collect():  # at most `capacity` rows
+        histogram[row["length"]] = row["pieces"]
+        n_base += row["tasks"]
     runs = layout(plan(histogram, capacity))
     names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     schema = T.StructType([T.StructField(n, made.schema[c].dataType) for n, c in zip(names[:5], ["_doc", *names[1:5]])] + [T.StructField(n, T.LongType()) for n in names[5:]])
@@ -239,5 +241,5 @@ def pack(df: DataFrame, path: str, capacity: int = 2048, separator: int = 0, id_
 
         return step
 
-    placed = made.join(base, ["_part", "length"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
+    placed = made.join(small_or_shuffled(base, n_base), ["_part", "length"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     return map_rows(placed, ["_doc", "piece", "start", "length", "ids_crc32", "_rank"], make, schema)

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusloom.llm import bpe, packing
+from corpusloom.llm import _common, bpe, packing
 from corpusloom.llm.queries import tokenizer_path
 
 from .cases import ROWS, frame
@@ -106,6 +106,30 @@ def test_packing_nothing(spark):
     assert bpe.encode_decode(frame(spark, []), tokenizer_path()).count() == 0
 
 
+def test_packing_leaves_pieces_in_place_while_the_counts_of_tasks_are_few(spark, monkeypatch):
+    counted, found = [], []
+    monkeypatch.setattr(packing, "small_or_shuffled", lambda df, rows: counted.append((rows, df.count())) or _common.small_or_shuffled(df, rows))
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # Spark alone would broadcast nothing
+    try:
+        for most, join in ((_common.BROADCAST_ROWS, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+            monkeypatch.setattr(_common, "BROADCAST_ROWS", most)
+            got = packing.pack(frame(spark).repartition(3), tokenizer_path())
+            assert join in got._jdf.queryExecution().executedPlan().toString()
+            found.append(got.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+    assert all(rows == n > 0 for rows, n in counted)
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:5])
+    first, second = (sorted([tuple(r)[:5] for r in rows], key=key) for rows in found)
+    assert first == second
+    for rows in found:
+        places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+        ends = [(s, at + n) for s, at, n in places]
+        assert all(at == (end if s == before else 0) for (s, at, _), (before, end) in zip(places, [(None, 0), *ends]))
+        assert max(end for _, end in ends) <= 2048
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
 def test_plan_holds_the_histogram_and_is_near_the_bound(lengths):
