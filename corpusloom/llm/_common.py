@@ -40,11 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, files: int = 0) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    files: deal the rows evenly over so many (0: a file for each task), for a narrow
+    table that many tasks make. A local folder costs about two processes a file.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.repartition(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

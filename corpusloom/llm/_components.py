@@ -40,20 +40,21 @@ def cross_pairs(member: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int = 0) -> DataFrame:
     """(node, label) for every node of edges (a, b); the label is the least node of the component.
 
     A node that is linked only to itself is a component of its own; without edges
     there are no rows; ids are not null. Each round takes the least label among a node and its neighbours (a partial
     aggregate, so a hub is summed where its rows are) and then the label's own label.
+    files: of each table that is written on the way (0: one for each task).
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), files)
+    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), files)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        lower = materialize(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "m").alias("new"), F.col("label").alias("old")))
+        lower = materialize(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "m").alias("new"), F.col("label").alias("old")), files)
         own = lower.select(F.col("node").alias("new"), F.col("new").alias("next"))
-        jumped = materialize(lower.join(own, "new").select("node", F.col("next").alias("label"), (F.col("next") != F.col("old")).alias("moved")))
+        jumped = materialize(lower.join(own, "new").select("node", F.col("next").alias("label"), (F.col("next") != F.col("old")).alias("moved")), files)
         if jumped.where("moved").isEmpty():
             return labels
         labels = jumped.select("node", "label")

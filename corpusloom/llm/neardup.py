@@ -41,6 +41,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: At similarity 0.8 a pair shares a bucket with probability 1 - (1 - 0.8**5)**24 = 0.99993, at 0.85 with 0.9999995.
 BANDS, BAND_ROWS = 24, 5
 _BLOCK = 300_000
+#: Rows of the input for which a narrow table gets a file; members of buckets and prefixes, of which a row can have many, get more.
+_FILE_ROWS, _MORE_FILES = 300_000, 3
 
 
 def multisets(texts: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,7 +212,7 @@ def _verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
 _MEMBERS = 1024
 
 
-def _apart(nodes: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+def _apart(nodes: DataFrame, shingles: DataFrame, threshold: float, files: int = 0) -> DataFrame:
     """(a, b): all pairs of nodes (node, label, weight) with different labels whose overlap may be enough, by a prefix filter.
 
     Shingles of one label are left out, as pairs of two labels cannot share them. Of
@@ -226,7 +228,7 @@ def _apart(nodes: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame
     common = tokens.groupBy("token").agg(F.count("*").alias("_df"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("token", "_df")
     onward = Window.partitionBy("node").orderBy(F.desc("_df"), "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prefix = tokens.join(common, "token").withColumn("left", F.sum("_c").over(onward)).where(F.col("left") >= threshold * F.col("weight") - 1e-6).select("token", "node", "label", "weight", "left")
-    prefix = materialize(prefix)
+    prefix = materialize(prefix, _MORE_FILES * files)
     sizes = prefix.groupBy("token", "label").agg(F.count("*").alias("_n"))
     most = sizes.groupBy("token").agg(F.max(F.struct("_n", "label")).alias("_most"), F.count("*").alias("_labels"), F.ceil(F.sum("_n") / _MEMBERS).alias("_blocks")).where("_labels > 1")
     dealt = prefix.join(most, "token").withColumn("_minor", F.col("label") != F.col("_most.label"))
@@ -240,58 +242,62 @@ def _apart(nodes: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame
     return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.lit(1).alias("_one")).drop("_one")
 
 
-def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> DataFrame:
-    """(_id, _text_hash, class) of every row; class is null for texts without a word, else a node of it."""
+def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> tuple[DataFrame, int]:
+    """(_id, _text_hash, class) of every row, and how many files a narrow table gets; class is null for texts without a word, else a node of it."""
     sketch = materialize(_sketch(df, id_col, text_col, bands, rows))
+    files = max(1, -(-sketch.count() // _FILE_ROWS))
     member = sketch.where("node is not null").select("node", "weight", F.explode("bands").alias("key"))
-    shared = materialize(member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"))
-    member = materialize(member.join(small_or_shuffled(shared, shared.count()), "key").groupBy("key", "node").agg(F.first("weight").alias("weight")))
+    shared = materialize(member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), files)
+    member = materialize(member.join(small_or_shuffled(shared, shared.count()), "key").groupBy("key", "node").agg(F.first("weight").alias("weight")), _MORE_FILES * files)
     labels = None
     if not member.isEmpty():
-        first = materialize(leaders(member).select("key", F.col("leader.node").alias("to"), F.col("leader.weight").alias("to_weight")))
+        first = materialize(leaders(member).select("key", F.col("leader.node").alias("to"), F.col("leader.weight").alias("to_weight")), files)
         met = member.join(small_or_shuffled(first, first.count()), "key").where("node <> to")
         # the smaller multiset's weight over the larger's bounds their similarity
         met = met.where(F.least("weight", "to_weight") >= threshold * F.greatest("weight", "to_weight"))
-        pairs = materialize(met.groupBy(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).agg(F.lit(1).alias("_one")).drop("_one"))
-        nodes = materialize(member.groupBy("node").agg(F.lit(1).alias("_one")).drop("_one"))
-        wanted = materialize(sketch.join(small_or_shuffled(nodes, nodes.count()), "node").groupBy("node").agg(F.min("_text_hash").alias("_text_hash")))
+        pairs = materialize(met.groupBy(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).agg(F.lit(1).alias("_one")).drop("_one"), files)
+        nodes = materialize(member.groupBy("node").agg(F.lit(1).alias("_one")).drop("_one"), files)
+        wanted = materialize(sketch.join(small_or_shuffled(nodes, nodes.count()), "node").groupBy("node").agg(F.min("_text_hash").alias("_text_hash")), files)
         shingles = materialize(_shingles(df, text_col, wanted, wanted.count()))
-        edges = materialize(_verified(pairs, shingles, threshold))
-        labels = components(edges)
+        edges = materialize(_verified(pairs, shingles, threshold), files)
+        labels = components(edges, files)
         # what the leaders left apart
         named = member.join(small_or_shuffled(labels, labels.count()), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        split = materialize(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"))
+        split = materialize(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), files)
         if not split.isEmpty():
-            apart = materialize(named.join(small_or_shuffled(split, split.count()), "key").groupBy("node").agg(F.first("label").alias("label"), F.first("weight").alias("weight")))
-            more = materialize(_apart(apart, shingles, threshold).join(pairs, ["a", "b"], "left_anti"))
-            found = materialize(_verified(more, shingles, threshold))
+            apart = materialize(named.join(small_or_shuffled(split, split.count()), "key").groupBy("node").agg(F.first("label").alias("label"), F.first("weight").alias("weight")), files)
+            more = materialize(_apart(apart, shingles, threshold, files).join(pairs, ["a", "b"], "left_anti"), files)
+            found = materialize(_verified(more, shingles, threshold), files)
             if not found.isEmpty():
-                labels = components(edges.union(found))
+                labels = components(edges.union(found), files)
     if labels is None:
-        return sketch.select("_id", "_text_hash", F.col("node").alias("class"))
-    return sketch.select("_id", "_text_hash", "node").join(small_or_shuffled(labels, labels.count()), "node", "left").select("_id", "_text_hash", F.coalesce("label", "node").alias("class"))
+        out = sketch.select("_id", "_text_hash", F.col("node").alias("class"))
+    else:
+        out = sketch.select("_id", "_text_hash", "node").join(small_or_shuffled(labels, labels.count()), "node", "left").select("_id", "_text_hash", F.coalesce("label", "node").alias("class"))
+    return materialize(out, files), files
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """Each row's id, class_id (least id of the class) and class_size."""
-    own = materialize(_classes(df, id_col, text_col, threshold, bands, rows))
-    many = materialize(own.where("class is not null").groupBy("class").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1"))
+    own, files = _classes(df, id_col, text_col, threshold, bands, rows)
+    many = materialize(own.where("class is not null").groupBy("class").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1"), files)
     out = own.join(small_or_shuffled(many, many.count()), "class", "left")
     return out.select(F.col("_id").alias(id_col), F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_first")).alias("class_id"), F.coalesce("_n", F.lit(1)).alias("class_size"))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """The rows and columns of df with one row of each class: that of the least id (nulls last), of repeated rows one."""
-    own = materialize(_classes(df, id_col, text_col, threshold, bands, rows)).where("class is not null")
+    own, files = _classes(df, id_col, text_col, threshold, bands, rows)
+    own = own.where("class is not null")
     order = F.struct(F.col("_id").isNull().alias("_null"), "_id", "_text_hash")
-    many = materialize(own.groupBy("class").agg(F.min(order).alias("_best"), F.count("*").alias("_n")).where("_n > 1"))
+    many = materialize(own.groupBy("class").agg(F.min(order).alias("_best"), F.count("*").alias("_n")).where("_n > 1"), files)
     if many.isEmpty():
         return df
     n = many.count()
     grouped = own.join(small_or_shuffled(many, n), "class")
     first = F.col("_id").eqNullSafe(F.col("_best._id")) & (F.col("_text_hash") == F.col("_best._text_hash"))
-    dropped = materialize(grouped.where(~first).select("_id", "_text_hash").distinct())
-    twice = materialize(grouped.where(first).groupBy("_id", "_text_hash").count().where("count > 1").select("_id", "_text_hash"))
+    dropped = materialize(grouped.where(~first).select("_id", "_text_hash").distinct(), files)
+    twice = materialize(grouped.where(first).groupBy("_id", "_text_hash").count().where("count > 1").select("_id", "_text_hash"), files)
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     match = lambda other: F.col(id_col).eqNullSafe(other["_id"]) & (text_hash == other["_text_hash"])
     other = small_or_shuffled(dropped, dropped.count())

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from corpusloom.llm import media, neardup, substring
+from corpusloom.llm import _common, _components, media, neardup, substring
 from corpusloom.llm._components import components
 
 from .cases import PROSE, ROWS, frame, ids, want_ids
@@ -425,3 +425,30 @@ def test_common_phrases_make_no_run(spark):
             assert len(backed) == len(words), (r["doc_id"], words)
         if r["doc_id"] == 101:
             assert r["removed_words"] >= 40
+
+
+def test_narrow_tables_are_few_files(spark, monkeypatch):
+    """However many tasks make them, the tables of keys, pairs and labels are written as one file for so many rows, and the classes stay the same."""
+    written, real = [], _common.materialize
+
+    def counted(df, *files):
+        out = real(df, *files)
+        written.append((len(out.inputFiles()), out.columns))
+        return out
+
+    for module in (neardup, _components):
+        monkeypatch.setattr(module, "materialize", counted)
+    rows = corpus(5) + ROWS
+    key, own = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(key, "false")  # as where each task's part is large enough to stay alone
+    try:
+        df = frame(spark, rows).repartition(4)
+        assert got_classes(neardup.classes(df)) == brute_classes(rows)
+        kept = neardup.keep_first(df).count()
+    finally:
+        spark.conf.set(key, own)
+    assert kept == len(brute_classes(rows))
+    wide = [n for n, columns in written if {"bands", "keys", "token"} & set(columns)]
+    narrow = [(n, columns) for n, columns in written if not {"bands", "keys", "token"} & set(columns)]
+    assert len(wide) >= 4 and max(wide) > 1 and len(narrow) > 20
+    assert all(n <= (3 if columns == ["key", "node", "weight"] else 1) for n, columns in narrow), narrow
