@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as fx
 from corpusloom.functions import vectors as vx
 from corpusloom.operators import calibrate, chunks, evaluate, layers, lexical, ranking, vector
+from corpusloom.plans import catalogue
 from corpusloom.sources import files, html, markdown
 from corpusloom.streaming import append
 
@@ -215,3 +216,24 @@ def test_long_branches_and_repeated_nodes(spark):
     got = files.branch(nodes, heads).orderBy("conv_id", "turn").collect()
     assert [r["node_id"] for r in got if r["conv_id"] == "c"] == [str(k) for k in range(5000)]
     assert [r["node_id"] for r in got if r["conv_id"] == "d"] == ["z", "y", "x"]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("most", [32 << 20, 2000])
+def test_all_pairs_of_codes_shuffle_nothing(spark, monkeypatch, metric, most):
+    """Each twentieth row against all, whatever part of the queries is broadcast at once: as pair by pair, without an exchange."""
+    monkeypatch.setattr(vector, "BROADCAST_BYTES", most)
+    x = np.random.default_rng(3).normal(size=(300, 16)).astype(np.float32)
+    own = vector.quantize(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5), cosine=metric == "cosine")
+    asked = own.where("row_id % 20 = 0")
+    pairs = own.select(F.col("row_id").alias("b")).crossJoin(asked.select(F.col("row_id").alias("a")))
+    want = {(r["a"], r["b"]): r["distance"] for r in vector.symmetric(pairs, own, 16, metric).collect()}
+    got = vector.symmetric_all(own, asked, 16, metric, 6).collect()
+    assert len(got) == len(want) == 300 * 15
+    assert {(r["a"], r["b"]): r["distance"] for r in got} == pytest.approx(want, abs=6e-7)
+
+
+@pytest.mark.parametrize("name", ["symmetric_cosine"])
+def test_symmetric_queries_join_no_pairs(spark, name):
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
