@@ -233,7 +233,7 @@ def test_all_pairs_of_codes_shuffle_nothing(spark, monkeypatch, metric, most):
     assert {(r["a"], r["b"]): r["distance"] for r in got} == pytest.approx(want, abs=6e-7)
 
 
-@pytest.mark.parametrize("name", ["symmetric_cosine"])
+@pytest.mark.parametrize("name", ["symmetric_cosine", "symmetric_l2"])
 def test_symmetric_queries_join_no_pairs(spark, name):
     plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
