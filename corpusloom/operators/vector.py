@@ -118,8 +118,8 @@ def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
     return np.copysign(low + (y - low >= 0.5), x) / 10.0**digits + 0.0
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", exclude: DataFrame | None = None, allow: DataFrame | None = None, skip_self: bool = False) -> DataFrame:
-    """(query_id, row_id, distance, vec_rank): the k nearest rows (row_id, vector) of each query (query_id, vector).
+def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", exclude: DataFrame | None = None, allow: DataFrame | None = None, skip_self: bool = False, digits: int = 9) -> DataFrame:
+    """(query_id, row_id, distance, vec_rank): the k nearest rows (row_id, vector) of each query (query_id, vector), by the distance rounded to digits.
 
     exclude and allow (row_id) mask rows before the cut. skip_self leaves out the row
     that has the query's id.
@@ -145,7 +145,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
                     far = 1 - near.clip(-1, 1)
                 else:
                     far = np.sqrt(np.maximum((b * b).sum(1)[:, None] + (a * a).sum(1)[None] - 2 * near, 0))
-                far = np.round(far, 9) + 0.0  # equal rows tie, whatever the order of summation
+                far = _rounded(far, digits)  # equal rows tie, whatever the order of summation
                 if skip_self:
                     far = np.where(q[:, None] == r[None], np.inf, far)
                 order = np.lexsort((np.broadcast_to(r, far.shape), far))[:, :k]

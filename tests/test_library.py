@@ -237,3 +237,17 @@ def test_all_pairs_of_codes_shuffle_nothing(spark, monkeypatch, metric, most):
 def test_symmetric_queries_join_no_pairs(spark, name):
     plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_l2_ranks_rounded_distances_as_its_sql_does(spark, tmp_path):
+    """Rows whose distances agree in five digits tie, and the smaller id goes first."""
+    import duckdb
+
+    x = [[1.0, 0.0], [2.000002, 0.0], [2.0, 0.0], [1.0, 1.000001], [1.0, 1.0]]
+    path = f"{tmp_path}/embeddings.parquet"
+    spark.createDataFrame([(i, v, 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(f"SELECT row_id, vec_rank FROM ({catalogue.ORACLE_SQL['knn_l2']}) ORDER BY vec_rank").fetchall()
+    assert [r[0] for r in want] == [1, 2, 3, 4]
+    assert [tuple(r) for r in catalogue.QUERIES["knn_l2"](spark, str(tmp_path)).orderBy("vec_rank").select("row_id", "vec_rank").collect()] == want
