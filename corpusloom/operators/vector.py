@@ -1,9 +1,8 @@
 """Exact nearest neighbours over quantized or plain rows, in blocks.
 
-Rows and queries are packed into blocks, each pair of blocks is one matrix product,
-and a block's best k leave it; so what is shuffled is k rows for each query and
-block. Query blocks are broadcast if their counted size is small, else both sides
-are joined block by block.
+Queries are packed into blocks that are broadcast, some at a time if they are many.
+A task gets each block once, before its own rows; blocks of rows and queries are matrix
+products, and only the best k rows of each query leave the task.
 
 Rows: null, empty, non-finite or zero vectors and those of another length than the
 first take no part; ties go to the smaller id.
@@ -25,6 +24,8 @@ from ..functions import vectors as vx
 ROW_BLOCK, QUERY_BLOCK, PAIR_BLOCK = 4096, 512, 1024
 #: Bytes of query blocks that are broadcast at once.
 BROADCAST_BYTES = 32 << 20
+#: Hits of queries that a task holds about, and that leave it at once.
+STATE, OUT_ROWS = 4_000_000, 100_000
 
 
 def quantize(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: bool = True) -> DataFrame:
@@ -128,35 +129,78 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
         rows = rows.join(exclude.select("row_id").distinct(), "row_id", "left_anti")
     if allow is not None:
         rows = rows.join(allow.select("row_id").distinct(), "row_id", "left_semi")
-    left = _blocks(rows.select("row_id", "vector"), ROW_BLOCK, ("rid", "rm"))
-    right = _blocks(queries.select("query_id", "vector"), QUERY_BLOCK, ("qid", "qm"))
-    size = right.agg(F.coalesce(F.sum(F.length("qm")), F.lit(0))).first()[0]
-    both = left.crossJoin(F.broadcast(right) if size <= BROADCAST_BYTES else right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rid, rm, qid, qm in zip(*(c.to_pylist() for c in batch.columns)):
-                r, q = np.frombuffer(rid, np.int64), np.frombuffer(qid, np.int64)
-                a, b = np.frombuffer(rm).reshape(len(r), -1), np.frombuffer(qm).reshape(len(q), -1)
-                if a.shape[1] != b.shape[1]:
-                    continue
-                near = b @ a.T
+        best: list[_Best] = []
+        for ids, own, asked in _streamed(batches, ROW_BLOCK):
+            best = best or [_Best(q, k) for q, _ in asked]
+            square = (own * own).sum(1)
+            for (who, block), kept in zip(asked, best):
+                near = block @ own.T
                 if metric == "cosine":
-                    far = 1 - near.clip(-1, 1)
+                    far = np.subtract(1, near, out=near)
                 else:
-                    far = np.sqrt(np.maximum((b * b).sum(1)[:, None] + (a * a).sum(1)[None] - 2 * near, 0))
-                far = _rounded(far, digits)  # equal rows tie, whatever the order of summation
-                if skip_self:
-                    far = np.where(q[:, None] == r[None], np.inf, far)
-                order = np.lexsort((np.broadcast_to(r, far.shape), far))[:, :k]
-                who = np.repeat(np.arange(len(q)), order.shape[1])
-                d, ids = far[who, order.ravel()], r[order.ravel()]
-                good = np.isfinite(d)
-                yield pa.RecordBatch.from_arrays([pa.array(q[who][good]), pa.array(ids[good]), pa.array(d[good])], names=["query_id", "row_id", "distance"])
-
-    found = both.mapInArrow(run, "query_id long, row_id long, distance double")
+                    far = (block * block).sum(1)[:, None] + square[None] - 2 * near
+                kept.take(far, ids, metric, skip_self, digits)
+            if sum(x.size for x in best) > STATE:  # what is held leaves; the window below cuts it
+                for kept in best:
+                    yield from kept.given()
+        for kept in best:
+            yield from kept.given()
+
+    parts = [both.mapInArrow(run, "query_id long, row_id long, distance double") for both in _with_queries(rows, queries)]
     order = Window.partitionBy("query_id").orderBy("distance", "row_id")
-    return found.withColumn("vec_rank", F.row_number().over(order).cast("long")).where(F.col("vec_rank") <= k)
+    return reduce(DataFrame.union, parts).withColumn("vec_rank", F.row_number().over(order).cast("long")).where(F.col("vec_rank") <= k)
+
+
+class _Best:
+    """The k nearest rows so far of each query of a block."""
+
+    def __init__(self, who: np.ndarray, k: int):
+        self.who, self.k, self.size = who, k, 0
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.limit = np.full(len(who), np.inf)  # the kth distance, where k rows were seen
+
+    def take(self, far: np.ndarray, ids: np.ndarray, metric: str, skip_self: bool, digits: int) -> None:
+        """Rows of a product whose rounded distance may be among the k least. far: one less the dot, or squared distances."""
+        slack = 10.0**-digits  # rounding moves a distance by half of it
+        if skip_self:
+            far[self.who[:, None] == ids[None]] = np.inf
+        if np.isinf(self.limit).any() and far.shape[1] > self.k:
+            least = np.partition(far, self.k - 1, axis=1)[:, self.k - 1]
+            some = np.minimum(self.limit, least if metric == "cosine" else np.sqrt(np.maximum(least, 0)))
+        else:
+            some = self.limit
+        most = np.maximum(some, 0) + 2 * slack
+        q, r = np.nonzero(far <= (most if metric == "cosine" else most * most)[:, None])
+        d = far[q, r]
+        good = np.isfinite(d)
+        d = d.clip(0, 2) if metric == "cosine" else np.sqrt(np.maximum(d, 0))
+        self.held.append((q[good].astype(np.int32), ids[r[good]], _rounded(d[good], digits)))
+        self.size += len(self.held[-1][0])
+        if self.size >= (1 if np.isinf(self.limit).any() else 2) * self.k * len(self.who):
+            self._cut()
+
+    def _cut(self) -> None:
+        q, ids, d = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((ids, d, q))
+        q, ids, d = q[order], ids[order], d[order]
+        start = np.searchsorted(q, np.arange(len(self.who)))
+        good = np.arange(len(q)) - start[q] < self.k
+        last = start + self.k - 1
+        full = (last < len(q)) & (q[np.minimum(last, max(len(q) - 1, 0))] == np.arange(len(self.who))) if len(q) else np.zeros(len(self.who), bool)
+        self.limit = np.where(full, d[np.minimum(last, len(q) - 1)] if len(q) else np.inf, np.inf)
+        self.held, self.size = [(q[good], ids[good], d[good])], int(good.sum())
+
+    def given(self) -> Iterator[pa.RecordBatch]:
+        """What is held, cut to k; then only the limits are kept."""
+        if self.size:
+            self._cut()
+            q, ids, d = self.held[0]
+            for at in range(0, len(q), OUT_ROWS):
+                end = at + OUT_ROWS
+                yield pa.RecordBatch.from_arrays([pa.array(self.who[q[at:end]]), pa.array(ids[at:end]), pa.array(d[at:end])], names=["query_id", "row_id", "distance"])
+        self.held, self.size = [], 0
 
 
 def symmetric(pairs: DataFrame, quantized: DataFrame, dims: int, metric: str = "cosine") -> DataFrame:

@@ -251,3 +251,32 @@ def test_l2_ranks_rounded_distances_as_its_sql_does(spark, tmp_path):
     want = con.execute(f"SELECT row_id, vec_rank FROM ({catalogue.ORACLE_SQL['knn_l2']}) ORDER BY vec_rank").fetchall()
     assert [r[0] for r in want] == [1, 2, 3, 4]
     assert [tuple(r) for r in catalogue.QUERIES["knn_l2"](spark, str(tmp_path)).orderBy("vec_rank").select("row_id", "vec_rank").collect()] == want
+
+
+@pytest.mark.parametrize("metric, skip, k", [("cosine", False, 3), ("l2", True, 3), ("cosine", True, 300), ("l2", False, 300)])
+def test_best_rows_of_products_are_those_of_brute_force(metric, skip, k):
+    """Few directions, so that most distances tie; blocks of rows come one after another."""
+    rng = np.random.default_rng(0)
+    x, ids = rng.integers(1, 4, (700, 6)).astype(float), rng.permutation(700)
+    x = x / np.linalg.norm(x, axis=1)[:, None] if metric == "cosine" else x
+    far = lambda a: 1 - x[:40] @ a.T if metric == "cosine" else ((x[:40, None] - a[None]) ** 2).sum(2)
+    best = vector._Best(ids[:40], k)
+    for at in range(0, 700, 100):
+        best.take(far(x[at : at + 100]), ids[at : at + 100], metric, skip, 9)
+    got = sorted((q, d, i) for b in best.given() for q, i, d in zip(*(c.to_pylist() for c in b.columns)))
+    d = np.round(far(x).clip(0, 2) if metric == "cosine" else np.sqrt(far(x)), 9) + 0.0
+    want = [sorted((q, d[n, m], i) for m, i in enumerate(ids) if not (skip and q == i))[:k] for n, q in enumerate(ids[:40])]
+    assert got == sorted(t for rows in want for t in rows)
+
+
+def test_nearest_sends_rows_and_queries_to_a_task_once(spark):
+    """No block of rows is packed beside each block of queries, and a task gives k rows a query, however many rows it has."""
+    x = np.random.default_rng(5).integers(-3, 4, (10_000, 4)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, vector array<double>").repartition(2)
+    found = vector.nearest(rows, rows.where("row_id < 600").select(F.col("row_id").alias("query_id"), "vector"), 3, metric="l2")
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2  # of the queries' blocks and of the rows
+    got = {}
+    for r in found.orderBy("query_id", "vec_rank").collect():
+        got.setdefault(r["query_id"], []).append(r["row_id"])
+    far = ((x[:600, None] - x[None]) ** 2).sum(2)
+    assert got == {q: np.argsort(far[q], kind="stable")[:3].tolist() for q in range(600)}
