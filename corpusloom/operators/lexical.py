@@ -6,6 +6,11 @@ ties go to the smaller id; without rows or query tokens nothing is found.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain, repeat
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +21,9 @@ K1, B = 1.2, 0.75
 #: Candidates of a query, and the share of its best score that the others need.
 CANDIDATES, CUTOFF = 24, 1 / 1.5
 #: Query terms that are broadcast at most; beyond, they are joined by shuffle.
-BROADCAST_TERMS = 1_000_000
+BROADCAST_TERMS = 200_000
+#: Texts that are counted before their counts leave a task.
+TEXTS = 500
 #: Bits of a bloom that are broadcast at most.
 BROADCAST_BITS = 500_000
 
@@ -48,28 +55,68 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return queries.select(F.col(id_col).alias("query_id"), F.explode(fx.query_tokens(F.col(text_col))).alias("term"))
 
 
+def term_counts(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: frozenset[str] | None = None) -> DataFrame:
+    """(record_id, dl, term, tf): the counts of a record's index tokens, of those in keep if given, and 1 for an empty term.
+
+    Lower-case texts are cut as bytes: other bytes than those of tokens become blanks.
+    """
+    own = records.select(F.col(id_col).alias("record_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary").alias("text"))
+    blanks = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789'" else 32 for c in range(256))
+    # 0: other words, 1: words that are no index tokens, from 2 on: words that leave the task
+    fixed = dict.fromkeys([w.encode() for w in fx.STOPWORDS] + [bytes([c]) for c in set(blanks) - {32}], 1)
+    fixed |= {w: n for n, w in enumerate(sorted(w.encode() for w in keep or () if w.encode() not in fixed), 2)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array([b"", b"", *list(fixed)[sum(n == 1 for n in fixed.values()) :]], pa.binary()).cast(pa.string())
+        for batch in batches:
+            for at in range(0, len(batch), TEXTS):
+                part = batch.slice(at, TEXTS)
+                lists = [text.translate(blanks).split() for text in part.column(1).to_pylist()]
+                lists = [[w for w in words if len(w) <= 32] if max(map(len, words), default=0) > 32 else words for words in lists]
+                place, terms = fixed, names
+                if keep is None:
+                    more = sorted({w for words in lists for w in words if w not in fixed})
+                    place, terms = fixed | {w: n for n, w in enumerate(more, 2)}, pa.array([b"", b"", *more], pa.binary()).cast(pa.string())
+                sizes = np.array([len(words) for words in lists], np.int64)
+                kinds = np.fromiter(map(place.get, chain.from_iterable(lists), repeat(0)), np.int64, int(sizes.sum()))
+                who = np.repeat(np.arange(len(lists)), sizes)
+                length = sizes - np.bincount(who[kinds == 1], minlength=len(lists))
+                held, tf = np.unique((who * len(terms) + kinds)[kinds > 1], return_counts=True)
+                who, kinds = np.concatenate([np.arange(len(lists)), held // len(terms)]), np.concatenate([np.zeros(len(lists), np.int64), held % len(terms)])
+                columns = [part.column(0).take(pa.array(who)), pa.array(length[who]), terms.take(pa.array(kinds)), pa.array(np.concatenate([np.ones(len(lists), np.int64), tf]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["record_id", "dl", "term", "tf"])
+
+    return own.mapInArrow(run, f"record_id {own.schema['record_id'].dataType.simpleString()}, dl long, term string, tf long")
+
+
 def bm25(records: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", exclude: DataFrame | None = None) -> DataFrame:
     """(query_id, record_id, score) of every record that has a query's term.
 
     Texts are tokenized once: only the terms of queries, and an empty term for each
     record, leave the scan and are written as a table that gives frequencies, statistics
-    and hits. exclude (record_id) masks hits; statistics count masked records too.
+    and hits. Hits are dealt by record before they meet the queries, so no pair of a
+    query and a record is shuffled. exclude (record_id) masks hits; statistics count
+    masked records too.
     """
     terms = query_terms(queries, query_id, query_text)
-    wanted = terms.select("term").distinct().union(terms.sparkSession.createDataFrame([("",)], "term string"))
-    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else wanted
-    lists = token_lists(records, id_col, text_col)
-    found = lists.select("record_id", "dl", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term")).join(wanted, "term")
-    every = written(found.groupBy("record_id", "dl", "term").agg(F.count("*").alias("tf")))
+    distinct = terms.select("term").distinct()
+    few = distinct.limit(BROADCAST_TERMS + 1).collect()
+    if len(few) <= BROADCAST_TERMS:
+        found = term_counts(records, id_col, text_col, frozenset(r["term"] for r in few))
+    else:
+        found = term_counts(records, id_col, text_col).join(distinct.union(terms.sparkSession.createDataFrame([("",)], "term string")), "term")
+    every = written(found.groupBy("record_id", "dl", "term").agg(F.sum("tf").alias("tf")))
     counted = every.where("term <> ''")
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
     own = every.where("term = ''")
     stats = _with_mean(own.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_records"), F.coalesce(F.sum(F.col("tf") * F.col("dl")), F.lit(0)).cast("long").alias("n_tokens")))
     idf = F.log(1 + (F.col("n_records") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "avgdl", idf.alias("idf"))
+    weighted = written(terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "avgdl", idf.alias("idf")))
+    small = weighted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     hits = counted if exclude is None else counted.join(exclude.select("record_id").distinct(), "record_id", "left_anti")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.join(weighted, "term").groupBy("query_id", "record_id").agg(F.sum(part).alias("score"))
+    both = hits.repartition("record_id").join(F.broadcast(weighted), "term") if small else hits.join(weighted, "term")
+    return both.groupBy("query_id", "record_id").agg(F.sum(part).alias("score"))
 
 
 def topk(scored: DataFrame, k: int = CANDIDATES, cutoff: float | None = None) -> DataFrame:

@@ -280,3 +280,22 @@ def test_nearest_sends_rows_and_queries_to_a_task_once(spark):
         got.setdefault(r["query_id"], []).append(r["row_id"])
     far = ((x[:600, None] - x[None]) ** 2).sum(2)
     assert got == {q: np.argsort(far[q], kind="stable")[:3].tolist() for q in range(600)}
+
+
+@pytest.mark.parametrize("keep", [None, frozenset(["apple", "the", "k9", "it's", "unknown"])])
+def test_term_counts_are_those_of_the_tokenizer(spark, keep):
+    """Odd texts: nothing, one letter, function words, words of 32 and 33 letters, capitals that only Unicode lowers, a null id."""
+    texts = ["", None, "a", "The apple and THE Apple", "x" * 32 + " " + "y" * 33 + " apple", "K9 İx café it's 'q", "apple apple\tk9\nk9", "''' '' '"]
+    docs = spark.createDataFrame([(i if i != 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = {}
+    for r in lexical.token_lists(docs).collect():
+        want[r["record_id"], r["dl"], ""] = 1
+        for w in r["tokens"]:
+            if keep is None or w in keep:
+                want[r["record_id"], r["dl"], w] = want.get((r["record_id"], r["dl"], w), 0) + 1
+    assert {(r["record_id"], r["dl"], r["term"]): r["tf"] for r in lexical.term_counts(docs, keep=keep).collect()} == want
+
+
+def test_bm25_shuffles_no_pairs_of_queries_and_records(spark):
+    plan = catalogue.QUERIES["bm25_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(record_id" in plan and not any("hashpartitioning(query_id" in x and "record_id" in x for x in plan.splitlines())
