@@ -43,13 +43,14 @@ def _near(rows: DataFrame, queries: DataFrame, c: int, exclude: DataFrame | None
     return out.withColumn("vec_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "row_id")).cast("long"))
 
 
-def search(records: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, mode: str = "hybrid", exclude: DataFrame | None = None, tiers: DataFrame | None = None, pin: bool = True) -> DataFrame:
+def search(records: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, mode: str = "hybrid", exclude: DataFrame | None = None, tiers: DataFrame | None = None, pin: bool = True, near: int | None = None) -> DataFrame:
     """(query_id, row_id, distance, vec_rank, lexical_rank, fused_rank) of the best k.
 
     records (doc_id, text); vectors as by vector.quantize, row_id being doc_id; queries
     (query_id, text, vector); exclude (row_id) masks rows before every cut. tiers (row_id,
     depth): the layers of a chain, of which each gives its own nearest rows to the pool.
-    pin: whether a hit that says the query word for word goes first.
+    pin: whether a hit that says the query word for word goes first. near: how many
+    nearest rows make the pool (100 or 10 k).
 
     Rows: a query without tokens has no lexical hits; one without a valid vector finds
     nothing; ties go to the smaller id; without records or queries nothing is found.
@@ -58,24 +59,24 @@ def search(records: DataFrame, vectors: DataFrame, queries: DataFrame, k: int =
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     if k < 1:
         raise ValueError("k is 1 at least")
-    pool, hits = pooled(records, vectors, queries, k, mode, exclude, tiers)
+    pool, hits = pooled(records, vectors, queries, k, mode, exclude, tiers, near)
     return _ordered(pool, hits, records, queries, k, mode, pin)
 
 
-def pooled(records: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, mode: str = "hybrid", exclude: DataFrame | None = None, tiers: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+def pooled(records: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, mode: str = "hybrid", exclude: DataFrame | None = None, tiers: DataFrame | None = None, near: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(query_id, row_id, distance, lexical_rank, vec_rank) of the candidates that search ranks, and the lexical hits."""
     masked = None if exclude is None else exclude.select(F.col("row_id").alias("record_id"))
-    near = _near(vector.restored(vectors), queries, max(100, 10 * k), exclude, tiers)
+    found = _near(vector.restored(vectors), queries, near or max(100, 10 * k), exclude, tiers)
     if mode == "vector":
-        return near.select("query_id", "row_id", "distance", F.lit(None).cast("long").alias("lexical_rank"), "vec_rank"), None
+        return found.select("query_id", "row_id", "distance", F.lit(None).cast("long").alias("lexical_rank"), "vec_rank"), None
     # the hits are few: CANDIDATES for each query
     hits = written(lexical.topk(lexical.bm25(records, queries, query_id="query_id", exclude=masked), cutoff=lexical.CUTOFF).select("query_id", F.col("record_id").alias("row_id"), "lexical_rank"))
     asked, known = hits.select("query_id", "row_id"), None
     if mode != "lexical":  # exact distances of the nearest are known; those of other hits are computed
-        known = written(near.select("query_id", "row_id", "distance"))
+        known = written(found.select("query_id", "row_id", "distance"))
         asked = asked.join(known, ["query_id", "row_id"], "left_anti")
-    found = vector.reranked(asked, vectors, queries).select("query_id", "row_id", "distance")
-    pool = (found if known is None else known.union(found)).join(hits, ["query_id", "row_id"], "left")
+    others = vector.reranked(asked, vectors, queries).select("query_id", "row_id", "distance")
+    pool = (others if known is None else known.union(others)).join(hits, ["query_id", "row_id"], "left")
     return pool.withColumn("vec_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "row_id")).cast("long")), hits
 
 

@@ -299,3 +299,12 @@ def test_term_counts_are_those_of_the_tokenizer(spark, keep):
 def test_bm25_shuffles_no_pairs_of_queries_and_records(spark):
     plan = catalogue.QUERIES["bm25_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(record_id" in plan and not any("hashpartitioning(query_id" in x and "record_id" in x for x in plan.splitlines())
+
+
+def test_far_hits_follow_the_nearest_hundred(spark):
+    """With k beyond the rows a pool of the nearest 100 still holds these and the lexical hits alone, so a far hit is the 101st, as in the SQL of rank_classes."""
+    vectors = vector.quantize(spark.createDataFrame([(i, [math.cos(i / 200), math.sin(i / 200)]) for i in range(150)], "vec_id long, embedding array<double>"))
+    docs = spark.createDataFrame([(i, "zebra crossing" if i == 149 else f"word{i}") for i in range(150)], "doc_id long, text string")
+    queries = spark.createDataFrame([(0, "zebra", [1.0, 0.0])], "query_id long, text string, vector array<double>")
+    got = {r["row_id"]: r for r in ranking.search(docs, vectors, queries, 10_000, near=100).collect()}
+    assert len(got) == 101 and got[149]["vec_rank"] == 101 and got[149]["lexical_rank"] == 1 and set(got) == {*range(100), 149}
